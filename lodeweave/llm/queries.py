@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import names
+from lodeweave.llm import names, packing, tokens
 from lodeweave.runtime import read_table
 
 
@@ -12,5 +12,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return names.pairs(names.link_names(read_table(spark, d, "authors")))
 
 
-QUERIES = {"p3_found": p3_found}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(read_table(spark, d, "documents"))
+
+
+def p9_packs(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, d, "documents"), capacity=2048)
+
+
+QUERIES = {"p3_found": p3_found, "p8_ids": p8_ids, "p9_packs": p9_packs}
 SQL: dict[str, str] = {}
