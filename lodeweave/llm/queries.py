@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import names, packing, tokens
+from lodeweave.llm import names, packing, reading, tokens
 from lodeweave.runtime import read_table
 
 
@@ -20,5 +20,18 @@ def p9_packs(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, d, "documents"), capacity=2048)
 
 
-QUERIES = {"p3_found": p3_found, "p8_ids": p8_ids, "p9_packs": p9_packs}
+def _reading_model(spark: SparkSession, d: str) -> reading.ReadingModel:
+    return reading.fit(read_table(spark, d, "documents"), read_table(spark, d, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.grade(read_table(spark, d, "documents"), _reading_model(spark, d)).where("is_expert").select("doc_id")
+
+
+def p10_cross_validation(spark: SparkSession, d: str) -> DataFrame:
+    """By source: rated documents, mean error and accuracy of grades predicted for unseen folds."""
+    return spark.createDataFrame(_reading_model(spark, d).report, "source string, n bigint, mean_error double, accuracy double")
+
+
+QUERIES = {"p3_found": p3_found, "p8_ids": p8_ids, "p9_packs": p9_packs, "p10_found": p10_found, "p10_cross_validation": p10_cross_validation}
 SQL: dict[str, str] = {}
