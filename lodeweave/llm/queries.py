@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import names, packing, reading, tokens
+from lodeweave.llm import names, packing, reading, syntax, tokens
 from lodeweave.runtime import read_table
 
 
@@ -12,6 +12,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return names.pairs(names.link_names(read_table(spark, d, "authors")))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.check_files(read_table(spark, d, "scanned_files")).where("not is_valid").select("file_id")
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(syntax.check_files(read_table(spark, d, "scanned_files")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(read_table(spark, d, "documents"))
 
@@ -33,5 +41,5 @@ def p10_cross_validation(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(_reading_model(spark, d).report, "source string, n bigint, mean_error double, accuracy double")
 
 
-QUERIES = {"p3_found": p3_found, "p8_ids": p8_ids, "p9_packs": p9_packs, "p10_found": p10_found, "p10_cross_validation": p10_cross_validation}
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_packs": p9_packs, "p10_found": p10_found, "p10_cross_validation": p10_cross_validation}
 SQL: dict[str, str] = {}
