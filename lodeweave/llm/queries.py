@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import names, packing, reading, syntax, tokens
+from lodeweave.llm import credentials, names, packing, reading, syntax, tokens
 from lodeweave.runtime import read_table
 
 
+def _credential_tables(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [read_table(spark, d, t) for t in ("scanned_files", "repositories", "stored_procedures")]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.find_credentials(*_credential_tables(spark, d)).select("source_table", "record_id", "line_no").distinct()
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.masked_lines(*_credential_tables(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return names.pairs(names.link_names(read_table(spark, d, "authors")))
 
@@ -41,5 +53,5 @@ def p10_cross_validation(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(_reading_model(spark, d).report, "source string, n bigint, mean_error double, accuracy double")
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_packs": p9_packs, "p10_found": p10_found, "p10_cross_validation": p10_cross_validation}
+QUERIES = {"p1_found": p1_found, "p1_masked": p1_masked, "p3_found": p3_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_packs": p9_packs, "p10_found": p10_found, "p10_cross_validation": p10_cross_validation}
 SQL: dict[str, str] = {}
