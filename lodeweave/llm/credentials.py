@@ -209,11 +209,14 @@ def candidates(lines: list[tuple[int, str]]) -> list[tuple[int, str, str]]:
         for m in _HEADER.finditer(line):
             if re.search(r"(?i)authorization|header|hdr|curl", line[: m.start()] + name_of(line[:40])) or m.group(1).lower() == "basic":
                 hits.append(header(m))
+        attributes = list(_ATTRIBUTE.finditer(line))
         for m in _BOUND.finditer(line):
+            if attributes and m.group(1).lower() in ("value", "name", "key", "id"):
+                continue  # judged below by the attribute's own name
             hits.append(judge(m.group(1), joined(m.group(2))))
             inner = joined(m.group(2))
             hits += [judge(k, v) for k, v in _PAIR.findall(inner)] if "=" in inner else []
-        for m in _ATTRIBUTE.finditer(line):
+        for m in attributes:
             hits.append(judge(m.group(1), m.group(3)))
         for m in _ELEMENT.finditer(line):
             hits.append(judge(m.group(1), m.group(2)))
