@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import credentials, names, packing, reading, syntax, tokens
+from lodeweave.llm import credentials, generated, names, packing, reading, syntax, tokens
 from lodeweave.runtime import read_table
 
 
@@ -24,6 +24,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return names.pairs(names.link_names(read_table(spark, d, "authors")))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return generated.find_generated(read_table(spark, d, "scanned_files")).where("is_generated").select("file_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.check_files(read_table(spark, d, "scanned_files")).where("not is_valid").select("file_id")
 
@@ -53,5 +57,5 @@ def p10_cross_validation(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(_reading_model(spark, d).report, "source string, n bigint, mean_error double, accuracy double")
 
 
-QUERIES = {"p1_found": p1_found, "p1_masked": p1_masked, "p3_found": p3_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_packs": p9_packs, "p10_found": p10_found, "p10_cross_validation": p10_cross_validation}
+QUERIES = {"p1_found": p1_found, "p1_masked": p1_masked, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_packs": p9_packs, "p10_found": p10_found, "p10_cross_validation": p10_cross_validation}
 SQL: dict[str, str] = {}
