@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodeweave.llm import credentials, generated, names, packing, reading, syntax, tokens
+from lodeweave.llm import credentials, generated, matching, names, packing, reading, syntax, tokens
 from lodeweave.runtime import read_table
 
 
@@ -20,6 +21,15 @@ def p1_masked(spark: SparkSession, d: str) -> DataFrame:
     return credentials.masked_lines(*_credential_tables(spark, d))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match(read_table(spark, d, "classes"), read_table(spark, d, "catalog_columns")).select("class_id", "table_id")
+
+
+def p2_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate pair with its marginal probability."""
+    return matching.propagate(matching.candidates(read_table(spark, d, "classes"), read_table(spark, d, "catalog_columns"))).withColumn("probability", F.round("probability", 4))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return names.pairs(names.link_names(read_table(spark, d, "authors")))
 
@@ -57,5 +67,5 @@ def p10_cross_validation(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(_reading_model(spark, d).report, "source string, n bigint, mean_error double, accuracy double")
 
 
-QUERIES = {"p1_found": p1_found, "p1_masked": p1_masked, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_packs": p9_packs, "p10_found": p10_found, "p10_cross_validation": p10_cross_validation}
+QUERIES = {"p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p2_confidence": p2_confidence, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p7_rates": p7_rates, "p8_ids": p8_ids, "p9_packs": p9_packs, "p10_found": p10_found, "p10_cross_validation": p10_cross_validation}
 SQL: dict[str, str] = {}
