@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.operators import orphans
+from lodeweave.operators import incremental, orphans
 from lodeweave.runtime import read_table
 
 
@@ -23,6 +23,10 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.commits_to_process(read_table(spark, d, "commits"), read_table(spark, d, "history_runs"))
+
+
 def _ident(c: str) -> str:
     """The comparable identifier in SQL."""
     q = "'^((`[^`]*`|\"[^\"]*\"|\\[[^\\]]*\\]|[^.`\"\\[\\]]*)\\s*\\.\\s*)+(\\S)'"
@@ -38,7 +42,7 @@ WITH refs AS ({_REFS}), cat AS ({_CATALOG}),
 probed AS (SELECT r.*, NOT EXISTS (SELECT 1 FROM cat c WHERE c.db = r.db AND c.tab = r.tab AND (r.col IS NULL OR c.col = r.col)
   AND (c.born IS NULL OR c.born <= r.t) AND (c.gone IS NULL OR r.t < c.gone)) AS is_orphan FROM refs r WHERE r.tab IS NOT NULL)"""
 
-QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts}
+QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found}
 SQL = {
     "p4_found": f"{_PROBED} SELECT source_table, record_id FROM probed WHERE is_orphan",
     "p4_counts": f"{_PROBED} SELECT db, tab, strftime(t, '%Y-%m') AS month, count(*) AS n_references, count(*) FILTER (WHERE is_orphan) AS n_orphans FROM probed GROUP BY ALL",

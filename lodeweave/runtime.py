@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -41,6 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder: cuts lineage like ``cut``, columnar and compressed."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/lodeweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *by: str, per_core: int = 2) -> DataFrame:
     """Hash rows over enough partitions to keep every core busy before a Python stage."""
     return df.repartition(parallelism(df.sparkSession, per_core), *by)
