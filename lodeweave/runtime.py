@@ -49,6 +49,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most_rows: int = 300_000) -> DataFrame:
+    """``df``, hinted for broadcast if it has at most so many rows; beyond it the planner shuffles both sides.
+
+    For materialised tables of a few narrow columns (some 30 MB at most).
+    """
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def spread(df: DataFrame, *by: str, per_core: int = 2) -> DataFrame:
     """Hash rows over enough partitions to keep every core busy before a Python stage."""
     return df.repartition(parallelism(df.sparkSession, per_core), *by)
