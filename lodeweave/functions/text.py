@@ -6,17 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Separators that part the tokens of a definition.
-SEPARATORS = " \t\n\r.,;:()[]{}<>=+-*/%|&^!?@#~'\"`\\$"
+SEPARATORS = "\n\r\t (),;.=<>+-*/%!?[]{}|&^~:'\"`@#\\"
 # Directories and files that a tree scan leaves out.
-SKIP_DIRS = [".git", ".svn", ".hg", "node_modules", "target", "build", "dist", "out", "bin", "obj", ".idea", ".vscode", ".gradle", ".mvn", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", "vendor"]
-SKIP_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml"]
+SKIP_DIRS = [".git", ".svn", ".hg", "node_modules", "target", "build", "dist", "out", ".idea", ".vscode", "__pycache__", ".gradle", ".mvn", "bin", "obj", "venv", ".venv", "env", "vendor", "coverage", ".pytest_cache"]
+SKIP_FILES = [".DS_Store", "Thumbs.db", "vssver.scc"]
 # File types by extension and by whole name.
 TYPE_BY_EXTENSION = {
-    ".java": "java", ".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".go": "go", ".sql": "sql", ".xml": "xml", ".json": "json", ".yaml": "yaml",
-    ".yml": "yaml", ".properties": "properties", ".md": "markdown", ".sh": "shell", ".bash": "shell", ".html": "html", ".htm": "html", ".css": "css", ".scss": "scss", ".less": "less", ".kt": "kotlin", ".scala": "scala", ".groovy": "groovy", ".gradle": "gradle",
-    ".rb": "ruby", ".php": "php", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cs": "csharp", ".rs": "rust", ".swift": "swift", ".toml": "toml", ".ini": "ini", ".cfg": "ini", ".txt": "text", ".proto": "proto",
+    ".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".scala": "scala", ".groovy": "groovy", ".py": "python", ".rb": "ruby", ".php": "php", ".go": "go", ".rs": "rust", ".swift": "swift", ".cs": "csharp", ".c": "c", ".h": "c",
+    ".cpp": "cpp", ".cc": "cpp", ".hpp": "cpp", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".vue": "vue", ".sql": "sql", ".xml": "xml", ".xhtml": "xml", ".html": "html", ".htm": "html",
+    ".css": "css", ".scss": "scss", ".sass": "sass", ".less": "less", ".json": "json", ".yml": "yaml", ".yaml": "yaml", ".toml": "toml", ".properties": "properties", ".gradle": "gradle", ".md": "markdown", ".sh": "shell", ".bat": "batch", ".ps1": "powershell",
 }
-TYPE_BY_NAME = {"Dockerfile": "docker", "Makefile": "make", "Jenkinsfile": "groovy", "pom.xml": "maven", "go.mod": "gomod", "requirements.txt": "requirements"}
+TYPE_BY_NAME = {"pom.xml": "maven", "build.gradle": "gradle", "build.gradle.kts": "gradle", "Dockerfile": "docker", "Makefile": "make", "requirements.txt": "pip"}
+# Extensions by how their lines are told apart.
+BRACE_FAMILY = [".java", ".kt", ".kts", ".scala", ".groovy", ".c", ".h", ".cpp", ".cc", ".hpp", ".cs", ".go", ".rs", ".swift", ".js", ".jsx", ".ts", ".tsx", ".php"]
+HASH_FAMILY = [".py", ".rb", ".sh", ".yml", ".yaml", ".properties", ".toml"]
+MARKUP_FAMILY = [".xml", ".xhtml", ".html", ".htm"]
+STYLE_FAMILY = [".css", ".scss", ".sass", ".less"]
 
 
 def definition_tokens(c: str | Column) -> Column:
@@ -42,17 +47,16 @@ def kept_path(path: str | Column) -> Column:
 
 def line_kind(line: str | Column, extension: str | Column) -> Column:
     """blank, comment, import, package, annotation, export or code, by the family of the extension."""
-    s = F.trim(F.regexp_replace(F.col(line) if isinstance(line, str) else line, r"^\s+|\s+$", ""))
-    e = F.lower(F.col(extension) if isinstance(extension, str) else extension)
-    braces = e.isin(".java", ".js", ".jsx", ".mjs", ".ts", ".tsx", ".go", ".kt", ".scala", ".groovy", ".gradle", ".c", ".h", ".cpp", ".hpp", ".cs", ".rs", ".swift", ".css", ".scss", ".less", ".proto", ".php")
-    hashes = e.isin(".py", ".sh", ".bash", ".yaml", ".yml", ".properties", ".toml", ".ini", ".cfg", ".rb")
-    comment = (braces & (s.startswith("//") | s.startswith("/*") | s.startswith("*"))) | (hashes & s.startswith("#")) | ((e == ".sql") & (s.startswith("--") | s.startswith("/*"))) | (e.isin(".xml", ".html", ".htm", ".md") & s.startswith("<!--"))
+    s = F.regexp_replace(F.col(line) if isinstance(line, str) else line, r"^\s+|\s+$", "")
+    e = F.col(extension) if isinstance(extension, str) else extension
+    begins = lambda *p: F.rlike(s, F.lit("^(?:" + "|".join(p) + ")"))
+    brace, hashed = e.isin(*BRACE_FAMILY), e.isin(*HASH_FAMILY)
+    # what is trimmed loses its last blank, so a bare "import" is code
     return (
-        F.when(s.isNull() | (s == ""), "blank").when(comment, "comment")
-        .when(e.isin(".java", ".kt", ".scala", ".go", ".js", ".jsx", ".mjs", ".ts", ".tsx", ".py") & (s.startswith("import ") | s.startswith("import(") | s.startswith("import{")) | ((e == ".py") & s.startswith("from ")), "import")
-        .when(e.isin(".java", ".kt", ".scala", ".go") & s.startswith("package "), "package")
-        .when(e.isin(".java", ".kt", ".ts", ".tsx", ".py") & s.startswith("@"), "annotation")
-        .when(e.isin(".js", ".jsx", ".mjs", ".ts", ".tsx") & s.startswith("export "), "export").otherwise("code")
+        F.when(F.coalesce(s, F.lit("")) == "", "blank")
+        .when(brace & begins("//", r"/?\*"), "comment").when(brace & begins("import ", "#include"), "import").when(brace & begins("package "), "package").when(brace & begins("@"), "annotation").when(brace & begins("export "), "export")
+        .when(hashed & begins("#"), "comment").when((e == ".py") & begins("import ", "from "), "import")
+        .when(e.isin(*MARKUP_FAMILY) & begins("<!--"), "comment").when(e.isin(*STYLE_FAMILY) & begins(r"/\*", "//"), "comment").otherwise("code")
     )
 
 

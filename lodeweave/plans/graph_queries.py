@@ -66,14 +66,21 @@ ends AS (SELECT database_name AS db, {_ident("table_name")} AS t, {_ident("colum
 fkx AS (SELECT database_name AS db, {_ident("from_table")} AS ft, {_ident("from_column")} AS fc, {_ident("to_table")} AS tt, {_ident("to_column")} AS tc, constraint_name FROM foreign_keys),
 fkall AS (SELECT a.id AS src, b.id AS dst, a.tid AS st, b.tid AS dt FROM fkx k JOIN ends a ON k.db = a.db AND k.ft = a.t AND k.fc = a.c JOIN ends b ON k.db = b.db AND k.tt = b.t AND k.tc = b.c),
 fk AS (SELECT DISTINCT src, dst FROM fkall), refs AS (SELECT DISTINCT st AS src, dt AS dst FROM fkall)"""
-_SEPS = "'" + SEPARATORS.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '").replace("\t", "' || chr(9) || '") + "'"
+
+
+def _text(s: str) -> str:
+    """A SQL expression for a text with quotes and control characters."""
+    return "('" + s.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '").replace("\t", "' || chr(9) || '") + "')"
+
+
+_SEPS = _text(SEPARATORS)
 
 
 def _tok(c: str) -> str:
     return f"(' ' || translate(lower({c}), {_SEPS}, '{' ' * len(SEPARATORS)}') || ' ')"
 
 
-_BARE = f"translate(lower(t.name), {_SEPS.replace(' ', '', 1)}, '') = lower(t.name)"
+_BARE = f"translate(lower(t.name), {_text(SEPARATORS.replace(" ", ""))}, '') = lower(t.name)"
 
 
 def _contain(x: str, op: str) -> str:
