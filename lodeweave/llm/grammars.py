@@ -252,7 +252,8 @@ Assign = Target ':' Test ('=' (Yield / Tests))? / Targets AugOp (Yield / Tests)
 AugOp = '+=' / '-=' / '*=' / '/=' / '//=' / '%=' / '@=' / '&=' / '|=' / '^=' / '>>=' / '<<=' / '**=' ;
 Yield = 'yield' ('from' Test / Tests)? ;
 Targets = Target (',' Target)* ','? ;
-Target = '*' Target / '(' Targets? ')' !Trailer / '[' Targets? ']' !Trailer / Primary &(',' / '=' / ':' / 'in' / ')' / ']' / NEWLINE / ';' / AugOp / 'as') ;
+Target = '*' Target / '(' Targets? ')' !Trailer / '[' Targets? ']' !Trailer / Store &(',' / '=' / ':' / 'in' / ')' / ']' / NEWLINE / ';' / AugOp / 'as') ;
+Store = NAME !Trailer / Atom (Trailer &Trailer)* ('[' Slices ']' / '.' NAME) !Trailer ;
 Tests = Starred (',' Starred)* ','? ;
 Starred = '*' Bin / Named ;
 Named = NAME ':=' Test / Test ;
@@ -560,7 +561,7 @@ Unary = ('+' / '-' / '~') Unary / 'PRIOR' Unary / Atom ('::' DataType / '[' Expr
 Atom = NUM / STR / PAR / DOLLAR / 'NULL' / 'DEFAULT' / '*' / Case / 'NOT'? 'EXISTS' '(' Query ')' / 'CAST' '(' Expr 'AS' DataType ')' / 'INTERVAL' (STR / NUM / Expr) Name? / 'ARRAY' '[' Exprs? ']' / ('DATE' / 'TIMESTAMP' / 'TIME') STR / '(' (Query / Exprs)? ')' / 'EXTRACT' '(' Name 'FROM' Expr ')' / ('LEFT' / 'RIGHT' / 'VALUES' / 'SET') '(' Exprs ')' / Call / Path ;
 Call = Path '(' (('DISTINCT' / 'ALL')? CallArg ((',' / 'FROM' / 'FOR' / 'AS' / 'USING' / 'SEPARATOR' / 'IN') CallArg)* OrderBy?)? ')' ('WITHIN' 'GROUP' '(' OrderBy ')')? ('FILTER' '(' 'WHERE' Expr ')')? ('OVER' (Over / Name))? ;
 CallArg = Query / Name '=>' Expr / Expr Name? ;
-Over = '(' Name? ('PARTITION' 'BY' Exprs)? OrderBy? (('ROWS' / 'RANGE' / 'GROUPS') (!')' Any / 'BETWEEN' / 'AND')+)? ')' ;
+Over = '(' (!('PARTITION' 'BY' / 'ROWS' / 'RANGE' / 'GROUPS') Name)? ('PARTITION' 'BY' Exprs)? OrderBy? (('ROWS' / 'RANGE' / 'GROUPS') (!')' Any / 'BETWEEN' / 'AND')+)? ')' ;
 Case = 'CASE' Expr? ('WHEN' Expr 'THEN' Expr)+ ('ELSE' Expr)? 'END' ;
 """
 

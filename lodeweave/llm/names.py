@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -177,6 +178,11 @@ def rewrite(name: str | None, email: str | None) -> list[tuple[str, str, int]]:
     return out
 
 
+def _short(s: str) -> str:
+    """A long form by its digest: equal exactly if the forms are, and of bounded size."""
+    return s if len(s) <= 64 else blake2b(s.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [(i, *form) for i, n, m in zip(b["node"], b["name"], b["email"]) for form in dict.fromkeys(rewrite(n, m))]
@@ -190,7 +196,7 @@ def _slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             moving, at, fixed = form.partition("@") if rule == "mailbox" else (form, "", "")
             if len(moving) > 5:
                 head = moving.index("|") if rule == "full" else len(moving)  # a slip here needs the first name confirmed
-                rows += [(form, rule, ok > (i < head), f"{rule}/{s}{at}{fixed}") for s, i in dict(slips(moving)).items()]
+                rows += [(form, rule, ok > (i < head), f"{rule}/{_short(s)}{at}{fixed}") for s, i in dict(slips(moving)).items()]
         yield pd.DataFrame(rows, columns=["form", "rule", "confirmed", "hub"])
 
 
