@@ -53,7 +53,8 @@ class SnapshotStore:
 
 def literal(c: Column, kind: str) -> Column:
     """A value as text of the script: null, true, 1, 'it\\'s', ['a', 'b']."""
-    quote = lambda x: F.concat(F.lit("'"), F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\\\\\"), "'", r"\\\\'"), "\n", r"\\\\n"), F.lit("'"))
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n"))
+    quote = lambda x: F.concat(F.lit("'"), escaped(x), F.lit("'"))
     if kind == "string":
         text = quote(c)
     elif kind.startswith("array<string"):

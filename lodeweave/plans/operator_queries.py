@@ -9,8 +9,11 @@ from lodeweave.functions import text
 from lodeweave.operators import merge, recipes
 from lodeweave.operators.graph import Graph, latest
 from lodeweave.plans.graph_queries import _CATALOG, _CODE, catalog, code
+from lodeweave.plans.graph_queries import SQL as GRAPH_SQL
+from lodeweave.query.pattern import compile_query
 from lodeweave.runtime import read_table
 from lodeweave.sources.catalog import profile
+from lodeweave.sources.structure import structures
 from lodeweave.sources.tree import modules_by_longest_prefix
 
 
@@ -131,6 +134,23 @@ def _profile_sql() -> str:
     return " UNION ALL ".join(f"""SELECT '{t}' AS "table", '{c}' AS "column", count(*) AS "rows", count(DISTINCT {c}) AS distinct_values FROM {t}""" for t, cs in cols.items() for c in cs.split())
 
 
+def parsed_structure(spark: SparkSession, d: str) -> DataFrame:
+    """(file_id, kind, name, line) of what the parsers declare in every file."""
+    s = structures(read_table(spark, d, "scanned_files").withColumn("texts", F.transform("code_lines", lambda x: x["line_text"])), "file_id", "file_type", "texts")
+    types = s.select("file_id", F.explode("types").alias("t")).select("file_id", F.col("t.kind").alias("kind"), F.col("t.name").alias("name"), F.col("t.line").alias("line"))
+    return types.union(s.select("file_id", F.explode("methods").alias("m")).select("file_id", F.lit("method"), "m.name", "m.line"))
+
+
+def _pattern(make, query: str, **params):
+    return lambda spark, d: compile_query(make(spark, d), query, params)
+
+
+_AUTHORS = "MATCH (a:Author)-[:AUTHORED]->(:Commit)-[:CHANGED]->(f:File) RETURN a.name AS name, count(DISTINCT f) AS files ORDER BY files DESC, name LIMIT 20"
+_CHURN = "MATCH (:Commit)-[ch:CHANGED]->(f:File) RETURN f.repo AS repo, f.path AS path, sum(ch.insertions + ch.deletions) AS churn, sum(ch.insertions) AS inserted, sum(ch.deletions) AS deleted, count(*) AS commits ORDER BY churn DESC, repo, path LIMIT 20"
+_HOTSPOTS = "MATCH (t:Table)<-[:REFERENCES]-(other:Table) RETURN t.database AS database, t.schema AS schema, t.name AS table, count(DISTINCT other) AS incoming_tables, collect(DISTINCT other.name)[0..10] AS referenced_by ORDER BY incoming_tables DESC, database, schema, table LIMIT 20"
+_UNUSED = "MATCH (t:Table) OPTIONAL MATCH (t)<-[:REFERENCES]-(o:Table) WITH t, count(o) AS n WHERE n = 0 RETURN t.database AS database, t.name AS table"
+
+
 def _shop(op, **kw):
     return lambda s, d: op(shop_history(s, d), **kw)
 
@@ -142,6 +162,7 @@ QUERIES = {
     "dir_owners": lambda s, d: recipes.owners_of_directory(shop_history(s, d), (read_table(s, d, "part").agg(F.min("p_type")).first()[0] or "") + "/"),
     "upsert_last_wins": upsert_last_wins, "incremental_upsert": incremental_upsert, "edge_endpoint_filter": edge_endpoint_filter, "replace_repo": replace_repo, "replace_database": replace_database, "dry_run_counts": dry_run_counts,
     "classify_line": classify_line, "next_line_pairs": next_line_pairs, "line_explode": line_explode, "content_hash": content_hash, "file_type": file_type, "module_longest_prefix": module_longest_prefix, "strip_url_credentials": strip_url_credentials, "table_profile": table_profile,
+    "parsed_structure": parsed_structure, "pattern_top_authors": _pattern(shop_history, _AUTHORS), "pattern_churn": _pattern(shop_history, _CHURN), "pattern_fk_hotspots": _pattern(catalog, _HOTSPOTS), "pattern_unreferenced_tables": _pattern(catalog, _UNUSED),
 }
 _FOLD = "SELECT id, message, insertions, authored_at FROM (SELECT repo || '@' || commit_hash AS id, *, row_number() OVER (PARTITION BY repo, commit_hash ORDER BY recorded_at DESC NULLS LAST, message DESC NULLS LAST, insertions DESC NULLS LAST, authored_at DESC NULLS LAST) AS rn FROM commits WHERE repo IS NOT NULL AND commit_hash IS NOT NULL) WHERE rn = 1"
 SQL = {
@@ -165,3 +186,7 @@ SQL = {
     "strip_url_credentials": "SELECT repo_id, regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#]*@', '\\1') AS url FROM repositories",
     "table_profile": _profile_sql(),
 }
+SQL |= {
+    "pattern_top_authors": SQL["top_authors_by_files"], "pattern_churn": SQL["highest_churn_files"], "pattern_fk_hotspots": GRAPH_SQL["fk_hotspots"],
+    "pattern_unreferenced_tables": f'WITH {_CATALOG} SELECT database, name AS "table" FROM tables WHERE id NOT IN (SELECT dst FROM refs)',
+}

@@ -73,7 +73,7 @@ def index_columns(definition: str | Column) -> Column:
     d = F.col(definition) if isinstance(definition, str) else definition
     inner = F.regexp_extract(d, r"\(((?:[^()]|\([^()]*\))*)\)", 1)
     parts = F.regexp_extract_all(inner, F.lit(r"((?:[^,()]|\([^()]*\))+)"), 1)
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def indexes_of(rows: DataFrame) -> DataFrame:
