@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.functions.text import author_id, strip_credentials
@@ -34,8 +34,12 @@ class Graph:
         """Union of the labels (all if none is given): label, id and the common properties; only these labels are read."""
         parts = []
         for label in labels or self.nodes:
+            if label not in self.nodes:
+                continue
             n = self.nodes[label]
             parts.append(n.select(F.lit(label).alias("label"), "id", *[(F.col(c) if c in n.columns else F.lit(None)).cast("string").alias(c) for c in COMMON]))
+        if not parts:
+            return SparkSession.getActiveSession().createDataFrame([], ", ".join(f"`{c}` string" for c in ["label", "id", *COMMON]))
         return reduce(DataFrame.unionByName, parts)
 
     def all_rels(self, *types: str) -> DataFrame:
