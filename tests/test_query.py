@@ -6,10 +6,10 @@ from lodeweave.query.pattern import compile_query, read, read_sql
 
 
 @pytest.mark.parametrize("query, reason", [
-    ("", "empty"), ("// only", "empty"), ("EXPLAIN", "empty"), ("x" * 9000, "longer"), ("MATCH (n) RETURN n; MATCH (m) RETURN m", "multi"), ("MATCH (n) SET n.x = 1 RETURN n", "SET"), ("MATCH (n) DETACH DELETE n", "DETACH"), ("INSERT (n:T)", "INSERT"),
-    ("RETURN '\\'' CALL apoc.util.sleep(1) //'", "apoc"), ('RETURN "\\"" ; CREATE (n) //"', "multi"), ("PROFILE SHOW USERS", "SHOW"), ("CYPHER 5 SHOW DATABASES", "SHOW"), ("MATCH (n) RETURN n UNION ALL USE system MATCH (n) RETURN n", "USE"), ("CALL { USE system MATCH (n) RETURN n } RETURN n", "USE"),
-    ("WITH 1 AS x CALL { WITH x USE system MATCH (n) RETURN n } RETURN n", "USE"), ("MATCH (n) LOAD /* gap */ CSV FROM 'x' AS r RETURN r", "LOAD CSV"), ("RETURN apoc . cypher . run ('x') AS x", "apoc.cypher"), ("CALL db.labels() YIELD label RETURN apoc.util.md5([label]) AS h", "apoc.util"), ("MATCH (n) RETURN n LIMIT 1_000", "LIMIT"), ("MATCH (n) RETURN n LIMIT 0x3E8", "LIMIT"),
-    ("MATCH (n) /* open", "unterminated comment"), ("MATCH (n:`open) RETURN n", "unterminated quoted"), ("MATCH (n) WHERE n.x = 'open RETURN n", "unterminated string"), ("\ufeffMATCH (n) RETURN n", "unexpected"),
+    ("", "empty"), ("  // nothing here", "empty"), ("PROFILE", "empty"), ("y" * 9000, "longer"), ("MATCH (a:File) RETURN a.id; RETURN 2", "multi"), ("MATCH (a:File) SET a.path = 'z' RETURN a", "SET"), ("MATCH (a:File) DETACH DELETE a", "DETACH"), ("INSERT (:File)", "INSERT"), ("MERGE (a:File) RETURN a", "MERGE"),
+    ("MATCH (a) WHERE a.name = 'it\\'s' CALL tools.wait(9) RETURN a", "tools.wait"), ('RETURN "a\\"b" ; DROP INDEX i', "multi"), ("EXPLAIN SHOW INDEXES", "SHOW"), ("MATCH (a) RETURN a.id AS i UNION USE other MATCH (b) RETURN b.id AS i", "USE"), ("CALL { USE other MATCH (b) RETURN b } RETURN b", "USE"),
+    ("LOAD CSV FROM 'file' AS row RETURN row", "LOAD CSV"), ("RETURN tools . text /* x */ . join ('x') AS j", "tools.text"), ("MATCH (a) WHERE tools.near(a.name, 'x') RETURN a", "tools.near"), ("MATCH (a) RETURN a LIMIT 9_999", "LIMIT"), ("MATCH (a) RETURN a LIMIT 0xFF", "LIMIT"),
+    ("MATCH (a) /* never", "unterminated comment"), ("MATCH (a:`never) RETURN a", "unterminated quoted"), ("MATCH (a) WHERE a.x = 'never RETURN a", "unterminated string"), ("MATCH (a) RETURN a \u00a7", "unexpected"),
 ])
 def test_refused(query, reason):
     assert reason in (denial(query) or "")
