@@ -42,8 +42,22 @@ WITH refs AS ({_REFS}), cat AS ({_CATALOG}),
 probed AS (SELECT r.*, NOT EXISTS (SELECT 1 FROM cat c WHERE c.db = r.db AND c.tab = r.tab AND (r.col IS NULL OR c.col = r.col)
   AND (c.born IS NULL OR c.born <= r.t) AND (c.gone IS NULL OR r.t < c.gone)) AS is_orphan FROM refs r WHERE r.tab IS NOT NULL)"""
 
+_CONTENT = "repo, commit_hash, short_hash, author_name, author_email, authored_at, committer_name, committer_email, committed_at, parents, message, insertions, deletions, files_changed"
+_TO_PROCESS = f"""
+WITH RECURSIVE c AS (SELECT DISTINCT repo, commit_hash AS h FROM commits WHERE repo IS NOT NULL AND trim(commit_hash) <> ''),
+e AS (SELECT DISTINCT repo, commit_hash AS h, unnest(parents) AS p FROM commits),
+r AS (SELECT repo, head_hash AS head, since_hash AS since, started_at FROM history_runs WHERE run_status = 'succeeded'),
+ends AS (SELECT DISTINCT c.* FROM c JOIN (SELECT repo, head AS h FROM r UNION SELECT repo, since FROM r) x ON x.repo = c.repo AND x.h = c.h),
+reach AS (SELECT repo, h AS root, h AS x FROM ends UNION SELECT reach.repo, reach.root, e.p FROM reach JOIN e ON e.repo = reach.repo AND e.h = reach.x),
+covered AS (SELECT a.repo, a.x, max(r.started_at) AS until FROM r JOIN reach a ON a.repo = r.repo AND a.root = r.head
+  WHERE NOT EXISTS (SELECT 1 FROM reach b WHERE b.repo = r.repo AND b.root = r.since AND b.x = a.x) GROUP BY a.repo, a.x),
+versions AS (SELECT repo, commit_hash, min(recorded_at) AS rec FROM commits GROUP BY {_CONTENT}),
+last AS (SELECT repo, commit_hash, max(rec) AS rec FROM versions GROUP BY repo, commit_hash)
+SELECT l.repo, l.commit_hash FROM last l JOIN c ON c.repo = l.repo AND c.h = l.commit_hash LEFT JOIN covered v ON v.repo = l.repo AND v.x = l.commit_hash WHERE v.until IS NULL OR l.rec > v.until"""
+
 QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found}
 SQL = {
+    "p6_found": _TO_PROCESS,
     "p4_found": f"{_PROBED} SELECT source_table, record_id FROM probed WHERE is_orphan",
     "p4_counts": f"{_PROBED} SELECT db, tab, strftime(t, '%Y-%m') AS month, count(*) AS n_references, count(*) FILTER (WHERE is_orphan) AS n_orphans FROM probed GROUP BY ALL",
 }
