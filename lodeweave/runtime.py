@@ -57,11 +57,6 @@ def small(df: DataFrame, most_rows: int = 300_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def spread(df: DataFrame, *by: str, per_core: int = 2) -> DataFrame:
-    """Hash rows over enough partitions to keep every core busy before a Python stage."""
-    return df.repartition(parallelism(df.sparkSession, per_core), *by)
-
-
 def parallelism(spark: SparkSession, per_core: int = 2) -> int:
     """A partition count that follows the cluster, not the machine of the driver."""
     return max(8, int(spark.sparkContext.defaultParallelism) * per_core, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -81,8 +76,3 @@ def ship(spark: SparkSession) -> None:
                     z.write(p, p.relative_to(_PACKAGE.parent))
     sc.addPyFile(str(target))
     sc._lodeweave_shipped = True
-
-
-def text_or_empty(c) -> F.Column:
-    """A text column with null taken as the empty text."""
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
