@@ -32,61 +32,91 @@ _CODE = regex.compile(r"```.*?(?:```|\Z)|<[^<>\n]{1,200}>|`[^`\n]*`|https?://\S+
 _END = regex.compile(r"(?<=[.!?;:…])\s+|\n\s*\n")
 _WORD = regex.compile(r"\p{L}+(?:['’-]\p{L}+)*")
 _VOWELS = regex.compile(r"[aeiouyàâäáéèêëíîïóôöúùûüœæ]+")
+_CAPITALS = regex.compile(r"\p{Lu}")
 SCORES = ["score", "length", "word_length", "long_share", "syllables", "rarity", "marks", "overlap"]
 SHAPE = ["mean", "sd", "q10", "q50", "q90"]
 FEATURES = [f"{a}_{b}" for a in SCORES for b in SHAPE] + ["n_sentences", "n_words", "variety", "hard_share", "easy_share", "middle_share", "known_share", "caps", "exclaimed"]
 
 
+#: Sentences a worker remembers; beyond it the memory starts anew (results do not change).
+REMEMBERED = 100_000
+
+
+def split_sentences(text: str) -> list[str]:
+    """The sentences of a text, lower case; code, markup, headings and addresses left out."""
+    return [s for s in _END.split(_CODE.sub(" ", text).casefold()) if s]
+
+
 def sentences(text: str) -> list[list[str]]:
-    """Words of every sentence, lower case; code, markup, headings and addresses left out."""
-    out = []
-    for s in _END.split(_CODE.sub(" ", text)):
-        words = _WORD.findall(s.casefold())
-        if words:
-            out.append(words)
-    return out
+    """Words of every sentence that has any."""
+    return [w for w in map(_WORD.findall, split_sentences(text)) if w]
 
 
-def _shape(v: np.ndarray, w: np.ndarray) -> list[float]:
+def _shapes(a: np.ndarray, w: np.ndarray) -> list[float]:
+    """Mean, deviation and three quantiles of every column, sentences weighted by their words."""
     total = w.sum()
-    mean = float((v * w).sum() / total)
-    order = np.argsort(v, kind="stable")
-    share = np.cumsum(w[order]) / total
-    q = v[order][np.minimum(np.searchsorted(share, (0.1, 0.5, 0.9)), len(v) - 1)]
-    return [mean, float(np.sqrt(max(0.0, ((v - mean) ** 2 * w).sum() / total))), *map(float, q)]
-
-
-def features(text: str | None, level: dict[str, float], rarity: dict[str, float], default: float, rarest: float) -> list[float]:
-    """The feature row of one text; all zero for a text without words."""
-    sents = sentences(text) if text else []
-    if not sents:
-        return [0.0] * len(FEATURES)
-    rows, before, known, seen, size = [], frozenset(), 0, set(), 0
-    for words in sents:
-        n = len(words)
-        chars = sum(map(len, words))
-        scored = [level[w] for w in words if w in level]
-        known += len(scored)
-        here = frozenset(w for w in words if len(w) > 3)
-        seen |= here
-        size += n
-        rows.append((
-            sum(scored) / len(scored) if scored else default, n, chars / n, sum(len(w) > 8 for w in words) / n, sum(len(_VOWELS.findall(w)) for w in words) / n,
-            sum(rarity.get(w, rarest) for w in words) / n, 0.0, len(here & before) / max(1, len(here)),
-        ))
-        before = here
-    a = np.array(rows)
-    w = a[:, 1].astype(float)
-    plain = _CODE.sub(" ", text)
-    marks = sum(map(plain.count, ",;:()–—"))
-    a[:, 6] = marks / len(sents)
-    letters = max(1, sum(map(str.isalpha, plain)))
-    out = [x for j in range(len(SCORES)) for x in _shape(a[:, j], w)]
-    s = a[:, 0]
-    return out + [
-        np.log1p(len(sents)), np.log1p(size), len(seen) / size, float(w[s >= 3.2].sum() / size), float(w[s < 1.8].sum() / size), float(w[(s >= 2.4) & (s < 3.2)].sum() / size),
-        known / size, sum(map(str.isupper, plain)) / letters, plain.count("!") / len(sents),
-    ]
+    mean = w @ a / total
+    sd = np.sqrt(np.maximum(0.0, w @ (a - mean) ** 2 / total))
+    order = np.argsort(a, axis=0, kind="stable")
+    ranked = np.take_along_axis(a, order, axis=0)
+    share = np.cumsum(w[order], axis=0) / total
+    at = [np.minimum((share < q).sum(axis=0), len(a) - 1) for q in (0.1, 0.5, 0.9)]
+    return np.stack([mean, sd, *(ranked[i, np.arange(a.shape[1])] for i in at)], axis=1).ravel().tolist()
+
+
+class Features:
+    """Feature rows of texts for given word statistics; what a sentence contributes is remembered by its text."""
+
+    def __init__(self, level: dict[str, float], rarity: dict[str, float], default: float, rarest: float):
+        self.level, self.rarity, self.default, self.rarest = level, rarity, default, rarest
+        self.known: dict[str, tuple] = {}
+
+    def _sentence(self, s: str) -> tuple:
+        """(numbers of the sentence, its longer words, words with a level); () if it has no words."""
+        words = _WORD.findall(s)
+        got: tuple = ()
+        if words:
+            n = len(words)
+            scored = [self.level[w] for w in words if w in self.level]
+            numbers = (
+                sum(scored) / len(scored) if scored else self.default, n, sum(map(len, words)) / n, sum(len(w) > 8 for w in words) / n,
+                len(_VOWELS.findall(" ".join(words))) / n, sum(self.rarity.get(w, self.rarest) for w in words) / n,
+            )
+            got = (numbers, frozenset(w for w in words if len(w) > 3), len(scored))
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        if len(s) < 1000:
+            self.known[s] = got
+        return got
+
+    def row(self, text: str | None) -> list[float]:
+        """The feature row of one text; all zero for a text without words."""
+        plain = _CODE.sub(" ", text) if text else ""
+        rows, before, known, seen = [], frozenset(), 0, set()
+        remembered = self.known.get
+        for s in _END.split(plain.casefold()) if plain else ():
+            got = remembered(s)
+            if got is None:
+                got = self._sentence(s)
+            if got:
+                numbers, here, scored = got
+                known += scored
+                seen |= here
+                rows.append((*numbers, 0.0, len(here & before) / max(1, len(here))))
+                before = here
+        if not rows:
+            return [0.0] * len(FEATURES)
+        a = np.array(rows)
+        w = a[:, 1].astype(float)
+        size = w.sum()
+        a[:, 6] = sum(map(plain.count, ",;:()–—")) / len(rows)
+        letters = max(1.0, float(a[:, 2] @ w))
+        out = _shapes(a, w)
+        s = a[:, 0]
+        return out + [
+            np.log1p(len(rows)), np.log1p(size), len(seen) / size, float(w[s >= 3.2].sum() / size), float(w[s < 1.8].sum() / size), float(w[(s >= 2.4) & (s < 3.2)].sum() / size),
+            known / size, len(_CAPITALS.findall(plain)) / letters, plain.count("!") / len(rows),
+        ]
 
 
 @dataclass
@@ -142,9 +172,20 @@ def _counted(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, int] = {}
+        known: dict[str, frozenset] = {}
         for b in batches:
             for t in b["text"]:
-                for w in {w for s in sentences(t or "") for w in s}:
+                words: set[str] = set()
+                for s in split_sentences(t or ""):
+                    here = known.get(s)
+                    if here is None:
+                        here = frozenset(_WORD.findall(s))
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        if len(s) < 1000:
+                            known[s] = here
+                    words |= here
+                for w in words:
                     counts[w] = counts.get(w, 0) + 1
             if len(counts) > 200_000:
                 yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
@@ -177,9 +218,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Readin
     words = Words(total, fold, rarity, float(mean), float(np.log(n_docs)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels = [words.levels(f) for f in range(FOLDS)]
+        of = [Features(words.levels(f), words.rarity, words.mean, words.rarest) for f in range(FOLDS)]
         for b in batches:
-            x = [features(t, levels[f], words.rarity, words.mean, words.rarest) for t, f in zip(b["text"], b["fold"])]
+            x = [of[f].row(t) for t, f in zip(b["text"], b["fold"])]
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "fold": b["fold"], "level": b["level"], "x": x})
 
     got = rated.mapInPandas(run, "doc_id bigint, source string, fold int, level double, x array<double>").orderBy("doc_id").toPandas()  # at most `sample` rows
@@ -211,10 +252,10 @@ def grade(documents: DataFrame, model: ReadingModel) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        level = m.words.levels(None)
+        of = Features(m.words.levels(None), m.words.rarity, m.words.mean, m.words.rarest)
         for b in batches:
             full = [bool(t and t.strip()) for t in b["text"]]
-            x = np.array([features(t if ok else None, level, m.words.rarity, m.words.mean, m.words.rarest) for t, ok in zip(b["text"], full)], float).reshape(len(b), len(FEATURES))
+            x = np.array([of.row(t if ok else None) for t, ok in zip(b["text"], full)], float).reshape(len(b), len(FEATURES))
             g = pd.Series(m.grade(x) if len(b) else [], dtype=float).where(full)
             yield pd.DataFrame({"doc_id": b["doc_id"], "grade": g, "is_expert": (g >= m.cut).astype(object).where(g.notna(), None)})
 
