@@ -179,6 +179,9 @@ SQL = {
     "node_neighbors": f"{_CODE} SELECT 'IMPORTS' AS rel, src AS from_id, 'Class' AS neighbor_label, src AS neighbor_id FROM imports WHERE dst = 'ext/java.util.List'",
     "degree": f"WITH {_FILES}, {_CATALOG} SELECT label, id, count(*) AS degree FROM (SELECT 'File' AS label, src AS id FROM contains UNION ALL SELECT 'Class', dst FROM contains UNION ALL SELECT 'Class', src FROM imports UNION ALL SELECT 'Class', dst FROM imports UNION ALL SELECT 'Table', src FROM refs UNION ALL SELECT 'Table', dst FROM refs) GROUP BY ALL",
     "database_table_counts": f"{_CAT} SELECT database, count(*) AS tables FROM tables GROUP BY database",
+    "graph_sample": f"""{_CODE}, links AS (SELECT * FROM (SELECT 'CONTAINS_CLASS' AS type, 'File' AS sl, src, dst FROM contains UNION ALL SELECT 'IMPORTS', 'Class', src, dst FROM imports) ORDER BY type, src, dst LIMIT 120),
+deg AS (SELECT label, id, count(*) AS degree FROM (SELECT sl AS label, src AS id FROM links UNION ALL SELECT 'Class', dst FROM links) GROUP BY ALL), n AS (SELECT 'File' AS label, id, file_name AS name FROM f UNION ALL SELECT 'Class', id, name FROM cls)
+SELECT d.label, d.id, coalesce(nullif(n.name, ''), nullif(regexp_extract(d.id, '[^#/\\\\:]+$'), ''), d.id) AS caption, d.degree FROM deg d JOIN n ON n.label = d.label AND n.id = d.id""",
     "repository_status": "SELECT repo AS name, regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#]*@', '\\1') AS url, default_branch, ingest_status AS status, n_commits AS commits, nullif(last_commit, '') AS last_commit, last_ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY repo_id DESC) AS rn FROM repositories WHERE repo IS NOT NULL) WHERE rn = 1",
     "fk_hotspots": f"""{_CAT} SELECT t.database, t.schema, t.name AS "table", count(DISTINCT r.src) AS incoming_tables, list_sort(list(DISTINCT o.name))[1:10] AS referenced_by FROM refs r JOIN tables t ON t.id = r.dst JOIN tables o ON o.id = r.src GROUP BY ALL ORDER BY incoming_tables DESC, t.database, t.schema, t.name LIMIT 20""",
     "fk_hotspot_columns": f"""{_CAT} SELECT l.database_name AS database, l.table_name AS "table", l.column_name AS "column", count(*) AS incoming FROM fk JOIN live l ON l.id = fk.dst GROUP BY l.id, ALL""".replace("GROUP BY l.id, ALL", "GROUP BY l.id, l.database_name, l.table_name, l.column_name"),
