@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -72,6 +73,12 @@ _ONLY_QUOTED = re.compile(r"^\s*" + _QUOTED + _JOIN + r"\s*[+\\]?\s*\)?;?\s*$")
 _MAYBE = re.compile(r"(?i)pass|pwd|\bpw|_pw|secret|token|key|cred|auth|\bpin(?:\b|_|[A-Z])|_pin|://|bearer|basic |login|log in|identified|private|gh[pousr]_|glpat|_live_|akia|asia|xox|eyJ|/user:|\bdsn\b|[A-Za-z0-9+/_.-]{20,}")
 _OWNED = re.compile(r"(?i)\binsert\s+into\s+[\w.]+\s*\(\s*\w*(?:owner|user|login|account|member)\w*\s*,\s*\w*(?:value|secret|pass|pw|key|token|cred)\w*\s*\)\s*values\s*\(\s*'([\w.-]+)'\s*,\s*'((?:''|[^'])*)'")
 _EACH = re.compile(_QUOTED)
+_GOES_ON = re.compile(r"\s*(?:\+|\.\.?|\|\||&|\\)\s*$")
+_CONTINUED = re.compile(r"^\s*(\+|\.\.?|\|\||&)?\s*" + _QUOTED + _JOIN + r"\s*(\+|\.\.?|\|\||&|\\)?\s*[),;]*\s*$")
+# Parts of a key in a line: escapes stay, runs of its alphabet go.
+_KEY_RUN = re.compile(r"(\\+(?:u[0-9A-Fa-f]{4}|[nrt])|&#?\w+;)|(?:[A-Za-z0-9+/=]|\\/)+")
+_KEY_TEXT = re.compile(r"(?:[A-Za-z0-9+/=]|\\+[nrt/])*")
+_KEY_HEADER = re.compile(r"^\W*[A-Z][A-Za-z-]*: ")
 
 
 def name_of(raw: str) -> str:
@@ -122,7 +129,7 @@ def judge(name: str | None, value: str, strong_context: bool = False) -> tuple[s
     if not v or "ssh-rsa AAAA" in v or re.match(r"(?:ssh-(?:rsa|ed25519|dss)|ecdsa-\S+) ", v) or v.startswith(("ssh-ed25519", "ssh-rsa", "sha256-", "sha384-", "sha512-")):
         return None
     if _KEY_BLOCK.search(v):
-        return "structured", v[:80]
+        return "structured", key_id(v[v.index("-----BEGIN") :])
     pw = address_password(v)
     if pw:
         return "structured", pw
@@ -168,15 +175,62 @@ def header(m: re.Match) -> tuple[str, str] | None:
     return "structured", value
 
 
+def key_id(text: str) -> str:
+    """What stands for a key block among the values."""
+    return f"key block {re.sub(r'[^A-Za-z0-9+/=]', '', re.sub(r'-----[A-Z ]+-----', '', text))[:64]}"
+
+
+def key_text(line: str) -> str | None:
+    """The key's text in a line that holds nothing else but quotes, comment signs and operators."""
+    s = line.strip(" \t\r\"'`#*;|>.,&()[]{}\\+/-")
+    return s if _KEY_TEXT.fullmatch(s) else None
+
+
+def key_end(lines: list[tuple[int, str]], at: int, marks: list[int]) -> int:
+    """Index of the last line of the key block that begins at a line; marks: lines with BEGIN or END."""
+    if "-----END" in lines[at][1][list(_KEY_BLOCK.finditer(lines[at][1]))[-1].end() :]:
+        return at
+    k = bisect_right(marks, at)
+    if k < len(marks):
+        closing, opening = lines[marks[k]][1].find("-----END"), _KEY_BLOCK.search(lines[marks[k]][1])
+        if closing >= 0 and (not opening or closing < opening.start()):
+            return marks[k]
+    last, full = at, False  # cut off: as far as the lines are a key's
+    for j in range(at + 1, marks[k] if k < len(marks) else len(lines)):
+        text = key_text(lines[j][1])
+        if text is None and not _KEY_HEADER.match(lines[j][1]) or text and len(text) < 20 and not full:
+            break
+        if text:
+            last, full = j, True
+            if len(text) < 20:
+                break
+    return last
+
+
 def candidates(lines: list[tuple[int, str]]) -> list[tuple[int, str, str]]:
     """(line_no, kind, value) of every literal in a text that can be a credential."""
-    out: list[tuple[int, str, str]] = []
-    waiting: tuple[str, int] | None = None  # a name whose value begins on a later line
-    inside_key = False
+    return list(dict.fromkeys(x[:3] for x in extents(lines)))
+
+
+def extents(lines: list[tuple[int, str]]) -> list[tuple[int, str, str, tuple[tuple[int, str, str], ...]]]:
+    """(line_no, kind, value, ((line_no, how, part), ...)): candidates with every line that they cover.
+
+    how: 'value' (the part as it is), 'key' (a line of a key block) or 'literals' (the literals that the part begins with).
+    """
+    out: list[tuple[int, str, str, tuple[tuple[int, str, str], ...]]] = []
+    waiting: str | None = None  # a name whose value begins on a later line
+    marks = [i for i, (_, s) in enumerate(lines) if "-----END" in s or _KEY_BLOCK.search(s)]
+    in_key = skip_to = 0
+
+    def literals(first: int, value: str, end: int, begun: str = "") -> tuple[tuple[int, str, str], ...]:
+        covers, left = [], value
+        for j in range(first, end):
+            covers.append((lines[j][0], "literals", left))
+            left = left[len(begun if begun and j == first else joined(lines[j][1])) :]
+        return tuple(covers)
+
     for at, (no, line) in enumerate(lines):
-        if inside_key:
-            if "-----END" in line:
-                inside_key = False
+        if at < skip_to or at < in_key and (key_text(line) is not None or _KEY_HEADER.match(line) or "-----END" in line):
             continue
         if waiting:
             m = _ONLY_QUOTED.match(line)
@@ -185,24 +239,19 @@ def candidates(lines: list[tuple[int, str]]) -> list[tuple[int, str, str]]:
                 while k < len(lines) and _ONLY_QUOTED.match(lines[k][1]):
                     value += joined(lines[k][1])
                     k += 1
-                got = judge(waiting[0], value)
+                got = judge(waiting, value)
                 if got:
-                    out.append((no, *got))
-                waiting = (waiting[0] + "_done_id", no) if got is None else None
-                if got is None:
-                    waiting = None
-                skip_to = k
-                lines = lines[:at] + [(n, "" if j < skip_to else s) for j, (n, s) in enumerate(lines[at:], at)]
+                    out.append((no, *got, literals(at, value, k)))
+                waiting, skip_to = None, k
                 continue
             waiting = None
         if not line or not _MAYBE.search(line) and not _OPENED.match(line):
             continue
         if _KEY_BLOCK.search(line):
-            body = re.sub(r"-----[A-Z ]+-----", "", line[line.index("-----BEGIN") :]) + "".join(s for _, s in lines[at + 1 : at + 4])
-            out.append((no, "structured", f"key block {re.sub(r'[^A-Za-z0-9+/=]', '', body)[:64]}"))
-            inside_key = "-----END" not in line
-            if inside_key and not any("-----END" in s for _, s in lines[at + 1 : at + 200]):
-                inside_key = False
+            last = key_end(lines, at, marks)
+            value = key_id(line[line.index("-----BEGIN") :] + "".join(s for _, s in lines[at + 1 : at + 4]))
+            out.append((no, "structured", value, ((no, "value", value), *((n, "key", "") for n, _ in lines[at + 1 : last + 1]))))
+            in_key = last + 1
             continue
         found = [(None, m.group()) for m in _STRUCTURED.finditer(line)] + [(None, m.group()) for m in _ADDRESS.finditer(line)]
         hits = [h for h in (judge(n, v) for n, v in found) if h]
@@ -213,8 +262,18 @@ def candidates(lines: list[tuple[int, str]]) -> list[tuple[int, str, str]]:
         for m in _BOUND.finditer(line):
             if attributes and m.group(1).lower() in ("value", "name", "key", "id"):
                 continue  # judged below by the attribute's own name
-            hits.append(judge(m.group(1), joined(m.group(2))))
-            inner = joined(m.group(2))
+            inner, k = joined(m.group(2)), at + 1
+            begun, goes_on = inner, bool(_GOES_ON.match(line, m.end()))
+            if goes_on or not line[m.end() :].strip():
+                while k < len(lines) and (c := _CONTINUED.match(lines[k][1])) and (goes_on or c.group(1)):
+                    inner += joined(lines[k][1])
+                    goes_on, k = bool(c.groups()[-1]), k + 1
+            got = judge(m.group(1), inner)
+            if got and k > at + 1:
+                out.append((no, *got, literals(at, inner, k, begun)))
+                skip_to = k
+            else:
+                hits.append(got)
             hits += [judge(k, v) for k, v in _PAIR.findall(inner)] if "=" in inner else []
         for m in attributes:
             hits.append(judge(m.group(1), m.group(3)))
@@ -243,10 +302,10 @@ def candidates(lines: list[tuple[int, str]]) -> list[tuple[int, str, str]]:
         m = _PLAIN.match(line)
         if m:
             hits.append(judge(m.group(1), m.group(2).rstrip(",;")))
-        out += [(no, *h) for h in dict.fromkeys(h for h in hits if h)]
+        out += [(no, *h, ((no, "value", h[1]),)) for h in dict.fromkeys(h for h in hits if h)]
         m = _OPENED.match(line)
         if m:
-            waiting = (m.group(1), no)
+            waiting = m.group(1)
     return list(dict.fromkeys(out))
 
 
@@ -294,12 +353,16 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if lines is None:
                 continue
             texts = [(x["n"], x["s"] or "") for x in lines if x["n"] is not None]
-            got = address_candidates(texts[0][1] if texts else None) if table == "repositories" else candidates(texts)
-            rows += [(table, rid, owner, n, kind, v) for n, kind, v in got]
-        yield pd.DataFrame(rows, columns=["source_table", "record_id", "owner", "line_no", "kind", "value"])
+            if table == "repositories":
+                got = [(n, kind, v, ((n, "value", v),)) for n, kind, v in address_candidates(texts[0][1] if texts else None)]
+            else:
+                got = dict.fromkeys(extents(texts))
+            rows += [(table, rid, owner, n, kind, v, [{"n": at, "how": how, "part": part} for at, how, part in covers]) for n, kind, v, covers in got]
+        yield pd.DataFrame(rows, columns=["source_table", "record_id", "owner", "line_no", "kind", "value", "covers"])
 
 
-_PLACE = "source_table string, record_id bigint, owner string, line_no int, kind string, value string"
+_COVERS = "array<struct<n:int,how:string,part:string>>"
+_PLACE = f"source_table string, record_id bigint, owner string, line_no int, kind string, value string, covers {_COVERS}"
 
 
 def find_credentials(files: DataFrame, repositories: DataFrame, procedures: DataFrame) -> DataFrame:
@@ -309,6 +372,11 @@ def find_credentials(files: DataFrame, repositories: DataFrame, procedures: Data
     id. A value is confirmed if it is structured, or bound to a secret's name and held by at most
     ``MOST_OWNERS`` owners; structured values shared by more owners than that are real and stay.
     """
+    return covered(files, repositories, procedures).select("source_table", "record_id", "line_no", "value").distinct()
+
+
+def covered(files: DataFrame, repositories: DataFrame, procedures: DataFrame) -> DataFrame:
+    """The rows of ``find_credentials`` with all lines that each value covers, as ``extents`` has them."""
     spark = files.sparkSession
     ship(spark)
     everything = places(files, repositories, procedures)
@@ -316,13 +384,14 @@ def find_credentials(files: DataFrame, repositories: DataFrame, procedures: Data
     owners = index.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
     shared = owners.where(F.col("owners") > MOST_OWNERS).select("value")
     kept = index.where("kind = 'structured'").unionByName(index.where("kind = 'named'").join(shared, "value", "left_anti"))
-    confirmed = cut(kept.select("source_table", "record_id", "line_no", "value").distinct())
+    confirmed = cut(kept.select("source_table", "record_id", "line_no", "value", "covers").distinct())
     strong = confirmed.where((F.length("value") >= LEAST_RESCANNED) & ~F.col("value").startswith("key block ")).select("value").distinct()
     strong = cut(strong.withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(max(1, -(-strong.count() // SHARD))))))
     found = confirmed
     for s in range((strong.agg(F.max("shard")).first()[0] or 0) + 1):
-        found = found.unionByName(_rescan(everything, strong.where(F.col("shard") == s)))
-    return found.distinct()
+        again = _rescan(everything, strong.where(F.col("shard") == s))
+        found = found.unionByName(again.withColumn("covers", F.array(F.struct(F.col("line_no").alias("n"), F.lit("value").alias("how"), F.col("value").alias("part"))).cast(_COVERS)))
+    return found
 
 
 def _rescan(everything: DataFrame, values: DataFrame) -> DataFrame:
@@ -365,29 +434,72 @@ def mask(line: str, value: str) -> str:
     A literal split in parts is masked part by part. A value that is not in the line leaves it as it is.
     """
     if value.startswith("key block "):
-        return re.sub(r"(-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----)[A-Za-z0-9+/=]+", r"\1REDACTED", line)
-    if value in line:
-        return line.replace(value, "REDACTED")
-    out, left = line, value
-    for m in _EACH.finditer(line):
-        part = next((g for g in m.groups() if g), "")
-        if part and left.startswith(part):
-            out, left = out.replace(part, "REDACTED", 1), left[len(part) :]
-    return out
+        return mask_key_begin(line)
+    return line.replace(value, "REDACTED") if value in line else mask_literals(line, value)
+
+
+def mask_literals(line: str, value: str) -> str:
+    """The line with the literals masked that the value begins with, one after the other, from where they cover most of it."""
+    spans = [m.span(k) for m in _EACH.finditer(line) if (k := next((k for k in (1, 2, 3) if m.group(k)), None))]
+    best, most = [], 0
+    for i, (a, b) in enumerate(spans):
+        if value.startswith(line[a:b]):
+            got, left = [], value
+            for a, b in spans[i:]:
+                if left.startswith(line[a:b]):
+                    got.append((a, b))
+                    left = left[b - a :]
+            if len(value) - len(left) > most:
+                best, most = got, len(value) - len(left)
+    for a, b in reversed(best):
+        line = f"{line[:a]}REDACTED{line[b:]}"
+    return line
+
+
+def _mask_runs(text: str, least: int = 1) -> str:
+    return _KEY_RUN.sub(lambda m: m.group() if m.group(1) or len(m.group()) < least or not any(map(str.isalnum, m.group())) else "REDACTED", text)
+
+
+def mask_key_begin(line: str) -> str:
+    """A line with BEGIN of key blocks: all up to END on the same line, else to the end of the literal or line."""
+    out, done = [], 0
+    for m in _KEY_BLOCK.finditer(line):
+        end = line.find("-----END", m.end())
+        if end < 0:
+            end = m.end() + len(re.match(r"[^\"'`<]*", line[m.end() :]).group())
+        out += [line[done : m.end()], _mask_runs(line[m.end() : end])]
+        done = end
+    return "".join(out) + line[done:]
+
+
+def mask_key(line: str) -> str:
+    """A later line of a key block: the key's text before END, comment signs and code around its literals stay."""
+    end = line.find("-----END")
+    head, tail = (line, "") if end < 0 else (line[:end], line[end:])
+    if _EACH.search(head):
+        head = _EACH.sub(lambda m: _mask_runs(m.group()) if key_text(m.group()) is not None else m.group(), head)
+        return _mask_runs(head, 20) + tail
+    sign = re.match(r"\s*(?:#+|//+|--+|\*+|;+)?\s*", head).end()
+    return head[:sign] + _mask_runs(head[sign:], 1 if key_text(head) is not None else 20) + tail
+
+
+def masked(line: str | None, covers: list) -> str | None:
+    """The line without the parts (how, part) that values cover in it."""
+    if line is None:
+        return None
+    for how, part in sorted(covers, key=lambda c: (["literals", "key", "value"].index(c[0]), -len(c[1]))):
+        line = mask_literals(line, part) if how == "literals" else mask_key(line) if how == "key" else mask(line, part)
+    return line
 
 
 def masked_lines(files: DataFrame, repositories: DataFrame, procedures: DataFrame) -> DataFrame:
-    """(source_table, record_id, line_no, masked_line) for every line that holds a credential."""
-    found = find_credentials(files, repositories, procedures).groupBy("source_table", "record_id", "line_no").agg(F.sort_array(F.collect_set("value")).alias("found_values"))
+    """(source_table, record_id, line_no, masked_line) for every line that a credential covers."""
+    parts = covered(files, repositories, procedures).select("source_table", "record_id", F.inline("covers")).withColumnRenamed("n", "line_no")
+    found = parts.groupBy("source_table", "record_id", "line_no").agg(F.sort_array(F.collect_set(F.struct("how", "part"))).alias("covers"))
     every = places(files, repositories, procedures).select("source_table", "record_id", F.inline("lines")).withColumnsRenamed({"n": "line_no", "s": "line_text"})
 
     @F.pandas_udf("string")
-    def apply(line: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for s, vs in zip(line, values):
-            for v in sorted(vs, key=len, reverse=True):
-                s = mask(s, v)
-            out.append(s)
-        return pd.Series(out, dtype=object)
-
-    return every.join(found, ["source_table", "record_id", "line_no"]).select("source_table", "record_id", "line_no", apply("line_text", "found_values").alias("masked_line"))
+    def apply(line: pd.Series, covers: pd.Series) -> pd.Series:
+        return pd.Series([masked(s, [(c["how"], c["part"]) for c in cs]) for s, cs in zip(line, covers)], dtype=object)
+
+    return every.join(found, ["source_table", "record_id", "line_no"]).select("source_table", "record_id", "line_no", apply("line_text", "covers").alias("masked_line"))
