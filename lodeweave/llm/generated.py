@@ -1,6 +1,6 @@
 """Generated, minified, vendored and data files among sources, by a random forest.
 
-Labels come from header notices ("generated by", "vendored from", licence banners of libraries, lock
+Labels come from notices on any line ("generated by", "vendored from", licence banners of libraries, lock
 files); where tools leave a file name or folder of their own in place of a notice (``.min.js``,
 ``__generated__/``), that labels it; data held as code and bundles, which may have neither, are labelled
 when almost all lines are literals or lines run on for hundreds of characters, and bodies that
@@ -46,6 +46,8 @@ _NOTICE = re.compile(
 # Names and folders that only tools and package managers use.
 _CONVENTION = re.compile(r"(?i)(?:^|/)(?:__generated__|generated-sources|node_modules|bower_components|third_party|_vendor|site-packages)/|\.min\.(?:js|css|mjs)$|(?:^|/)(?:package-lock\.json|yarn\.lock|[\w-]+\.lock\.json|[\w-]+-lock\.json)$|_pb2\.py$|\.pb\.go$")
 _NOT_NOTICE = re.compile(r"(?i)written by hand|by hand\b|not generated|reads? generated|no longer generated|used to be generated")
+_OPENING = re.compile(r"/\*|<!--|(?<![:\w\"'/])//[#@]?|(?<![\w&\"'])#(?!\w)|(?<!\S)--(?=\s)|^\s*\*")
+_SIGNS = " \t\r/*#-<>!;"
 _COMMENT = re.compile(r"^\s*(?://|#(?!include|define|if|endif|!)|/\*|\*|--|<!--|;)")
 _LITERAL = re.compile(r"""^\s*[\[({]*\s*(?:(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?)[LlFfUu]?|true|false|null|None|["'][^"']*["'])\s*[,;+\]\)}]*\s*)+\\?$|^\s*["'`][A-Za-z0-9+/=\\]{24,}["'`]?[,;+)\s]*$|^\s*(?:INSERT\s+INTO\b.*)?\(?VALUES?\s*\(.*\)\s*[,;]?$|^\s*INSERT\s+INTO\s+\S+\s+(?:\([^)]*\)\s*)?VALUES\s*\((?:\s*(?:-?[\d.]+|'(?:''|[^'])*'|NULL|TRUE|FALSE)\s*,?)+\)\s*;?\s*$""", re.I)
 _WORD = re.compile(r"[A-Za-z_$][\w$]*")
@@ -56,14 +58,41 @@ FEATURES = [
 ]
 
 
+def _without_notices(line: str) -> str | None:
+    """The line without its notices, each with its comment, or the statement it is in; None if it has no notice."""
+    rest, done, at, found = [], 0, 0, False
+    while m := _NOTICE.search(line, at):
+        opened = None
+        for opened in _OPENING.finditer(line, at, m.start()):
+            pass
+        opened = opened or _OPENING.match(line, m.start() + len(m.group()) - len(m.group().lstrip()))
+        closing = "*/" if opened and opened.group().startswith("/*") else "-->" if opened and opened.group() == "<!--" else ""
+        if opened and closing and 0 <= line.find(closing, opened.end()) < m.start():
+            opened = None  # that comment was over
+        # what a match takes in beyond the comment or statement it begins in does not belong to it
+        if opened:
+            begin, k = opened.start(), line.find(closing, max(m.start(), opened.end())) if closing else -1
+            end = k + len(closing) if k >= 0 else len(line)
+        else:
+            begin, after = 1 + max(line.rfind(c, at, m.start()) for c in ";{}"), [k for c in ";{}" if (k := line.find(c, m.start())) >= 0]
+            begin, end = max(begin, at), min(after) + 1 if after else len(line)
+        if not _NOT_NOTICE.search(line[begin:end]):
+            rest.append(line[done:begin])
+            done, found = end, True
+        at = end
+    return "".join(rest) + line[done:] if found else None
+
+
 def body_of(text: str) -> tuple[bool, list[str]]:
-    """(has a notice, lines without the header comment and without notices)."""
+    """(has a notice on any line, lines without the header comment and without notices)."""
     lines = text.split("\n")
     noticed, kept, header = False, [], True
-    for i, line in enumerate(lines):
-        if i < 40 and len(line) < 400 and _NOTICE.search(line) and not _NOT_NOTICE.search(line):
-            noticed = True
-            continue
+    for line in lines:
+        rest = _without_notices(line)
+        if rest is not None:
+            noticed, line = True, rest
+            if not rest.strip(_SIGNS):
+                continue
         header = header and (not line.strip() or bool(_COMMENT.match(line)))
         if not header:
             kept.append(line)

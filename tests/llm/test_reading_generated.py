@@ -79,3 +79,13 @@ def test_generated_files(spark):
     assert len({i for i in range(150) if got[i]} ^ want) <= 6  # of which half carry no notice
     assert got[500] and got[501] and got[600] and got[602] and not got[503] and 502 not in got
     assert generated.find_generated(df.limit(0)).count() == 0
+
+
+def test_notices_anywhere():
+    code = [f"def f{i}(a):" for i in range(60)]
+    for notice in ("// end of output, Code generated by schemac 3.11. DO NOT EDIT.", "//# sourceMappingURL=a.js.map"):
+        assert generated.body_of("\n".join([*code, notice])) == (True, code)
+    bundle = "var a=b(1);" * 200
+    assert generated.body_of(bundle + "//# sourceMappingURL=a.js.map") == (True, [bundle])
+    assert generated.body_of(f"{bundle}/* generated by pack v2 */{bundle}") == (True, [bundle + bundle])
+    assert generated.body_of("\n".join([*code, "# written by hand, not generated by tool 1.2"]))[0] is False
