@@ -49,7 +49,9 @@ _NOT_NOTICE = re.compile(r"(?i)written by hand|by hand\b|not generated|reads? ge
 _OPENING = re.compile(r"/\*|<!--|(?<![:\w\"'/])//[#@]?|(?<![\w&\"'])#(?!\w)|(?<!\S)--(?=\s)|^\s*\*")
 _SIGNS = " \t\r/*#-<>!;"
 _COMMENT = re.compile(r"^\s*(?://|#(?!include|define|if|endif|!)|/\*|\*|--|<!--|;)")
-_LITERAL = re.compile(r"""^\s*[\[({]*\s*(?:(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?)[LlFfUu]?|true|false|null|None|["'][^"']*["'])\s*[,;+\]\)}]*\s*)+\\?$|^\s*["'`][A-Za-z0-9+/=\\]{24,}["'`]?[,;+)\s]*$|^\s*(?:INSERT\s+INTO\b.*)?\(?VALUES?\s*\(.*\)\s*[,;]?$|^\s*INSERT\s+INTO\s+\S+\s+(?:\([^)]*\)\s*)?VALUES\s*\((?:\s*(?:-?[\d.]+|'(?:''|[^'])*'|NULL|TRUE|FALSE)\s*,?)+\)\s*;?\s*$""", re.I)
+# Literals one after the other, never taken back, so that long lines take time in proportion.
+_LITERAL = re.compile(r"""^\s*+[\[({]*+\s*+(?:(?>[-+]?(?:0[xX][0-9a-fA-F]++|\d++(?:\.\d++)?)(?:[LU]|F(?!alse))?|true|false|null|None|["'][^"']*+["'])\s*+[,;+\]\)}]*+\s*+)++\\?$|^\s*+["'`][A-Za-z0-9+/=\\]{24,}+["'`]?[,;+)\s]*+$|^\s*+INSERT\s++INTO\s++\S++\s++(?:\([^)]*+\)\s*+)?VALUES\s*+\((?:\s*+(?>-?[\d.]++|'(?:''|[^'])*+'|NULL|TRUE|FALSE)\s*+,?+)++\)\s*+;?\s*+$""", re.I)
+_VALUES = re.compile(r"^\s*+(?:INSERT\s++INTO\b.*?)?\(?VALUES?\s*+\(", re.I)
 _WORD = re.compile(r"[A-Za-z_$][\w$]*")
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d+|\S")
 FEATURES = [
@@ -99,6 +101,14 @@ def body_of(text: str) -> tuple[bool, list[str]]:
     return noticed, kept
 
 
+def is_literal(line: str) -> bool:
+    """The line is literals only, a string of encoded data, or rows of values."""
+    if _LITERAL.match(line):
+        return True
+    m = _VALUES.match(line)
+    return bool(m) and line[m.end() :][: -1 if line[-1] in ",;" else None].rstrip().endswith(")")
+
+
 def _entropy(counts) -> float:
     n = sum(counts)
     return -sum(c / n * math.log2(c / n) for c in counts) if n else 0.0
@@ -120,7 +130,7 @@ def features(path: str, lines: list[str]) -> list[float]:
         len(zlib.compress(data, 6)) / max(1, len(data)), _entropy(Counter(text).values()), _entropy(Counter(tokens).values()),
         sum(map(len, words)) / max(1, len(words)), sum(len(w) < 3 for w in words) / max(1, len(words)), len(set(words)) / max(1, len(words)),
         sum(bool(_COMMENT.match(s)) for s in full) / k, math.log1p(len(full)), math.log1p(len(text)), sum(lengths) / k, max(lengths), float(np.std(lengths)), 1 - len(full) / max(1, len(lines)),
-        sum(map(str.isdigit, text)) / n, sum(not (c.isalnum() or c.isspace() or c == "_") for c in text) / n, sum(bool(_LITERAL.match(s)) for s in full) / k if len(text) < 2_000_000 else 1.0,
+        sum(map(str.isdigit, text)) / n, sum(not (c.isalnum() or c.isspace() or c == "_") for c in text) / n, sum(map(is_literal, full)) / k,
         len(shapes) / k, shapes.most_common(1)[0][1] / k if shapes else 0.0, sum(w[-1].isdigit() for w in words) / max(1, len(words)), 0.0,
         sum(len(s) > 60 and s.count(":") + s.count("=") > 2 for s in full) / k,
         float(name.endswith(".sql")), float(name.endswith((".json", ".xml", ".yaml", ".yml", ".properties", ".toml"))),

@@ -89,3 +89,13 @@ def test_notices_anywhere():
     assert generated.body_of(bundle + "//# sourceMappingURL=a.js.map") == (True, [bundle])
     assert generated.body_of(f"{bundle}/* generated by pack v2 */{bundle}") == (True, [bundle + bundle])
     assert generated.body_of("\n".join([*code, "# written by hand, not generated by tool 1.2"]))[0] is False
+
+
+def test_literal_share_at_every_size():
+    at = generated.FEATURES.index("literal_lines")
+    code = [f"    total = order.price(item_{i}, rate) * self.factor(item_{i})" for i in range(40_000)]
+    assert sum(map(len, code)) > 2_000_000 and generated.features("a.py", code)[at] == 0
+    rows = [f"    {i}, 0x1F, 'a b', true," for i in range(100_000)]
+    assert sum(map(len, rows)) > 2_000_000 and generated.features("a.py", rows)[at] == 1
+    assert not generated.is_literal("1" * 100_000 + "x") and generated.is_literal("(" + "1, " * 100_000 + "1)")
+    assert generated.is_literal("INSERT INTO a (b) VALUES (1, 'it''s');") and not generated.is_literal("x = VALUES(1)")
