@@ -19,7 +19,7 @@ _GO_LEX = re.compile(r"(?P<NL>\n)|(?P<SP>[ \t\r\ufeff]+)|(?P<C>//[^\n]*|/\*.*?\*
 _JS_LEX = re.compile(r"(?P<NL>[\n\r\u2028\u2029])|(?P<SP>[ \t\f\v\u00a0\ufeff]+)|(?P<C>//[^\n]*|/\*.*?\*/|\A#![^\n]*)|(?P<STR>\"(?:\\(?:\r\n|.)|[^\"\\\n])*\"|'(?:\\(?:\r\n|.)|[^'\\\n])*')|(?P<NUM>(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)n?)|(?P<NAME>#?[^\W\d][\w$]*|#?\$[\w$]*)|(?P<OP>=>|\.\.\.|\*\*=?|\?\?=?|\?\.(?!\d)|&&=?|\|\|=?|\+\+|--|===|!==|==|!=|<=|<<=?|[+\-*%&|^]=|[-+*%&|^!~<>=?:;,.()\[\]@])|(?P<BAD>.)", re.S)
 _JS_REGEX = re.compile(r"/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
 _JS_CHUNK = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*", re.S)
-_SQL_LEX = re.compile(r"(?P<NL>\n)|(?P<SP>[ \t\r\f\ufeff]+)|(?P<C>--[^\n]*|/\*.*?\*/|\#[^\n]*)|(?P<DOLLAR>(\$\w*\$).*?\10)|(?P<STR>[NEXBneub]?'(?:''|\\.|[^'\\])*')|(?P<QID>\"(?:\"\"|[^\"])*\"|`(?:``|[^`])*`|\[[A-Za-z_][^\]\n]*\])|(?P<NUM>0[xX][0-9a-fA-F]+|(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?(?![A-Za-z_]))|(?P<NAME>@{0,2}[^\W\d][\w$#]*|\#{1,2}[^\W\d]\w*)|(?P<PAR>[:$]\w+|\?)|(?P<OP>::|:=|=>|->>?|\|\||<=>|<>|!=|<=|>=|[-+*/%&|^~<>=:;,.()\[\]{}!])|(?P<BAD>.)".replace(r"\10", r"\5"), re.S)
+_SQL_LEX = re.compile(r"(?P<NL>\n)|(?P<SP>[ \t\r\f\ufeff]+)|(?P<C>--[^\n]*|/\*.*?\*/|\#[^\n]*)|(?P<DOLLAR>(\$\w*\$).*?\10)|(?P<STR>[NEXBneub]?'(?:''|\\.|[^'\\])*')|(?P<QID>\"(?:\"\"|[^\"])*\"|`(?:``|[^`])*`|\[[A-Za-z_][^\]\n]*\])|(?P<NUM>0[xX][0-9a-fA-F]+|(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?(?![A-Za-z_]))|(?P<NAME>(?:(?<!['\"`])@{1,2})?[^\W\d][\w$#]*|\#{1,2}[^\W\d]\w*)|(?P<PAR>[:$]\w+|\?)|(?P<OP>::|:=|=>|->>?|\|\||<=>|<>|!=|<=|>=|[-+*/%&|^~<>=:;,.()\[\]{}!@])|(?P<BAD>.)".replace(r"\10", r"\5"), re.S)
 
 
 def lex(pattern: re.Pattern, text: str, words: set[str], upper: bool = False) -> Tokens:
@@ -490,7 +490,9 @@ IndexSig = '[' NAME ':' Type ']' ':' Type ;
 """
 
 SQL_RULES = """
-File = (';' / Go / Statement (';' / Go / &EOF) ~)* EOF ;
+File = (';' / Go / Statement (';' / Go / &EOF) ~ / Batch &Begins ~)* EOF ;
+Begins = 'SELECT' / 'INSERT' / 'UPDATE' / 'DELETE' / 'CREATE' / 'ALTER' / 'DROP' / 'TRUNCATE' / 'MERGE' / 'GRANT' / 'REVOKE' / 'SET' / 'DECLARE' / 'EXEC' / 'EXECUTE' / 'PRINT' / 'IF' / 'BEGIN' / 'WITH' / 'USE' / 'COMMENT' 'ON' ;
+Batch = Set / Declare / If / Block / ('EXEC' / 'EXECUTE' / 'PRINT' / 'USE') Soup ;
 Go = 'GO' NUM? / '/' ;
 Statement = Query / Insert / Update / Delete / Merge / CreateTable / CreateView / CreateIndex / Routine / CreateOther / Alter / Drop / Block / Command ;
 Name = NAME / QID ;
@@ -534,11 +536,23 @@ KeyCol = Expr ('ASC' / 'DESC')? ('NULLS' ('FIRST' / 'LAST'))? ;
 TableOption = 'ENGINE' '='? Name / 'DEFAULT'? ('CHARSET' / 'CHARACTER' 'SET' / 'COLLATE') '='? (Name / STR) / 'COMMENT' '='? STR / 'AUTO_INCREMENT' '='? NUM / 'ROW_FORMAT' '='? Name / 'TABLESPACE' Name / 'INHERITS' Names / 'PARTITION' 'BY' Name '(' Exprs ')' / 'WITH' '(' Soup ')' / 'ON' Name / 'WITHOUT' 'ROWID' / 'STRICT' / 'STORED' 'AS' Name / 'USING' Name / 'LOCATION' STR / ',' ;
 CreateView = CreateHead ('MATERIALIZED' / 'SECURE' / 'FORCE')* 'VIEW' IfNot? Path Names? ('WITH' Name (',' Name)*)? 'AS' Query ('WITH' ('LOCAL' / 'CASCADED')? 'CHECK' 'OPTION' / 'WITH' 'NO'? 'DATA')? ;
 CreateIndex = CreateHead ('UNIQUE' / 'CLUSTERED' / 'NONCLUSTERED' / 'FULLTEXT')* 'INDEX' 'CONCURRENTLY'? IfNot? Path? 'ON' Path ('USING' Name)? KeyCols ('INCLUDE' Names)? ('WITH' '(' Soup ')')? ('WHERE' Expr)? ;
-CreateOther = CreateHead ('SCHEMA' / 'DATABASE' / 'SEQUENCE' / 'TYPE' / 'DOMAIN' / 'EXTENSION' / 'ROLE' / 'USER' / 'LOGIN' / 'POLICY' / 'SYNONYM') Soup ;
-Alter = 'ALTER' ('TABLE' 'ONLY'? ('IF' 'EXISTS')? Path AlterItem (',' AlterItem)* / Name Soup) ;
+CreateOther = CreateHead (('SCHEMA' / 'DATABASE') IfNot? (Path ('AUTHORIZATION' Path)? / 'AUTHORIZATION' Path) Soup? Statement* / 'SEQUENCE' IfNot? Path ('AS' DataType)? SequenceOption* / 'TYPE' IfNot? Path TypeBody? / 'DOMAIN' Path 'AS'? DataType ('CONSTRAINT' Name / 'NOT' 'NULL' / 'NULL' / 'DEFAULT' Bin / 'COLLATE' Path / 'CHECK' '(' Expr ')')*
+  / ('ROLE' / 'USER' / 'LOGIN') IfNot? Account (',' Account)* RoleOption* / 'POLICY' Name 'ON' Path PolicyPart* / ('EXTENSION' / 'SYNONYM') IfNot? Path Soup?) ;
+SequenceOption = 'INCREMENT' 'BY'? Signed / ('MINVALUE' / 'MAXVALUE' / 'CACHE') Signed / 'START' 'WITH'? Signed / 'RESTART' ('WITH'? Signed)? / 'NO' ('MINVALUE' / 'MAXVALUE' / 'CYCLE' / 'CACHE' / 'ORDER') / 'CYCLE' / 'NOCYCLE' / 'NOCACHE' / 'NOMINVALUE' / 'NOMAXVALUE' / 'ORDER' / 'NOORDER' / 'OWNED' 'BY' Path ;
+Signed = ('+' / '-')? (NUM / PAR) ;
+TypeBody = ('AS' / 'IS') ('ENUM' '(' (STR (',' STR)*)? ')' / 'RANGE' '(' Soup ')' / 'OBJECT'? '(' (TableItem (',' TableItem)*)? ')' / 'TABLE' ('OF' DataType / '(' TableItem (',' TableItem)* ')') / ('VARRAY' / 'VARYING' 'ARRAY') '(' NUM ')' 'OF' DataType) / 'FROM' DataType ('NOT'? 'NULL')? / 'UNDER' Path '(' TableItem (',' TableItem)* ')' / '(' Soup ')' ;
+Account = (Path / STR) ('@' (Name / STR))? ;
+RoleOption = 'IDENTIFIED' ('WITH' (Name / STR))? ('BY' / 'AS') 'PASSWORD'? (STR / Name) / 'IDENTIFIED' ('WITH' (Name / STR) / 'EXTERNALLY') / ('ENCRYPTED' / 'UNENCRYPTED')? 'PASSWORD' '='? (STR / 'NULL' / NUM / PAR) 'HASHED'? 'MUST_CHANGE'? / 'VALID' 'UNTIL' STR / 'CONNECTION' 'LIMIT' Signed / 'IN' ('ROLE' / 'GROUP' / 'DATABASE') Paths / ('ROLE' / 'ADMIN' / 'USER') Paths / 'DEFAULT' ('ROLE' / 'TABLESPACE') Paths / 'TEMPORARY' 'TABLESPACE' Name / 'QUOTA' (NUM Name? / 'UNLIMITED') 'ON' Name / 'PROFILE' Name / 'ACCOUNT' ('LOCK' / 'UNLOCK') / 'SYSID' NUM / ('FOR' / 'FROM') ('LOGIN' / 'CERTIFICATE') Name / 'WITHOUT' 'LOGIN' / 'AUTHORIZATION' Name / 'REQUIRE' ('SSL' / 'X509' / 'NONE') / 'COMMENT' '='? STR
+  / 'SUPERUSER' / 'NOSUPERUSER' / 'CREATEDB' / 'NOCREATEDB' / 'CREATEROLE' / 'NOCREATEROLE' / 'INHERIT' / 'NOINHERIT' / 'LOGIN' / 'NOLOGIN' / 'REPLICATION' / 'NOREPLICATION' / 'BYPASSRLS' / 'NOBYPASSRLS' / 'WITH' RoleOption / ',' RoleOption / Name '=' (Name / STR / NUM / 'DEFAULT' / 'ON') ;
+Paths = Path (',' Path)* ;
+PolicyPart = 'AS' ('PERMISSIVE' / 'RESTRICTIVE') / 'FOR' ('ALL' / 'SELECT' / 'INSERT' / 'UPDATE' / 'DELETE') / 'TO' Paths / 'USING' '(' Expr ')' / 'WITH' 'CHECK' '(' Expr ')' ;
+Alter = 'ALTER' ('TABLE' 'ONLY'? ('IF' 'EXISTS')? Path AlterItem (',' AlterItem)* / ('ROLE' / 'USER' / 'LOGIN') ('IF' 'EXISTS')? Account (('RENAME' 'TO' Name / ('IN' 'DATABASE' Name)? (Set / 'RESET' Name) / 'ENABLE' / 'DISABLE') / RoleOption+) / 'SEQUENCE' ('IF' 'EXISTS')? Path (SequenceOption+ / AlterTail)
+  / 'TYPE' Path ('ADD' 'VALUE' IfNot? STR (('BEFORE' / 'AFTER') STR)? / 'RENAME' 'VALUE' STR 'TO' STR / ('ADD' / 'DROP' / 'ALTER') 'ATTRIBUTE' Soup / AlterTail) / ('SESSION' / 'SYSTEM') Soup / 'DEFAULT' 'PRIVILEGES' ('FOR' ('ROLE' / 'USER') Paths)? ('IN' 'SCHEMA' Paths)? Grant / 'POLICY' Name 'ON' Path (PolicyPart+ / 'RENAME' 'TO' Name) / ('VIEW' / 'PROCEDURE' / 'PROC' / 'FUNCTION' / 'TRIGGER') (Path Names? 'AS' Query / RoutineBody / Path ('(' Soup? ')')? (AlterTail / Soup)) / !('TABLE' / 'ROLE' / 'USER' / 'LOGIN' / 'SEQUENCE' / 'TYPE' / 'VIEW' / 'SESSION' / 'SYSTEM') Name Path ('(' Soup? ')')? (AlterTail / Soup)) ;
+AlterTail = 'RENAME' ('TO' Path / Soup) / 'OWNER' 'TO' Path / 'SET' 'SCHEMA' Name / 'SET' Soup ;
 AlterItem = 'ADD' (TableConstraint / 'COLUMN'? IfNot? '('? TableItem (',' TableItem)* ')'?) / 'DROP' ('COLUMN' / 'CONSTRAINT' / 'PRIMARY' 'KEY' / 'FOREIGN' 'KEY' / 'INDEX')? ('IF' 'EXISTS')? Name? ('CASCADE' / 'RESTRICT')? / 'RENAME' ('TO' Path / 'COLUMN'? Name 'TO' Name) / ('MODIFY' / 'CHANGE') 'COLUMN'? Name? TableItem / 'ALTER' 'COLUMN'? Name ('TYPE' DataType ('USING' Expr)? / 'SET' ('DEFAULT' Expr / 'NOT' 'NULL' / 'DATA' 'TYPE' DataType) / 'DROP' ('DEFAULT' / 'NOT' 'NULL') / DataType ColumnOption*) / ('OWNER' 'TO' / 'SET' / 'ENABLE' / 'DISABLE' / 'ENGINE' / 'COMMENT') Soup ;
 Drop = 'DROP' ('MATERIALIZED' / 'TEMPORARY')? Name 'CONCURRENTLY'? ('IF' 'EXISTS')? Path (',' Path)* ('(' Soup? ')')? ('ON' Path)? ('CASCADE' / 'RESTRICT' / 'CONSTRAINTS' / 'PURGE')* / 'TRUNCATE' 'TABLE'? Path (',' Path)* ('CASCADE' / 'RESTRICT' / 'RESTART' 'IDENTITY')* ;
-Routine = CreateHead ('DEFINER' '=' (Name / STR) ('@' (Name / STR))?)? ('PROCEDURE' / 'PROC' / 'FUNCTION' / 'TRIGGER' / 'EVENT' / 'PACKAGE' 'BODY'?) IfNot? Path (!('BEGIN' / 'AS' / 'IS' / DOLLAR / ';') Any)* (('AS' / 'IS')? (DOLLAR / STR / Declares? Block / Simple / Query / Insert / Update / Delete) RoutineTail* / 'RETURN' Expr) ;
+Routine = CreateHead ('DEFINER' '=' (Name / STR) ('@' (Name / STR))?)? ('PROCEDURE' / 'PROC' / 'FUNCTION' / 'TRIGGER' / 'EVENT' / 'PACKAGE' 'BODY'?) RoutineBody ;
+RoutineBody = IfNot? Path (!('BEGIN' / 'AS' / 'IS' / DOLLAR / ';') Any)* (('AS' / 'IS')? (DOLLAR / STR / Declares? Block / Simple / Query / Insert / Update / Delete) RoutineTail* / 'RETURN' Expr) ;
 RoutineTail = 'LANGUAGE' (Name / STR) / 'IMMUTABLE' / 'STABLE' / 'VOLATILE' / 'STRICT' / 'SECURITY' Name / 'COST' NUM ;
 Any = '(' Soup? ')' / WORD / QID / NUM / STR / PAR / ',' / '=' / '.' / '%' / ':=' / '[' / ']' / '*' / '-' ;
 Declares = 'DECLARE'? (Name ('CONSTANT')? ('CURSOR' ('FOR' / 'IS') Query / DataType ('NOT' 'NULL')? ((':=' / '=' / 'DEFAULT') Expr)?) ';')+ ;
@@ -546,12 +560,25 @@ Block = Declares? 'BEGIN' ('TRANSACTION' / 'TRAN' / 'ATOMIC' / 'TRY' / 'CATCH')*
 Inner = ';' / If / Loop / 'RETURN' ('NEXT' / 'QUERY')? (Query / Expr)? / Perform / Raise / Declare / Block / Statement ;
 Perform = ('PERFORM' / 'CALL' / 'EXECUTE' / 'EXEC' / 'PRINT' / 'OPEN' / 'CLOSE' / 'FETCH' / 'LEAVE' / 'ITERATE' / 'EXIT' / 'CONTINUE' / 'BREAK' / 'NULL' / 'COMMIT' / 'ROLLBACK' / 'SIGNAL' / 'THROW') Soup? &(';' / 'END' / EOF) ;
 Raise = ('RAISE' / 'RAISERROR') Soup? ;
-Declare = 'DECLARE' Soup ;
+Declare = 'DECLARE' (('CONTINUE' / 'EXIT' / 'UNDO') 'HANDLER' 'FOR' Soup Inner / Name ('INSENSITIVE' / 'SCROLL' / 'NO' 'SCROLL')* 'CURSOR' (!'FOR' Name)* 'FOR' Query / Name 'CONDITION' 'FOR' Soup / DeclareItem (',' DeclareItem)*) ;
+DeclareItem = Name (',' Name)* 'AS'? ('TABLE' '(' TableItem (',' TableItem)* ')' / 'CURSOR' / DataType) ('NOT' 'NULL')? (('=' / ':=' / 'DEFAULT') Expr)? ;
 If = 'IF' Expr ('THEN' Inner* (('ELSIF' / 'ELSEIF') Expr 'THEN' Inner*)* ('ELSE' Inner*)? 'END' 'IF' / Inner ';'? ('ELSE' Inner)?) ;
 Loop = ('WHILE' Expr / 'FOR' Name 'IN' 'REVERSE'? (Expr ('.' '.' Expr)? / Query))? 'LOOP' Inner* 'END' 'LOOP' Name? / 'WHILE' Expr ('DO' Inner* 'END' 'WHILE' / Inner) / 'REPEAT' Inner* 'UNTIL' Expr 'END' 'REPEAT' ;
 Simple = If / Loop / Perform / Raise ;
-Command = 'SET' Soup / ('GRANT' / 'REVOKE') Soup / ('USE' / 'COMMIT' / 'ROLLBACK' / 'SAVEPOINT' / 'ANALYZE' / 'VACUUM' / 'EXPLAIN' / 'COMMENT' / 'COPY' / 'CALL' / 'EXEC' / 'EXECUTE' / 'SHOW' / 'DESCRIBE' / 'PRAGMA' / 'LOCK' / 'UNLOCK' / 'DELIMITER' / 'DO' / 'REFRESH' / 'START' / 'PRINT' / 'DECLARE' / 'REINDEX' / 'CLUSTER' / 'LOAD' / 'IF' / 'BEGIN') Soup? / 'BEGIN' ('TRANSACTION' / 'WORK')? / 'END' ('TRANSACTION' / 'WORK')? ;
-Soup = (Expr / WORD / QID / '(' Soup? ')' / '[' Soup? ']' / ',' / '=' / ':=' / '=>' / '.' / '*' / '%' / DOLLAR / '@' / '-' / ':')+ ;
+Command = Set / Grant / 'COMMENT' 'ON' ('MATERIALIZED' / 'FOREIGN')? (Name Path ('(' Soup? ')')? / ('CONSTRAINT' / 'TRIGGER' / 'POLICY' / 'RULE') Name 'ON' 'DOMAIN'? Path) ('IS' (STR / 'NULL' / DOLLAR)) / If / Declare / 'COPY' (Path Names? / '(' Query ')') ('FROM' / 'TO') (STR / PAR / Name / 'PROGRAM' STR) Soup? / 'EXPLAIN' ('ANALYZE' / 'VERBOSE' / 'PLAN' 'FOR' / 'FORMAT' '='? Name / '(' Soup ')')* (Statement / Path)
+  / ('USE' / 'SAVEPOINT' / 'CALL' / 'EXEC' / 'EXECUTE' / 'SHOW' / 'DESCRIBE' / 'LOCK' / 'UNLOCK' / 'DO' / 'REFRESH' / 'START' / 'PRINT' / 'LOAD') Soup / 'PRAGMA' Path ('=' ('ON' / Expr) / '(' Expr ')')? / ('COMMIT' / 'ROLLBACK' / 'DELIMITER' / 'ANALYZE' / 'VACUUM' / 'REINDEX' / 'CLUSTER' / 'BEGIN') Soup? / 'BEGIN' ('TRANSACTION' / 'WORK')? / 'END' ('TRANSACTION' / 'WORK')? ;
+Set = 'SET' ('TRANSACTION' / 'SESSION' 'CHARACTERISTICS' 'AS' 'TRANSACTION') ('ISOLATION' 'LEVEL' Name Name? / 'READ' ('ONLY' / 'WRITE') / ',')+ / 'SET' 'CONSTRAINTS' ('ALL' / Paths) ('DEFERRED' / 'IMMEDIATE') / 'SET' ('SESSION' / 'LOCAL' / 'GLOBAL')? (('ROLE' / 'NAMES' / 'SCHEMA' / 'PASSWORD' / 'AUTHORIZATION') '='? SetValue ('COLLATE' (Name / STR))? / 'CHARACTER' 'SET' SetValue / 'TIME' 'ZONE' SetValue / 'IDENTITY_INSERT' Path ('ON' / 'OFF') / SetOne (',' SetOne)* / Name (',' Name)* ('ON' / 'OFF') / Name (SetValue (',' SetValue)*)) ;
+SetOne = ('SESSION' / 'GLOBAL' / 'LOCAL' / 'PERSIST')? Path ('=' / ':=' / 'TO' / ('+' / '-' / '*' / '/' / '%' / '&' / '|' / '^') '=') SetValue (',' SetValue !('=' / ':=' / 'TO' / '.'))* ;
+SetValue = 'ON' / 'DEFAULT' / 'CURSOR' 'FOR' Query / Expr ;
+Grant = ('GRANT' / 'REVOKE' (('GRANT' / 'ADMIN') 'OPTION' 'FOR')? / 'DENY') Privilege (',' Privilege)* ('ON' (('ALL' Name 'IN' 'SCHEMA' / ('TABLE' / 'SEQUENCE' / 'SCHEMA' / 'DATABASE' / 'FUNCTION' / 'PROCEDURE' / 'TYPE' / 'DOMAIN' / 'LANGUAGE' / 'OBJECT') (':' ':' / '::')?)? GrantOn (',' GrantOn)*))? ('TO' / 'FROM') Grantee (',' Grantee)* ('WITH' ('GRANT' / 'ADMIN') 'OPTION' / 'GRANTED' 'BY' Path / 'CASCADE' / 'RESTRICT' / RoleOption)* ;
+Privilege = (!('ON' / 'TO' / 'FROM') (Path / 'SELECT' / 'INSERT' / 'UPDATE' / 'DELETE' / 'REFERENCES' / 'CREATE' / 'ALL' / 'WITH' / 'SET'))+ Names? ;
+GrantOn = ('*' / Path) ('.' '*')? ('(' Soup? ')')? ;
+Grantee = ('GROUP' / 'ROLE' / 'USER')? Account / 'PUBLIC' ;
+Soup = SoupPart (('=' / ':=' / '=>' / ',' / '-' / ':' / '.' / '@' / '%')? SoupPart / '*')* ;
+SoupPart = !(SoupStop) (SoupLink (Query / SoupPart / '*') / '(' Soup? ')' / '[' Soup? ']' / Expr / SoupWord / QID / DOLLAR / '*' / '@' SoupPart) ;
+SoupStop = 'SELECT' / 'INSERT' / 'UPDATE' / 'DELETE' / 'CREATE' / 'ALTER' (NAME / 'TABLE') / 'DROP' / 'TRUNCATE' / 'MERGE' / 'GRANT' / 'REVOKE' / 'DECLARE' / 'PRINT' / 'BEGIN' / 'END' / 'THEN' / 'ELSE' / 'COMMENT' 'ON' ;
+SoupLink = 'ON' !('COMMIT' / 'DELETE') / 'TO' / 'FROM' / 'AS' / 'IS' / 'IN' / 'FOR' / 'BY' / 'USING' / 'WHERE' / 'AND' / 'OR' / 'INTO' / 'LIKE' / 'WHEN' / 'WITH' / 'NOT' / 'JOIN' / 'HAVING' / 'SET' / 'OF' / 'IF' / 'REFERENCES' / 'LEFT' / 'RIGHT' / 'FULL' / 'INNER' / 'CROSS' / 'GROUP' &'BY' / 'ORDER' &'BY' / 'LIMIT' / 'OFFSET' ;
+SoupWord = 'EXISTS' / 'DISTINCT' / 'DEFAULT' / 'NULL' / 'PRIMARY' / 'FOREIGN' / 'UNIQUE' / 'CHECK' / 'CONSTRAINT' / 'VALUES' / 'GROUP' / 'ORDER' / 'FETCH' / 'WINDOW' ;
 Exprs = Expr (',' Expr)* ;
 Expr = Not (('OR' / 'AND' / 'XOR' / '&&' ) Not)* ;
 Not = 'NOT' Not / Compare ;

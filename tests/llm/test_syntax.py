@@ -80,3 +80,28 @@ def test_check_files(spark):
     rate = {(r["repo"], r["language"]): (r["n_files"], r["n_invalid"]) for r in syntax.rates(syntax.check_files(df)).collect()}
     assert rate["r", "python"] == (3, 1) and rate[None, "java"] == (1, 1)
     assert syntax.check_files(df.limit(0)).count() == 0
+
+
+SQL_STATEMENTS = [
+    "COMMENT ON TABLE a.b IS 'x'", "COMMENT ON COLUMN a.b.c IS NULL", "GRANT SELECT, INSERT (a, b) ON TABLE t TO u WITH GRANT OPTION", "GRANT ALL PRIVILEGES ON db.* TO 'u'@'%'", "REVOKE EXECUTE ON FUNCTION f(int, text) FROM PUBLIC", "GRANT r TO u", "SET search_path TO a, b", "SET x = 1", "SET NAMES utf8", "CREATE USER u IDENTIFIED BY 'x'",
+    "CREATE ROLE r WITH LOGIN PASSWORD 'x' VALID UNTIL 'y'", "CREATE LOGIN l WITH PASSWORD = 'x', DEFAULT_DATABASE = d", "CREATE SEQUENCE IF NOT EXISTS s AS bigint START WITH 1 INCREMENT BY -1 OWNED BY t.c", "CREATE TYPE m AS ENUM ('a', 'b')", "CREATE TYPE m AS (a int, b text)", "ALTER ROLE r WITH PASSWORD 'x'", "ALTER SEQUENCE s RESTART WITH 5", "ALTER TYPE m ADD VALUE 'c'",
+    "DECLARE @x int = 1, @y varchar(10)", "DECLARE c CURSOR FOR SELECT 1", "CALL f(1, 'a')", "EXEC p @a = 1, @b = 'x'", "COPY t (a, b) FROM STDIN WITH (FORMAT csv)", "EXPLAIN SELECT 1", "USE d", "CREATE SCHEMA IF NOT EXISTS s", "CREATE EXTENSION IF NOT EXISTS e", "ALTER TABLE t OWNER TO u", "BEGIN", "COMMIT", "IF OBJECT_ID('t') IS NOT NULL DROP TABLE t",
+]
+SQL_BROKEN = [
+    "COMMENT ON TABLE x IS", "GRANT SELECT ON", "GRANT SELECT ON t TO", "SET x =", "CREATE USER u IDENTIFIED BY", "CREATE ROLE r WITH PASSWORD", "CREATE SEQUENCE s START WITH", "CREATE TYPE m AS ENUM ('a',", "CREATE TYPE m AS", "ALTER ROLE r WITH PASSWORD", "ALTER SEQUENCE s", "ALTER TABLE t OWNER TO", "DECLARE @x int =", "CALL f(1,", "EXEC p @a =", "COPY t FROM", "REVOKE SELECT ON t",
+    "COMMENT ON TABLE x IS 'a' CREATE TABLE t (a int);", "SET NOCOUNT ON CREATE TABLE t (a int,, b)", "GRANT SELECT ON t TO u CREATE TABLE t (a int,, b)", "CREATE SCHEMA s CREATE TABLE t (a int,, b)", "CREATE PROCEDURE p(a int,, b int) AS BEGIN SELECT 1; END",
+]
+
+
+@pytest.mark.parametrize("text", SQL_STATEMENTS)
+def test_sql_statements(text):
+    assert failure("sql", text + ";") == 0 and failure("sql", text) == 0
+
+
+@pytest.mark.parametrize("text", SQL_BROKEN)
+def test_sql_broken_statements(text):
+    assert failure("sql", text) > 0
+
+
+def test_sql_batches_without_semicolons():
+    assert failure("sql", "SET NOCOUNT ON\nSET QUOTED_IDENTIFIER ON\nDECLARE @a int = 1\nSET @a = @a + 1\nCREATE TABLE t (a int)\nGO\nEXEC p @a\nSELECT 1\n") == 0
