@@ -28,7 +28,7 @@ from lodeweave.runtime import cut, ship
 MOST_OWNERS = 12
 #: Values in one automaton; more are scanned for in several passes, so no broadcast grows with the corpus.
 SHARD = 100_000
-#: Only values this long are searched for where no context speaks for them.
+#: Where no context speaks for them, values shorter than this count only if rare, and held by the same owner or of letters and digits.
 LEAST_RESCANNED = 12
 
 # Parts of names that hold secrets, and parts after which they hold something about a secret.
@@ -384,14 +384,29 @@ def covered(files: DataFrame, repositories: DataFrame, procedures: DataFrame) ->
     owners = index.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
     shared = owners.where(F.col("owners") > MOST_OWNERS).select("value")
     kept = index.where("kind = 'structured'").unionByName(index.where("kind = 'named'").join(shared, "value", "left_anti"))
-    confirmed = cut(kept.select("source_table", "record_id", "line_no", "value", "covers").distinct())
-    strong = confirmed.where((F.length("value") >= LEAST_RESCANNED) & ~F.col("value").startswith("key block ")).select("value").distinct()
+    confirmed = cut(kept.select("source_table", "record_id", "owner", "line_no", "value", "covers").distinct())
+    strong = confirmed.where(~F.col("value").startswith("key block ")).select("value").distinct()
     strong = cut(strong.withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(max(1, -(-strong.count() // SHARD))))))
-    found = confirmed
+    again = None
     for s in range((strong.agg(F.max("shard")).first()[0] or 0) + 1):
-        again = _rescan(everything, strong.where(F.col("shard") == s))
-        found = found.unionByName(again.withColumn("covers", F.array(F.struct(F.col("line_no").alias("n"), F.lit("value").alias("how"), F.col("value").alias("part"))).cast(_COVERS)))
-    return found
+        hits = _rescan(everything, strong.where(F.col("shard") == s))
+        again = hits if again is None else again.unionByName(hits)
+    again = _likely(cut(again), confirmed.select("value", "owner").distinct())
+    again = again.withColumn("covers", F.array(F.struct(F.col("line_no").alias("n"), F.lit("value").alias("how"), F.col("value").alias("part"))).cast(_COVERS))
+    return confirmed.drop("owner").unionByName(again.drop("owner"))
+
+
+def _likely(hits: DataFrame, held: DataFrame) -> DataFrame:
+    """Hits of long values, and of short ones where they are no word or number that stands there by chance.
+
+    A short value must be a token in at most ``MOST_OWNERS`` owners, and its owner must hold it as a
+    credential too (``held``) or it must mix letters and digits.
+    """
+    short = hits.where(F.length("value") < LEAST_RESCANNED)
+    rare = short.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners")).where(F.col("owners") <= MOST_OWNERS).select("value")
+    mixed = F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]")
+    short = short.join(rare, "value", "left_semi").join(held.withColumn("is_held", F.lit(True)), ["value", "owner"], "left").where(F.col("is_held") | mixed)
+    return hits.where(F.length("value") >= LEAST_RESCANNED).unionByName(short.drop("is_held"))
 
 
 def _rescan(everything: DataFrame, values: DataFrame) -> DataFrame:
@@ -409,19 +424,19 @@ def _rescan(everything: DataFrame, values: DataFrame) -> DataFrame:
             a.make_automaton()
         for b in batches:
             rows = []
-            for table, rid, lines in zip(b["source_table"], b["record_id"], b["lines"]):
+            for table, rid, owner, lines in zip(b["source_table"], b["record_id"], b["owner"], b["lines"]):
                 if lines is None or not shared.value:
                     continue
                 for x in lines:
                     s = x["s"]
-                    if s and x["n"] is not None and len(s) >= LEAST_RESCANNED:
+                    if s and x["n"] is not None:
                         for end, v in a.iter(s):
                             start = end - len(v) + 1
                             if not (start and _in_token(s[start - 1])) and not (end + 1 < len(s) and _in_token(s[end + 1])):
-                                rows.append((table, rid, x["n"], v))
-            yield pd.DataFrame(rows, columns=["source_table", "record_id", "line_no", "value"])
+                                rows.append((table, rid, owner, x["n"], v))
+            yield pd.DataFrame(rows, columns=["source_table", "record_id", "owner", "line_no", "value"])
 
-    return everything.mapInPandas(run, "source_table string, record_id bigint, line_no int, value string")
+    return everything.mapInPandas(run, "source_table string, record_id bigint, owner string, line_no int, value string")
 
 
 def _in_token(c: str) -> bool:

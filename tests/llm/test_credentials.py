@@ -97,3 +97,10 @@ def test_masked_lines_cover_keys(spark):
     text = ['K = """-----BEGIN RSA PRIVATE KEY-----', *BODY, f'{END}"""', "x = 1"]
     got = {r["line_no"]: r["masked_line"] for r in C.masked_lines(*tables(spark, [(1, "a", [(i, s, "") for i, s in enumerate(text, 1)])])).collect()}
     assert set(got) == {1, 2, 3, 4, 5} and got[2] == got[3] == got[4] == "REDACTED"
+
+
+def test_short_values_again(spark):
+    files = [(1, "a", [(1, 'password = "ziva007"', ""), (2, 'pin = "4785"', ""), (3, 'password = "ledger"', "")]), (2, "b", [(1, "left ziva007 here, 4785 and ledger too", "")]), (3, "a", [(1, "open with ledger", ""), (2, "xziva007", "")])]
+    files += [(10 + i, f"r{i}", [(1, "the common4 thing", "")]) for i in range(C.MOST_OWNERS)] + [(40, "c", [(1, 'password = "common4"', ""), (2, "common4 again", "")])]
+    got = {(r[0], r[1]) for r in C.find_credentials(*tables(spark, files)).select("record_id", "line_no").collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (40, 1)}
