@@ -25,8 +25,7 @@ def place(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]
     open_packs: list[tuple[int, int, int, tuple]] = []  # fill, serial, count, lengths as nested pairs
     done, serial = [], 0
     for length in sorted((n for n in histogram if n > 0), reverse=True):
-        left = histogram[length]
-        placed = []
+        left, per_pack = histogram[length], capacity // length
         while left > 0:
             if open_packs and open_packs[0][0] + length <= capacity:
                 fill, _, count, lengths = heappop(open_packs)
@@ -34,17 +33,15 @@ def place(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]
                 if taken < count:
                     serial += 1
                     heappush(open_packs, (fill, serial, count - taken, lengths))
-            else:
-                fill, taken, lengths = 0, left, ()
+            else:  # as many new packs as the items left need; each takes one item now, more in the next turns
+                fill, taken, lengths = 0, -(-left // per_pack), ()
             left -= taken
             serial += 1
             new = (fill + length, serial, taken, (length, lengths))
-            # an item of this length that fits again goes in the next turn of this loop
             if fill + length == capacity:
                 done.append(new)
             else:
                 heappush(open_packs, new)
-            placed.append(new)
     out = []
     for _, _, count, nested in done + open_packs:
         lengths = []

@@ -61,6 +61,11 @@ def test_place_holds_everything(hist):
         assert sum(n for n, _ in patterns) <= 2 * -(-sum(k * v for k, v in hist.items()) // 50)
 
 
+@pytest.mark.parametrize("hist, capacity, want", [({100: 1000}, 2048, 50), ({1: 3}, 50, 1), ({26: 10}, 50, 10), ({7: 7}, 50, 1), ({30: 5, 20: 5}, 50, 5), ({2048: 3}, 2048, 3), ({}, 50, 0)])
+def test_place_opens_no_pack_too_many(hist, capacity, want):
+    assert sum(n for n, _ in packing.place(hist, capacity)) == want
+
+
 def test_pack_documents(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANKED_TOGETHER", 3)
     docs = [(i, "word " * (i % 7), "en") for i in range(60)] + [(100, None, "en"), (101, " ".join(["cat"] * 95), "en")]
