@@ -1,13 +1,13 @@
 """Generated, minified, vendored and data files among sources, by a random forest.
 
 Labels come from notices on any line ("generated by", "vendored from", licence banners of libraries, lock
-files); where tools leave a file name or folder of their own in place of a notice (``.min.js``,
-``__generated__/``), that labels it; data held as code and bundles, which may have neither, are labelled
-when almost all lines are literals or lines run on for hundreds of characters, and bodies that
-``COPIES`` repositories hold alike are copies. Notices and names are hidden from the features: compression ratio, token
-entropy, identifier lengths, comment density, line shapes and, counted over the whole corpus, how many
-repositories hold the same body. Many files without a label are of the same kind: the forest is fitted
-in two rounds, and what the first finds among the unlabelled counts as labelled in the second.
+files). Data held as code never carry one; files whose lines are nearly all literals are labelled as such.
+Notices and the share of literal lines are hidden from the features: compression ratio, token entropy,
+identifier lengths, comment density, line shapes and, counted over the whole corpus, how many repositories
+hold the same body. Many files without a label are of the same kinds, so the forest is fitted in rounds on
+one example of every distinct body: what its trees, each judging only bodies it was not fitted on, find as
+likely as a fraction of the labelled ones counts as labelled in the next round. The last forest alone
+decides, also for files with a label.
 """
 
 from __future__ import annotations
@@ -25,17 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm.syntax import file_text
-from lodeweave.llm.trees import Ensemble, random_forest
+from lodeweave.llm.trees import Ensemble, out_of_bag, random_forest
 from lodeweave.runtime import cut, ship
 
-#: Files used for fitting, the ones of least hash if there are more.
+#: Distinct bodies used for fitting, the ones of least hash if there are more.
 SAMPLE = 20_000
-#: Bodies shorter than this say nothing about copying.
-LEAST_BODY = 200
-#: A body held by so many repositories was not written in each of them.
-COPIES = 3
-#: Mean length of the lines of a bundle.
-RUN_ON = 200
+#: Rounds of fitting, and the part of the labelled bodies' mean probability from which a body counts as labelled next.
+ROUNDS, LIKELY = 12, 0.3
+#: Share of literal lines, of at least so many lines, from which a file is data held as code.
+DATA_SHARE, DATA_LINES = 0.8, 10
 
 # Notices of tools, of third parties and of bundlers.
 _NOTICE = re.compile(
@@ -43,8 +41,6 @@ _NOTICE = re.compile(
     r"|\bvendored (?:from|copy)\b|\bcopied from (?:upstream|https?:)|\bupstream project\b|\bthe [\w-]+ (?:contributors|authors|developers)\b|\bcopy of [\w-]+ v?\d+\.\d+|\bthird[- ]party (?:code|library|source)\b|^\s*(?://|#|/?\*|--)\s*[\w.-]+ - https?://|^\s*(?://|#|/?\*+!?|--)\s*[\w.-]+ v\d+(?:\.\d+)*\s*(?:\*/)?\s*$"
     r"|^\s*\"lock(?:file)?_?[vV]ersion\"\s*:|\bsourceMappingURL="
 )
-# Names and folders that only tools and package managers use.
-_CONVENTION = re.compile(r"(?i)(?:^|/)(?:__generated__|generated-sources|node_modules|bower_components|third_party|_vendor|site-packages)/|\.min\.(?:js|css|mjs)$|(?:^|/)(?:package-lock\.json|yarn\.lock|[\w-]+\.lock\.json|[\w-]+-lock\.json)$|_pb2\.py$|\.pb\.go$")
 _NOT_NOTICE = re.compile(r"(?i)written by hand|by hand\b|not generated|reads? generated|no longer generated|used to be generated")
 _OPENING = re.compile(r"/\*|<!--|(?<![:\w\"'/])//[#@]?|(?<![\w&\"'])#(?!\w)|(?<!\S)--(?=\s)|^\s*\*")
 _SIGNS = " \t\r/*#-<>!;"
@@ -56,7 +52,7 @@ _WORD = re.compile(r"[A-Za-z_$][\w$]*")
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d+|\S")
 FEATURES = [
     "compression", "char_entropy", "token_entropy", "identifier_length", "identifier_short", "identifier_variety", "comments", "log_lines", "log_chars", "line_mean", "line_max", "line_sd", "blank",
-    "digits", "signs", "literal_lines", "shape_variety", "shape_top", "numbered_names", "log_owners", "listed_lines", "is_sql", "is_config",
+    "digits", "signs", "shape_variety", "shape_top", "numbered_names", "log_owners", "listed_lines", "is_sql", "is_config",
 ]
 
 
@@ -109,6 +105,12 @@ def is_literal(line: str) -> bool:
     return bool(m) and line[m.end() :][: -1 if line[-1] in ",;" else None].rstrip().endswith(")")
 
 
+def literal_share(lines: list[str]) -> float:
+    """Share of the lines that are not blank which hold literals only."""
+    full = [s for s in lines if s.strip()]
+    return sum(map(is_literal, full)) / max(1, len(full))
+
+
 def _entropy(counts) -> float:
     n = sum(counts)
     return -sum(c / n * math.log2(c / n) for c in counts) if n else 0.0
@@ -124,13 +126,13 @@ def features(path: str, lines: list[str]) -> list[float]:
     words = _WORD.findall(text)
     tokens = _TOKEN.findall(text)
     lengths = [len(s) for s in full] or [0]
-    shapes = Counter(re.sub(r"\w+", "w", s)[:160] for s in full)
+    shapes = Counter(re.sub(r"\w+", "w", s) for s in full)
     name = path.lower().rsplit("/", 1)[-1]
     return [
         len(zlib.compress(data, 6)) / max(1, len(data)), _entropy(Counter(text).values()), _entropy(Counter(tokens).values()),
         sum(map(len, words)) / max(1, len(words)), sum(len(w) < 3 for w in words) / max(1, len(words)), len(set(words)) / max(1, len(words)),
         sum(bool(_COMMENT.match(s)) for s in full) / k, math.log1p(len(full)), math.log1p(len(text)), sum(lengths) / k, max(lengths), float(np.std(lengths)), 1 - len(full) / max(1, len(lines)),
-        sum(map(str.isdigit, text)) / n, sum(not (c.isalnum() or c.isspace() or c == "_") for c in text) / n, sum(map(is_literal, full)) / k,
+        sum(map(str.isdigit, text)) / n, sum(not (c.isalnum() or c.isspace() or c == "_") for c in text) / n,
         len(shapes) / k, shapes.most_common(1)[0][1] / k if shapes else 0.0, sum(w[-1].isdigit() for w in words) / max(1, len(words)), 0.0,
         sum(len(s) > 60 and s.count(":") + s.count("=") > 2 for s in full) / k,
         float(name.endswith(".sql")), float(name.endswith((".json", ".xml", ".yaml", ".yml", ".properties", ".toml"))),
@@ -138,46 +140,53 @@ def features(path: str, lines: list[str]) -> list[float]:
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    at, mean = FEATURES.index("literal_lines"), FEATURES.index("line_mean")
     for b in batches:
         rows = []
         for fid, repo, path, text in zip(b["file_id"], b["repo"], b["relpath"], b["text"]):
             noticed, lines = body_of(text or "")
-            x = features(path or "", lines)
+            is_data = sum(bool(s.strip()) for s in lines) >= DATA_LINES and literal_share(lines) >= DATA_SHARE
             body = "\n".join(s for s in lines if not _COMMENT.match(s)).strip()
-            key = blake2b(body.encode("utf-8", "replace"), digest_size=16).hexdigest() if len(body) >= LEAST_BODY else None
-            rows.append((fid, repo, noticed or bool(_CONVENTION.search(path or "")) or x[at] >= 0.8 and sum(map(bool, lines)) >= 10 or x[mean] >= RUN_ON, key, x))
+            rows.append((fid, repo, noticed or is_data, blake2b(body.encode("utf-8", "replace"), digest_size=16).hexdigest() if body else None, features(path or "", lines)))
         yield pd.DataFrame(rows, columns=["file_id", "repo", "labelled", "body", "x"])
 
 
 def describe(files: DataFrame) -> DataFrame:
-    """(file_id, labelled, x): label and features of every scan of a file, with corpus-wide owner counts."""
+    """(file_id, labelled, body, x): label, digest of the body and features of every scan, with corpus-wide owner counts.
+
+    A body without anything but comments has a null digest and no owners but its own.
+    """
     ship(files.sparkSession)
     source = files.select("file_id", "repo", "relpath", file_text().alias("text")).where("text is not null")
     described = cut(source.mapInPandas(_describe, "file_id bigint, repo string, labelled boolean, body string, x array<double>"))
     owners = described.where("body is not null").select("body", "repo").distinct().groupBy("body").agg(F.count("*").alias("owners")).where("owners > 1")
     at = FEATURES.index("log_owners")
-    return described.join(owners, "body", "left").select("file_id", (F.col("labelled") | (F.coalesce("owners", F.lit(1)) >= COPIES)).alias("labelled"), F.transform("x", lambda v, i: F.when(i == at, F.log1p(F.coalesce("owners", F.lit(1)) - 1)).otherwise(v)).alias("x"))
+    return described.join(owners, "body", "left").select("file_id", "labelled", "body", F.transform("x", lambda v, i: F.when(i == at, F.log1p(F.coalesce("owners", F.lit(1)) - 1)).otherwise(v)).alias("x"))
 
 
 def fit(described: DataFrame, sample: int = SAMPLE) -> Ensemble:
-    """Fit the forest on at most ``sample`` described files."""
-    got = described.orderBy(F.xxhash64("file_id"), "file_id").limit(sample).toPandas()
+    """Fit the forest on at most ``sample`` distinct bodies; one is labelled if any of its files is."""
+    one = described.where("body is not null").groupBy("body").agg(F.max("labelled").alias("labelled"), F.min_by("x", "file_id").alias("x"))
+    got = one.orderBy("body").limit(sample).toPandas()  # bodies are digests: their order is one of hashes
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
-    y = got["labelled"].to_numpy(bool)
-    if y.sum() < 3:
-        return Ensemble(np.zeros((len(FEATURES), 1)), float(y.mean()) if len(y) else 0.0, 0.0, [])
-    first = random_forest(x, y, seed=11)
-    again = y | (first.predict(x) >= 0.15)
-    return random_forest(x, again, seed=13)
+    labelled = got["labelled"].to_numpy(bool)
+    if labelled.sum() < 3:
+        return Ensemble(np.zeros((len(FEATURES), 1)), float(labelled.mean()) if len(got) else 0.0, 0.0, [])
+    y = labelled
+    for r in range(ROUNDS):
+        p = out_of_bag(x, y, seed=11 + r)
+        more = labelled | (p >= LIKELY * p[labelled].mean())
+        if (more == y).all():
+            break
+        y = more
+    return random_forest(x, y, seed=13)
 
 
 def find_generated(files: DataFrame) -> DataFrame:
     """(file_id, probability, labelled, is_generated) for every scan of a file.
 
-    Files whose lines are null are not judged (no row). Empty files are hand-written unless a notice
-    says otherwise. A notice decides for its own file; the forest decides for all others. Repeated
-    scans each give a row; extra columns are ignored.
+    Files whose lines are null are not judged (no row). The forest decides, with or without a label; only
+    where comments and notices are all there is, so that it has nothing to judge, the notice decides, and
+    empty files are hand-written. Repeated scans each give a row; extra columns are ignored.
     """
     spark = files.sparkSession
     described = cut(describe(files))
@@ -186,7 +195,7 @@ def find_generated(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.array(b["x"].tolist(), float).reshape(len(b), len(FEATURES))
-            p = np.where(x[:, FEATURES.index("log_chars")] > 0, shared.value.predict(x), 0.0)
-            yield pd.DataFrame({"file_id": b["file_id"], "probability": p, "labelled": b["labelled"], "is_generated": (p >= 0.5) | b["labelled"].astype(bool)})
+            p = np.where(b["body"].notna(), shared.value.predict(x), b["labelled"].astype(float))
+            yield pd.DataFrame({"file_id": b["file_id"], "probability": p, "labelled": b["labelled"], "is_generated": p >= 0.5})
 
     return described.mapInPandas(run, "file_id bigint, probability double, labelled boolean, is_generated boolean")

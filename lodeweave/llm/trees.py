@@ -119,6 +119,20 @@ def random_forest(x: np.ndarray, y: np.ndarray, n_trees: int = 60, depth: int =
     return Ensemble(edges, 0.0, 1 / max(1, n_trees), trees)
 
 
+def out_of_bag(x: np.ndarray, y: np.ndarray, n_trees: int = 60, depth: int = 10, least: float = 3, seed: int = 7) -> np.ndarray:
+    """The mean share of 1 of every row, by the trees whose bootstrap sample it was not in; the mean of ``y`` if there is none."""
+    rng = np.random.default_rng(seed)
+    b = to_bins(x, bin_edges(x))
+    tried = max(1, int(np.ceil(np.sqrt(x.shape[1]) * 1.5)))
+    total, votes = np.zeros(len(y)), np.zeros(len(y))
+    for _ in range(n_trees):
+        drawn = rng.poisson(1.0, len(y))
+        out = drawn == 0
+        total[out] += grow(b, y.astype(float), drawn.astype(float), depth, least, tried, rng).predict(b[out])
+        votes += out
+    return np.where(votes > 0, total / np.maximum(votes, 1), y.mean() if len(y) else 0.0)
+
+
 def boosted(x: np.ndarray, y: np.ndarray, rounds: int = 100, depth: int = 4, rate: float = 0.08, least: float = 5, share: float = 0.7, seed: int = 7) -> Ensemble:
     """Gradient-boosted regression trees for squared error, with row and feature subsampling."""
     rng = np.random.default_rng(seed)

@@ -71,13 +71,16 @@ def test_generated_files(spark):
             body = (["# written by hand after the generated version was dropped"] if i % 7 == 0 else []) + hand()
         rows.append((i, f"r{i % 9}", f"src/f{i}.py", [(k + 1, s, "") for k, s in enumerate(body)], "z"))
     blob = [(k + 1, '    "' + "Ab3/" * 15 + '"', "") for k in range(30)]
-    rows += [(500, "r1", "a.min.js", [(1, "var a=1;" * 100, "")], "z"), (501, "r1", None, blob, "z"), (502, None, "x.py", None, "z"), (503, "r1", "x.py", [], "z")]
-    copy = [(k + 1, s, "") for k, s in enumerate(hand())]
-    rows += [(600 + k, f"q{k}", "lib/c.py", copy, "z") for k in range(3)]
+    bundle = lambda n: "".join(f"var {r.choice('abcdxyz')}{k}=[{r.randrange(99)}];" for k in range(n))
+    rows += [(300 + i, "r1", f"web/{i}.js", [(1, bundle(80 + i), "")] + [(2, "//# sourceMappingURL=x.js.map", "")] * (i % 2), "z") for i in range(30)]
+    rows += [(500, "r1", "a.js", [(1, bundle(100), "")], "z"), (501, "r1", None, blob, "z"), (502, None, "x.py", None, "z"), (503, "r1", "x.py", [], "z"), (504, "r1", "y.py", [(1, "# Code generated by tool 1.2. DO NOT EDIT.", "")], "z"), (505, "r1", "z.py", [(1, "# notes", "")], "z")]
+    copies = [hand() for _ in range(12)]  # libraries in ten repositories each, every other with a notice
+    rows += [(600 + 10 * n + k, f"q{k}", f"lib/c{n}.py", [(j, s, "") for j, s in enumerate((["# vendored from upstream c at 1.2"] if n % 2 else []) + c, 1)], "z") for n, c in enumerate(copies) for k in range(10)]
     df = spark.createDataFrame(rows, f"file_id bigint, repo string, relpath string, code_lines {LINES}, labelled string")
     got = {x["file_id"]: x["is_generated"] for x in generated.find_generated(df).collect()}
     assert len({i for i in range(150) if got[i]} ^ want) <= 6  # of which half carry no notice
-    assert got[500] and got[501] and got[600] and got[602] and not got[503] and 502 not in got
+    assert got[500] and got[501] and got[504] and not got[503] and not got[505] and 502 not in got
+    assert sum(got[300 + i] for i in range(30)) >= 28 and sum(got[600 + i] for i in range(120)) >= 100
     assert generated.find_generated(df.limit(0)).count() == 0
 
 
@@ -92,10 +95,9 @@ def test_notices_anywhere():
 
 
 def test_literal_share_at_every_size():
-    at = generated.FEATURES.index("literal_lines")
     code = [f"    total = order.price(item_{i}, rate) * self.factor(item_{i})" for i in range(40_000)]
-    assert sum(map(len, code)) > 2_000_000 and generated.features("a.py", code)[at] == 0
+    assert sum(map(len, code)) > 2_000_000 and generated.literal_share(code) == 0
     rows = [f"    {i}, 0x1F, 'a b', true," for i in range(100_000)]
-    assert sum(map(len, rows)) > 2_000_000 and generated.features("a.py", rows)[at] == 1
+    assert sum(map(len, rows)) > 2_000_000 and generated.literal_share(rows) == 1
     assert not generated.is_literal("1" * 100_000 + "x") and generated.is_literal("(" + "1, " * 100_000 + "1)")
     assert generated.is_literal("INSERT INTO a (b) VALUES (1, 'it''s');") and not generated.is_literal("x = VALUES(1)")
