@@ -30,8 +30,8 @@ from lodeweave.runtime import cut, ship
 
 #: Distinct bodies used for fitting, the ones of least hash if there are more.
 SAMPLE = 20_000
-#: Rounds of fitting, and the part of the labelled bodies' mean probability from which a body counts as labelled next.
-ROUNDS, LIKELY = 12, 0.3
+#: Rounds of fitting; the part of the labelled bodies' mean probability, and the probability, from which a body counts as labelled next.
+ROUNDS, LIKELY, LEAST_LIKELY = 12, 0.3, 0.25
 #: Share of literal lines, of at least so many lines, from which a file is data held as code.
 DATA_SHARE, DATA_LINES = 0.8, 10
 
@@ -174,7 +174,7 @@ def fit(described: DataFrame, sample: int = SAMPLE) -> Ensemble:
     y = labelled
     for r in range(ROUNDS):
         p = out_of_bag(x, y, seed=11 + r)
-        more = labelled | (p >= LIKELY * p[labelled].mean())
+        more = labelled | (p >= max(LEAST_LIKELY, LIKELY * p[labelled].mean()))
         if (more == y).all():
             break
         y = more
