@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -32,6 +33,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodeweave-"))
     return str(sc._jsc.sc().getCheckpointDir().get())
 
@@ -42,19 +45,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder; it is removed when the session's Python process ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lodeweave-{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_remove_scratch)
+    _scratch.append((spark, path))
+    return path
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def _remove_scratch() -> None:
+    for spark, path in _scratch:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone, and with it what could be removed
+            return
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder: cuts lineage like ``cut``, columnar and compressed."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/lodeweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most_rows: int = 300_000) -> DataFrame:
-    """``df``, hinted for broadcast if it has at most so many rows; beyond it the planner shuffles both sides.
+def small(df: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:
+    """``df``, hinted for broadcast if its rows take at most so many bytes; beyond it the planner shuffles both sides.
 
-    For materialised tables of a few narrow columns (some 30 MB at most).
+    For materialised tables of bounded row width: names and keys count with 40 bytes, all else with 8.
     """
-    return F.broadcast(df) if df.count() <= most_rows else df
+    width = 16 + sum(40 if f.dataType.simpleString() in ("string", "binary") else 8 for f in df.schema)
+    return F.broadcast(df) if df.count() * width <= most_bytes else df
 
 
 def parallelism(spark: SparkSession, per_core: int = 2) -> int:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodeweave.operators.graph import Graph
 from lodeweave.operators.merge import fold, upsert
-from lodeweave.operators.orphans import OrphanState, advance
+from lodeweave.operators.orphans import OrphanStore
 from lodeweave.operators.store import SnapshotStore
 
 
@@ -30,12 +30,10 @@ def upsert_stream(source: DataFrame, store: SnapshotStore, label: str, assigns:
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
 
 
-def track_orphans(source: DataFrame, state: OrphanState, on_change: Callable[[OrphanState, DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Advance the orphan state by every micro-batch of events and hand the new state and the changes on."""
-    held = {"state": state}
+def track_orphans(source: DataFrame, store: OrphanStore, on_change: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Advance the orphan store by every micro-batch of events and hand on what changed.
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        held["state"], changes = advance(held["state"], batch)
-        on_change(held["state"], changes, batch_id)
-
-    return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
+    The store remembers the batch it holds: after a restart a batch delivered again changes nothing, and
+    none is lost, wherever the last run stopped.
+    """
+    return source.writeStream.foreachBatch(lambda batch, batch_id: on_change(store.advance(batch, batch_id), batch_id)).option("checkpointLocation", checkpoint).start()
