@@ -9,17 +9,21 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.functions.text import author_id, strip_credentials
 from lodeweave.operators.orphans import identifier
 
 RELATIONSHIPS = {
-    "CONTAINS_FILE": ("Repository", "File"), "CONTAINS_CLASS": ("File", "Class"), "IMPORTS": ("Class", "Class"), "HAS_METHOD": ("Class", "Method"),
+    "HAS_MODULE": ("Repository", "Module"), "DEPENDS_ON": ("Module", "Dependency"), "HAS_PACKAGE": ("Module", "Package"),
+    "CONTAINS_FILE": ("Repository", "File"), "CONTAINS_CLASS": ("File", "Class"), "CONTAINS_METHOD": ("File", "Method"), "EXTENDS": ("Class", "Class"), "IMPLEMENTS": ("Class", "Class"), "IMPORTS": ("Class", "Class"), "HAS_METHOD": ("Class", "Method"),
+    "CONTAINS_LINE": ("File", "Line"), "NEXT_LINE": ("Line", "Line"),
     "HAS_COMMIT": ("Repository", "Commit"), "AUTHORED": ("Author", "Commit"), "PARENT": ("Commit", "Commit"), "CHANGED": ("Commit", "File"),
-    "HAS_SCHEMA": ("Database", "Schema"), "HAS_TABLE": ("Schema", "Table"), "HAS_COLUMN": ("Table", "Column"), "HAS_PROCEDURE": ("Schema", "StoredProcedure"), "HAS_VIEW": ("Schema", "View"),
+    "HAS_BRANCH": ("Repository", "Branch"), "HAS_TAG": ("Repository", "Tag"), "POINTS_TO": ("Branch", "Commit"), "TAGS": ("Tag", "Commit"),
+    "HAS_SCHEMA": ("Database", "Schema"), "HAS_TABLE": ("Schema", "Table"), "HAS_COLUMN": ("Table", "Column"), "HAS_INDEX": ("Table", "Index"), "HAS_PROCEDURE": ("Schema", "StoredProcedure"), "HAS_VIEW": ("Schema", "View"),
     "FOREIGN_KEY": ("Column", "Column"), "REFERENCES": ("Table", "Table"), "MAPS_TO": ("Class", "Table"), "BASED_ON": ("View", "Table"), "USES_TABLE": ("StoredProcedure", "Table"), "CROSS_DB_REFERENCE": ("View", "Table"),
+    "HAS_QUERY": ("VDSService", "VDSQuery"), "HAS_WHERE_FIELD": ("VDSService", "VDSWhereField"), "VDS_USES_TABLE": ("VDSQuery", "Table"), "REFERENCES_TABLE": ("VDSWhereField", "Table"),
 }
 #: What the label-agnostic views show of every node.
 COMMON = ["name", "path", "fqn", "repo", "database", "table", "definition", "owner"]
@@ -43,8 +47,9 @@ class Graph:
         return reduce(DataFrame.unionByName, parts)
 
     def all_rels(self, *types: str) -> DataFrame:
-        """Union of relationship types: type, src_label, src, dst_label, dst."""
-        parts = [self.rels[t].select(F.lit(t).alias("type"), F.lit(RELATIONSHIPS[t][0]).alias("src_label"), "src", F.lit(RELATIONSHIPS[t][1]).alias("dst_label"), "dst") for t in types or self.rels]
+        """Union of relationship types: type, src_label, src, dst_label, dst; a type whose sources differ in label has src_label itself."""
+        of = lambda t: F.col("src_label") if "src_label" in self.rels[t].columns else F.lit(RELATIONSHIPS[t][0]).alias("src_label")
+        parts = [self.rels[t].select(F.lit(t).alias("type"), of(t), "src", F.lit(RELATIONSHIPS[t][1]).alias("dst_label"), "dst") for t in types or self.rels]
         return reduce(DataFrame.unionByName, parts)
 
 
@@ -103,40 +108,74 @@ def history_graph(commits: DataFrame) -> Graph:
     return g
 
 
-def catalog_graph(columns: DataFrame, foreign_keys: DataFrame, procedures: DataFrame, views: DataFrame) -> Graph:
-    """Database, Schema, Table, Column, StoredProcedure and View nodes with containment and foreign keys.
+def database_id(engine: str = "db_engine", host: str = "db_host", name: str = "database_name") -> Column:
+    """engine://host/name: databases of one name on two servers are two."""
+    return F.concat(F.coalesce(engine, F.lit("")), F.lit("://"), F.coalesce(host, F.lit("")), F.lit("/"), F.col(name))
 
-    Columns that were dropped are left out, repeated rows count once (least column_id). A foreign key
-    names its ends in any case, with quotes or a schema; one without both ends in the catalog gives no
-    edge, as an edge needs both its nodes.
+
+def catalog_graph(columns: DataFrame, foreign_keys: DataFrame, procedures: DataFrame, views: DataFrame, indexes: DataFrame | None = None, definition_cut: int | None = None) -> Graph:
+    """Database, Schema, Table, Column, Index, StoredProcedure and View nodes with containment and foreign keys.
+
+    Every frame may carry db_engine and db_host; where one does not, its database is the one of that name in
+    ``columns`` (the least id if there are several). Columns that were dropped are left out, repeated rows count
+    once (least column_id). A foreign key names its ends in any case, with quotes or a schema; its source must be
+    in the catalog, a target that is not becomes a table and column with nothing but their names, in the source's
+    schema. ``indexes`` (database_name, schema_name, table_name, index_name, columns, is_unique, index_type).
+    Definitions are whole unless ``definition_cut`` says how many characters to keep.
     """
     g = Graph()
-    base = lambda d, s: F.concat(d, F.lit("/"), s)
-    live = columns.where("dropped_at is null and database_name is not null and table_name is not null and column_name is not null")
-    live = latest(live.select("database_name", "schema_name", "table_name", "column_name", "column_id", "ordinal_no", "data_type", "is_nullable", "column_default", "column_key", (-F.col("column_id")).alias("o")), ["database_name", "schema_name", "table_name", "column_name"], ["o"])
-    sid = base(F.col("database_name"), F.coalesce("schema_name", F.lit("")))
-    live = live.withColumn("schema_id", sid).withColumn("table_id", base(F.col("schema_id"), F.col("table_name"))).withColumn("id", F.concat("table_id", F.lit("#"), "column_name"))
-    g.nodes["Database"] = live.select(F.col("database_name").alias("id"), F.col("database_name").alias("name")).distinct()
+    with_server = lambda df: df.select("*", *[F.lit(None).cast("string").alias(c) for c in ("db_engine", "db_host", "schema_name") if c not in df.columns])
+    raw = with_server(columns).where("database_name is not null and table_name is not null and column_name is not null")
+    servers = raw.groupBy("database_name").agg(F.min(database_id()).alias("named"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        """With the ids of database and schema."""
+        here = df.where("database_name is not null")
+        if "db_engine" in df.columns:
+            here = with_server(here).withColumn("db_id", database_id())
+        else:
+            here = with_server(here.join(servers, "database_name", "left")).withColumn("db_id", F.coalesce("named", F.concat(F.lit(":///"), F.col("database_name")))).drop("named")
+        return here.withColumn("schema_id", F.concat("db_id", F.lit("/"), F.coalesce("schema_name", F.lit(""))))
+
+    live = placed(raw.where("dropped_at is null")).select("db_id", "schema_id", "database_name", "schema_name", "table_name", "column_name", "db_engine", "db_host", "column_id", "ordinal_no", "data_type", "is_nullable", "column_default", "column_key", (-F.col("column_id")).alias("o"))
+    live = latest(live, ["db_id", "schema_id", "table_name", "column_name"], ["o"])
+    live = live.withColumn("table_id", F.concat("schema_id", F.lit("/"), "table_name")).withColumn("id", F.concat("table_id", F.lit("#"), "column_name"))
+
+    key = foreign_keys.withColumns({"ft": identifier("from_table"), "fc": identifier("from_column"), "tt": identifier("to_table"), "tc": identifier("to_column")})
+    key = placed(key.where("ft is not null and fc is not null and tt is not null and tc is not null")).select("db_id", "ft", "fc", "tt", "tc", "constraint_name")
+    ends = live.select("db_id", identifier("table_name").alias("t"), identifier("column_name").alias("c"), "id", "table_id", "schema_id", "database_name", "schema_name", "db_engine", "db_host", "table_name")
+    a = ends.select("db_id", F.col("t").alias("ft"), F.col("c").alias("fc"), F.col("id").alias("src"), F.col("table_id").alias("src_table"), "schema_id", "database_name", "schema_name", "db_engine", "db_host")
+    b = ends.select("db_id", F.col("t").alias("tt"), F.col("c").alias("tc"), F.col("id").alias("dst"), F.col("table_id").alias("dst_table"))
+    there = key.join(a, ["db_id", "ft", "fc"])
+    both = there.join(b, ["db_id", "tt", "tc"], "left")
+    named = ends.groupBy("db_id", "schema_id", F.col("t").alias("tt")).agg(F.min("table_name").alias("known"))  # a table that lacks only the column
+    lost = both.where("dst is null").join(named, ["db_id", "schema_id", "tt"], "left").withColumn("tn", F.coalesce("known", "tt"))
+    lost = lost.withColumn("dst_table", F.concat("schema_id", F.lit("/"), "tn")).withColumn("dst", F.concat("dst_table", F.lit("#"), "tc"))
+    stub = lost.select("db_id", "schema_id", F.col("tn").alias("table_name"), F.col("tc").alias("column_name"), "database_name", "schema_name", "db_engine", "db_host", F.col("dst_table").alias("table_id"), F.col("dst").alias("id")).distinct()
+    every = live.unionByName(stub, allowMissingColumns=True)
+
+    g.nodes["Database"] = live.groupBy(F.col("db_id").alias("id")).agg(F.max("database_name").alias("name"), F.max("db_engine").alias("engine"), F.max("db_host").alias("host"))
     g.nodes["Schema"] = live.select(F.col("schema_id").alias("id"), F.col("schema_name").alias("name"), F.col("database_name").alias("database")).distinct()
-    g.nodes["Table"] = live.select(F.col("table_id").alias("id"), F.col("table_name").alias("name"), F.col("schema_name").alias("schema"), F.col("database_name").alias("database")).distinct()
-    g.nodes["Column"] = live.select("id", F.col("column_name").alias("name"), F.col("table_name").alias("table"), F.col("schema_name").alias("schema"), F.col("database_name").alias("database"), "data_type", F.col("ordinal_no").alias("ordinal"), (F.upper("is_nullable").isin("YES", "Y", "TRUE", "T", "1")).alias("is_nullable"), "column_default", "column_key")
-    g.rels["HAS_SCHEMA"] = g.nodes["Schema"].select(F.col("database").alias("src"), F.col("id").alias("dst"))
+    g.nodes["Table"] = every.select(F.col("table_id").alias("id"), F.col("table_name").alias("name"), F.col("schema_name").alias("schema"), F.col("database_name").alias("database")).distinct()
+    g.nodes["Column"] = every.select("id", F.col("column_name").alias("name"), F.col("table_name").alias("table"), F.col("schema_name").alias("schema"), F.col("database_name").alias("database"), "data_type", F.col("ordinal_no").alias("ordinal"), (F.upper("is_nullable").isin("YES", "Y", "TRUE", "T", "1")).alias("is_nullable"), "column_default", "column_key")
+    g.rels["HAS_SCHEMA"] = live.select(F.col("db_id").alias("src"), F.col("schema_id").alias("dst")).distinct()
     g.rels["HAS_TABLE"] = live.select(F.col("schema_id").alias("src"), F.col("table_id").alias("dst")).distinct()
     g.rels["HAS_COLUMN"] = live.select(F.col("table_id").alias("src"), F.col("id").alias("dst"))
-    for label, df, name, text, rel in (("StoredProcedure", procedures, "procedure_name", F.substring("definition", 1, 50_000), "HAS_PROCEDURE"), ("View", views, "view_name", F.substring("definition", 1, 10_000), "HAS_VIEW")):
-        kind = F.col("routine_type") if label == "StoredProcedure" else F.lit(None).cast("string")
-        schema = F.coalesce("schema_name", F.lit("")) if "schema_name" in df.columns else F.lit("")
-        n = df.where(f"database_name is not null and {name} is not null").select(F.concat(F.col("database_name"), F.lit("/"), schema, F.lit(f"/{label.lower()}/"), F.col(name)).alias("id"), F.col(name).alias("name"), F.col("database_name").alias("database"), kind.alias("type"), text.alias("definition"), F.concat_ws("/", "database_name", schema).alias("schema_id"), F.col("seq"))
+    g.rels["FOREIGN_KEY"] = both.where("dst is not null").select("src", "dst", "constraint_name").unionByName(lost.select("src", "dst", "constraint_name")).groupBy("src", "dst").agg(F.max("constraint_name").alias("constraint_name"))
+    g.rels["REFERENCES"] = both.where("dst is not null").select("src_table", "dst_table").unionByName(lost.select("src_table", "dst_table")).select(F.col("src_table").alias("src"), F.col("dst_table").alias("dst")).distinct()
+    if indexes is not None:
+        ix = placed(indexes.where("table_name is not null and index_name is not null")).withColumn("tid", F.concat("schema_id", F.lit("/"), "table_name"))
+        ix = latest(ix.select(F.concat("tid", F.lit("!"), "index_name").alias("id"), F.col("index_name").alias("name"), F.col("table_name").alias("table"), F.col("database_name").alias("database"), "is_unique", "index_type", "columns", "tid"), ["id"], ["columns"])
+        ix = ix.join(g.rels["HAS_TABLE"].select(F.col("dst").alias("tid")), "tid", "left_semi")
+        g.nodes["Index"] = ix.drop("tid")
+        g.rels["HAS_INDEX"] = ix.select(F.col("tid").alias("src"), F.col("id").alias("dst"))
+    text = F.col("definition") if definition_cut is None else F.substring("definition", 1, definition_cut)
+    for label, part, df, name, rel in (("StoredProcedure", "proc", procedures, "procedure_name", "HAS_PROCEDURE"), ("View", "view", views, "view_name", "HAS_VIEW")):
+        more = [F.coalesce("routine_type", F.lit("PROCEDURE")).alias("type"), F.coalesce("parameters", F.array().cast("array<string>")).alias("parameters")] if label == "StoredProcedure" else []
+        n = placed(df.where(f"{name} is not null")).select(F.concat("schema_id", F.lit(f"/{part}/"), F.col(name)).alias("id"), F.col(name).alias("name"), F.col("database_name").alias("database"), *more, text.alias("definition"), "schema_id", "seq")
         n = latest(n, ["id"], ["seq"])
         g.nodes[label] = n.drop("seq", "schema_id")
         g.rels[rel] = n.select(F.col("schema_id").alias("src"), F.col("id").alias("dst")).join(g.nodes["Schema"].select(F.col("id").alias("src")), "src", "left_semi")
-    ends = live.select(F.col("database_name").alias("db"), identifier("table_name").alias("t"), identifier("column_name").alias("c"), "id", "table_id")
-    fk = foreign_keys.select(F.col("database_name").alias("db"), identifier("from_table").alias("ft"), identifier("from_column").alias("fc"), identifier("to_table").alias("tt"), identifier("to_column").alias("tc"), "constraint_name")
-    a = ends.select("db", F.col("t").alias("ft"), F.col("c").alias("fc"), F.col("id").alias("src"), F.col("table_id").alias("src_table"))
-    b = ends.select("db", F.col("t").alias("tt"), F.col("c").alias("tc"), F.col("id").alias("dst"), F.col("table_id").alias("dst_table"))
-    both = fk.join(a, ["db", "ft", "fc"]).join(b, ["db", "tt", "tc"])
-    g.rels["FOREIGN_KEY"] = both.groupBy("src", "dst").agg(F.max("constraint_name").alias("constraint_name"))
-    g.rels["REFERENCES"] = both.select(F.col("src_table").alias("src"), F.col("dst_table").alias("dst")).distinct()
     return g
 
 

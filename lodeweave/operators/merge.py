@@ -55,7 +55,7 @@ def without_repo(nodes: DataFrame, repo: str) -> DataFrame:
 
 
 def without_database(nodes: DataFrame, database: str) -> DataFrame:
-    """Nodes whose id is not the database's or below it."""
+    """Nodes whose id is not the database's (``engine://host/name``) or below it."""
     return nodes.where((F.col("id") != database) & ~F.col("id").startswith(f"{database}/"))
 
 

@@ -18,7 +18,16 @@ CUTOFF = "2022-06-01"
 def catalog(spark: SparkSession, d: str) -> Graph:
     procs = read_table(spark, d, "stored_procedures").withColumn("seq", F.col("procedure_id"))
     views = read_table(spark, d, "vds_rows").select("database_name", F.concat_ws("_", "servicename", "vds_id").alias("view_name"), F.col("query_text").alias("definition"), F.col("vds_id").alias("seq"))
-    return catalog_graph(read_table(spark, d, "catalog_columns"), read_table(spark, d, "foreign_keys"), procs, views)
+    columns = read_table(spark, d, "catalog_columns")
+    return catalog_graph(columns, read_table(spark, d, "foreign_keys"), procs, views, indexes_of(columns))
+
+
+def indexes_of(columns: DataFrame) -> DataFrame:
+    """The indexes that the keys of live columns tell of: the primary key of a table, and one index for every other key column."""
+    live = columns.where("dropped_at is null and column_key in ('PRI', 'UNI', 'MUL')").select("db_engine", "database_name", "schema_name", "table_name", "column_name", "ordinal_no", "column_key").distinct()
+    name = F.when(F.col("column_key") == "PRI", "PRIMARY").otherwise(F.concat(F.lit("ix_"), "column_name"))
+    of = live.groupBy("db_engine", "database_name", "schema_name", "table_name", name.alias("index_name")).agg(F.array_sort(F.collect_set(F.struct(F.coalesce("ordinal_no", F.lit(0)), "column_name"))).alias("c"), F.max(F.col("column_key") != "MUL").alias("is_unique"))
+    return of.select("*", F.array_distinct(F.transform("c", lambda x: x["column_name"])).alias("columns"), F.lit("BTREE").alias("index_type")).drop("c")
 
 
 def code(spark: SparkSession, d: str) -> Graph:
@@ -56,15 +65,23 @@ imports AS (SELECT DISTINCT i.repo || '/' || i.fqn AS src, 'ext/' || m.fqn AS ds
 mm AS (SELECT repo, fqn, class_id, unnest(methods) AS m FROM classes WHERE repo IS NOT NULL AND fqn IS NOT NULL),
 method AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY class_id DESC, line_no DESC NULLS LAST) AS rn FROM (SELECT repo || '/' || fqn || '#' || m.method_name AS id, m.method_name AS name, fqn AS owner, repo, class_id, m.line_no AS line_no FROM mm) WHERE id IS NOT NULL) WHERE rn = 1),
 has_method AS (SELECT DISTINCT repo || '/' || fqn AS src, repo || '/' || fqn || '#' || m.method_name AS dst FROM mm WHERE m.method_name IS NOT NULL)"""
-_CATALOG = f"""live AS (SELECT * FROM (SELECT *, database_name || '/' || coalesce(schema_name, '') AS schema_id, database_name || '/' || coalesce(schema_name, '') || '/' || table_name AS tid,
-    database_name || '/' || coalesce(schema_name, '') || '/' || table_name || '#' || column_name AS id, row_number() OVER (PARTITION BY database_name, schema_name, table_name, column_name ORDER BY column_id) AS rn
+_CATALOG = f"""eng AS (SELECT database_name AS dn, min(coalesce(db_engine, '') || '://' || '' || '/' || database_name) AS did FROM catalog_columns WHERE database_name IS NOT NULL AND table_name IS NOT NULL AND column_name IS NOT NULL GROUP BY 1),
+base AS (SELECT * FROM (SELECT *, coalesce(db_engine, '') || ':///' || database_name AS did, did || '/' || coalesce(schema_name, '') AS schema_id, did || '/' || coalesce(schema_name, '') || '/' || table_name AS tid,
+    did || '/' || coalesce(schema_name, '') || '/' || table_name || '#' || column_name AS id, row_number() OVER (PARTITION BY db_engine, database_name, schema_name, table_name, column_name ORDER BY column_id) AS rn
   FROM catalog_columns WHERE dropped_at IS NULL AND database_name IS NOT NULL AND table_name IS NOT NULL AND column_name IS NOT NULL) WHERE rn = 1),
+ends AS (SELECT did AS db, {_ident("table_name")} AS t, {_ident("column_name")} AS c, * FROM base),
+fkx AS (SELECT coalesce(eng.did, ':///' || database_name) AS db, {_ident("from_table")} AS ft, {_ident("from_column")} AS fc, {_ident("to_table")} AS tt, {_ident("to_column")} AS tc, constraint_name FROM foreign_keys LEFT JOIN eng ON eng.dn = database_name),
+fkany AS (SELECT a.id AS src, a.tid AS st, a.db_engine, a.database_name, a.schema_name, a.schema_id, a.db, k.tt, k.tc, b.id AS hit, b.tid AS hit_table,
+    a.schema_id || '/' || coalesce((SELECT min(e.table_name) FROM ends e WHERE e.db = a.db AND e.schema_id = a.schema_id AND e.t = k.tt), k.tt) AS own
+  FROM fkx k JOIN ends a ON k.db = a.db AND k.ft = a.t AND k.fc = a.c LEFT JOIN ends b ON k.db = b.db AND k.tt = b.t AND k.tc = b.c WHERE k.tt IS NOT NULL AND k.tc IS NOT NULL),
+fkall AS (SELECT src, coalesce(hit, own || '#' || tc) AS dst, st, coalesce(hit_table, own) AS dt FROM fkany),
+stub AS (SELECT DISTINCT db_engine, database_name, schema_name, schema_id, db, own AS tid, substr(own, length(schema_id) + 2) AS table_name, tc AS column_name, own || '#' || tc AS id FROM fkany WHERE hit IS NULL),
+live AS (SELECT database_name, schema_name, schema_id, did, tid, table_name, column_name, id, ordinal_no, data_type, is_nullable FROM base UNION ALL SELECT database_name, schema_name, schema_id, db, tid, table_name, column_name, id, NULL, NULL, NULL FROM stub),
 tables AS (SELECT DISTINCT tid AS id, table_name AS name, schema_name AS schema, database_name AS database FROM live),
-proc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM (SELECT database_name || '/' || coalesce(schema_name, '') || '/storedprocedure/' || procedure_name AS id, procedure_name AS name, database_name AS database, substring(definition, 1, 50000) AS definition, procedure_id AS seq FROM stored_procedures WHERE database_name IS NOT NULL AND procedure_name IS NOT NULL)) WHERE rn = 1),
-view AS (SELECT database_name || '//view/' || concat_ws('_', servicename, vds_id) AS id, concat_ws('_', servicename, vds_id) AS name, database_name AS database, substring(query_text, 1, 10000) AS definition FROM vds_rows WHERE database_name IS NOT NULL),
-ends AS (SELECT database_name AS db, {_ident("table_name")} AS t, {_ident("column_name")} AS c, id, tid FROM live),
-fkx AS (SELECT database_name AS db, {_ident("from_table")} AS ft, {_ident("from_column")} AS fc, {_ident("to_table")} AS tt, {_ident("to_column")} AS tc, constraint_name FROM foreign_keys),
-fkall AS (SELECT a.id AS src, b.id AS dst, a.tid AS st, b.tid AS dt FROM fkx k JOIN ends a ON k.db = a.db AND k.ft = a.t AND k.fc = a.c JOIN ends b ON k.db = b.db AND k.tt = b.t AND k.tc = b.c),
+proc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM (SELECT coalesce(eng.did, ':///' || database_name) || '/' || coalesce(schema_name, '') || '/proc/' || procedure_name AS id, procedure_name AS name, database_name AS database, definition, parameters, procedure_id AS seq FROM stored_procedures LEFT JOIN eng ON eng.dn = database_name WHERE database_name IS NOT NULL AND procedure_name IS NOT NULL)) WHERE rn = 1),
+view AS (SELECT coalesce(eng.did, ':///' || database_name) || '//view/' || concat_ws('_', servicename, vds_id) AS id, concat_ws('_', servicename, vds_id) AS name, database_name AS database, query_text AS definition FROM vds_rows LEFT JOIN eng ON eng.dn = database_name WHERE database_name IS NOT NULL),
+ix AS (SELECT did || '/' || coalesce(schema_name, '') || '/' || table_name AS tid, tid || '!' || iname AS id, iname AS name, table_name, database_name, max(column_key) <> 'MUL' AS is_unique, list(column_name ORDER BY o, column_name) AS columns
+  FROM (SELECT *, coalesce(db_engine, '') || ':///' || database_name AS did, CASE WHEN column_key = 'PRI' THEN 'PRIMARY' ELSE 'ix_' || column_name END AS iname FROM (SELECT db_engine, database_name, schema_name, table_name, column_name, column_key, min(coalesce(ordinal_no, 0)) AS o FROM catalog_columns WHERE dropped_at IS NULL AND column_key IN ('PRI', 'UNI', 'MUL') GROUP BY ALL)) GROUP BY did, schema_name, table_name, database_name, iname),
 fk AS (SELECT DISTINCT src, dst FROM fkall), refs AS (SELECT DISTINCT st AS src, dt AS dst FROM fkall)"""
 
 
@@ -169,8 +186,8 @@ QUERIES = {
     "commit_parents": lambda s, d: history_graph(read_table(s, d, "commits")).rels["PARENT"],
 }
 SQL = {
-    "label_counts": f"WITH {_FILES}, {_CATALOG} SELECT 'Repository' AS label, (SELECT count(DISTINCT repo) FROM repositories) AS n UNION ALL SELECT 'File', (SELECT count(*) FROM f) UNION ALL SELECT 'Class', (SELECT count(*) FROM cls) UNION ALL SELECT 'Method', (SELECT count(*) FROM method) UNION ALL SELECT 'Database', (SELECT count(DISTINCT database_name) FROM live) UNION ALL SELECT 'Schema', (SELECT count(DISTINCT schema_id) FROM live) UNION ALL SELECT 'Table', (SELECT count(*) FROM tables) UNION ALL SELECT 'Column', (SELECT count(*) FROM live) UNION ALL SELECT 'StoredProcedure', (SELECT count(*) FROM proc) UNION ALL SELECT 'View', (SELECT count(*) FROM view)",
-    "rel_counts": f"WITH {_FILES}, {_CATALOG} SELECT 'CONTAINS_FILE' AS type, (SELECT count(*) FROM f) AS n UNION ALL SELECT 'CONTAINS_CLASS', (SELECT count(*) FROM contains) UNION ALL SELECT 'IMPORTS', (SELECT count(*) FROM imports) UNION ALL SELECT 'HAS_METHOD', (SELECT count(*) FROM has_method) UNION ALL SELECT 'HAS_TABLE', (SELECT count(*) FROM tables) UNION ALL SELECT 'HAS_COLUMN', (SELECT count(*) FROM live) UNION ALL SELECT 'FOREIGN_KEY', (SELECT count(*) FROM fk) UNION ALL SELECT 'REFERENCES', (SELECT count(*) FROM refs)",
+    "label_counts": f"WITH {_FILES}, {_CATALOG} SELECT 'Repository' AS label, (SELECT count(DISTINCT repo) FROM repositories) AS n UNION ALL SELECT 'File', (SELECT count(*) FROM f) UNION ALL SELECT 'Class', (SELECT count(*) FROM cls) UNION ALL SELECT 'Method', (SELECT count(*) FROM method) UNION ALL SELECT 'Database', (SELECT count(DISTINCT did) FROM live) UNION ALL SELECT 'Schema', (SELECT count(DISTINCT schema_id) FROM live) UNION ALL SELECT 'Table', (SELECT count(*) FROM tables) UNION ALL SELECT 'Column', (SELECT count(*) FROM live) UNION ALL SELECT 'StoredProcedure', (SELECT count(*) FROM proc) UNION ALL SELECT 'View', (SELECT count(*) FROM view) UNION ALL SELECT 'Index', (SELECT count(*) FROM ix)",
+    "rel_counts": f"WITH {_FILES}, {_CATALOG} SELECT 'CONTAINS_FILE' AS type, (SELECT count(*) FROM f) AS n UNION ALL SELECT 'CONTAINS_CLASS', (SELECT count(*) FROM contains) UNION ALL SELECT 'IMPORTS', (SELECT count(*) FROM imports) UNION ALL SELECT 'HAS_METHOD', (SELECT count(*) FROM has_method) UNION ALL SELECT 'HAS_TABLE', (SELECT count(DISTINCT tid) FROM base) UNION ALL SELECT 'HAS_COLUMN', (SELECT count(*) FROM base) UNION ALL SELECT 'FOREIGN_KEY', (SELECT count(*) FROM fk) UNION ALL SELECT 'REFERENCES', (SELECT count(*) FROM refs)",
     "search_nodes": f"{_CODE} SELECT id, relpath AS path, repo FROM f WHERE contains(relpath, 'web/')",
     "search_code": f"{_NODES} {_REF} {_CODE_HIT}", "search_schema": f"{_NODES} {_REF} {_SCHEMA_HIT}", "search_all": f"{_NODES} {_REF} ({_CODE_HIT} OR {_SCHEMA_HIT})", "search_repo": f"{_NODES} {_REF} ({_CODE_HIT} OR {_SCHEMA_HIT}) AND repo = 'atlas-core'",
     "find_table": f"{_NODES} SELECT label, id, name FROM nodes WHERE label IN ('Table', 'Column') AND contains(name, '{FIND}')",
@@ -178,7 +195,7 @@ SQL = {
     "find_procedure": f"{_CAT} SELECT id, name, database FROM proc WHERE contains(name, '{FIND}') OR contains(definition, '{FIND}')",
     "node_neighbors": f"{_CODE} SELECT 'IMPORTS' AS rel, src AS from_id, 'Class' AS neighbor_label, src AS neighbor_id FROM imports WHERE dst = 'ext/java.util.List'",
     "degree": f"WITH {_FILES}, {_CATALOG} SELECT label, id, count(*) AS degree FROM (SELECT 'File' AS label, src AS id FROM contains UNION ALL SELECT 'Class', dst FROM contains UNION ALL SELECT 'Class', src FROM imports UNION ALL SELECT 'Class', dst FROM imports UNION ALL SELECT 'Table', src FROM refs UNION ALL SELECT 'Table', dst FROM refs) GROUP BY ALL",
-    "database_table_counts": f"{_CAT} SELECT database, count(*) AS tables FROM tables GROUP BY database",
+    "database_table_counts": f"{_CAT} SELECT database_name AS database, count(DISTINCT tid) AS tables FROM base GROUP BY did, database_name",
     "graph_sample": f"""{_CODE}, links AS (SELECT * FROM (SELECT 'CONTAINS_CLASS' AS type, 'File' AS sl, src, dst FROM contains UNION ALL SELECT 'IMPORTS', 'Class', src, dst FROM imports) ORDER BY type, src, dst LIMIT 120),
 deg AS (SELECT label, id, count(*) AS degree FROM (SELECT sl AS label, src AS id FROM links UNION ALL SELECT 'Class', dst FROM links) GROUP BY ALL), n AS (SELECT 'File' AS label, id, file_name AS name FROM f UNION ALL SELECT 'Class', id, name FROM cls)
 SELECT d.label, d.id, coalesce(nullif(n.name, ''), nullif(regexp_extract(d.id, '[^#/\\\\:]+$'), ''), d.id) AS caption, d.degree FROM deg d JOIN n ON n.label = d.label AND n.id = d.id""",

@@ -76,9 +76,9 @@ def replace_repo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replace_database(spark: SparkSession, d: str) -> DataFrame:
-    t = catalog(spark, d).nodes["Table"]
-    one = t.agg(F.min("database")).first()[0] or ""
-    return merge.without_database(t, one).select("id", "name")
+    g = catalog(spark, d)
+    one = g.nodes["Database"].agg(F.min("id")).first()[0] or ""
+    return merge.without_database(g.nodes["Table"], one).select("id", "name")
 
 
 def dry_run_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +175,7 @@ SQL = {
     "upsert_last_wins": _FOLD, "incremental_upsert": _FOLD,
     "edge_endpoint_filter": f"WITH {_CATALOG}, tn AS (SELECT DISTINCT database || '/' || name AS id FROM tables) SELECT database_name || '/' || from_table AS src, database_name || '/' || to_table AS dst, fk_id FROM foreign_keys WHERE database_name || '/' || from_table IN (SELECT id FROM tn) AND database_name || '/' || to_table IN (SELECT id FROM tn)",
     "replace_repo": f"{_CODE}, gone AS (SELECT id FROM f WHERE repo = 'atlas-core' UNION SELECT id FROM cls WHERE repo = 'atlas-core') SELECT src, dst FROM contains WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)",
-    "replace_database": f"WITH {_CATALOG} SELECT id, name FROM tables WHERE database <> (SELECT min(database) FROM tables)",
+    "replace_database": f"WITH {_CATALOG} SELECT DISTINCT tid AS id, table_name AS name FROM live WHERE did <> (SELECT min(did) FROM base)",
     "dry_run_counts": f"{_CODE} SELECT 'node Repository' AS kind, (SELECT count(DISTINCT repo) FROM repositories) AS n UNION ALL SELECT 'node File', (SELECT count(*) FROM f) UNION ALL SELECT 'node Class', (SELECT count(*) FROM cls) UNION ALL SELECT 'node Method', (SELECT count(*) FROM method) UNION ALL SELECT 'rel CONTAINS_FILE', (SELECT count(*) FROM f) UNION ALL SELECT 'rel CONTAINS_CLASS', (SELECT count(*) FROM contains) UNION ALL SELECT 'rel IMPORTS', (SELECT count(*) FROM imports) UNION ALL SELECT 'rel HAS_METHOD', (SELECT count(*) FROM has_method)",
     # the feed's own line types say code for comments of style sheets
     "classify_line": "SELECT file_id, l.line_no AS line_no, CASE WHEN file_extension = '.css' AND starts_with(trim(l.line_text), '/*') THEN 'comment' ELSE l.line_type END AS kind FROM (SELECT file_id, file_extension, unnest(code_lines) AS l FROM scanned_files)",
