@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 ENGINES = {"mysql": ("mysql", 3306, "com.mysql.cj.jdbc.Driver"), "postgres": ("postgresql", 5432, "org.postgresql.Driver"), "mssql": ("sqlserver", 1433, "com.microsoft.sqlserver.jdbc.SQLServerDriver")}
 ALIASES = {"mysql": "mysql", "mariadb": "mysql", "postgres": "postgres", "postgresql": "postgres", "pg": "postgres", "mssql": "mssql", "sqlserver": "mssql"}
 SYSTEM_SCHEMAS = {"mysql": ["information_schema", "mysql", "performance_schema", "sys"], "postgres": ["information_schema", "pg_catalog", "pg_toast"], "mssql": ["INFORMATION_SCHEMA", "sys", "guest"]}
-VIEW_CUT, ROUTINE_CUT = 10_000, 50_000
 
 
 def engine_of(name: str) -> str:
@@ -52,11 +51,16 @@ def columns_of(info_columns: DataFrame) -> DataFrame:
     return info_columns.select(F.col("table_schema").alias("schema"), F.col("table_name").alias("table"), F.col("column_name").alias("name"), F.col("ordinal_position").cast("int").alias("ordinal"), txt("data_type").alias("data_type"), (F.upper(txt("is_nullable")) == "YES").alias("is_nullable"), txt("column_key").alias("column_key"), txt("column_default").alias("default"), txt("extra").alias("extra"))
 
 
+def views_of(info_views: DataFrame) -> DataFrame:
+    """Views with their whole definitions, '' where the server hides them."""
+    return info_views.select(F.col("table_schema").alias("schema"), F.col("table_name").alias("name"), F.coalesce("view_definition", F.lit("")).alias("definition"))
+
+
 def routines_of(info_routines: DataFrame, info_parameters: DataFrame) -> DataFrame:
-    """Routines with bodies cut and parameters as 'MODE name type' in their order, joined by specific name."""
+    """Routines with whole bodies and parameters as 'MODE name type' in their order, joined by specific name."""
     p = info_parameters.where("parameter_name is not null").select(F.col("specific_schema").alias("s"), F.col("specific_name").alias("n"), F.struct(F.col("ordinal_position").cast("int").alias("o"), F.concat_ws(" ", "parameter_mode", "parameter_name", "data_type").alias("sig")).alias("p"))
     per = p.groupBy("s", "n").agg(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["sig"]).alias("parameters"))
-    r = info_routines.select(F.col("routine_schema").alias("schema"), F.col("routine_name").alias("name"), "specific_name", F.col("routine_type").alias("type"), F.substring(F.coalesce("routine_definition", F.lit("")), 1, ROUTINE_CUT).alias("definition"))
+    r = info_routines.select(F.col("routine_schema").alias("schema"), F.col("routine_name").alias("name"), "specific_name", F.col("routine_type").alias("type"), F.coalesce("routine_definition", F.lit("")).alias("definition"))
     return r.join(per, (r["schema"] == per["s"]) & (r["specific_name"] == per["n"]), "left").select("schema", "name", "type", "definition", F.coalesce("parameters", F.array().cast("array<string>")).alias("parameters"))
 
 

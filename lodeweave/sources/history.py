@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,29 +16,55 @@ HEADER = "\x1e%H\x1f%h\x1f%an\x1f%ae\x1f%aI\x1f%cn\x1f%ce\x1f%cI\x1f%P\x1f%s"
 _FIELDS = ["hash", "short", "author_name", "author_email", "authored_at", "committer_name", "committer_email", "committed_at", "parents", "message"]
 
 
-def read_log(spark: SparkSession, repo_path: str, mode: str, since: str = "", limit: int = 0) -> DataFrame:
-    """(line_no, line) of ``git log --numstat`` or ``--name-status``; the one step that runs on the driver."""
+#: Commits that one task asks git for.
+CHUNK = 50_000
+
+
+def _git(repo_path: str, *args: str) -> str:
+    return subprocess.run(["git", "-C", repo_path, *args], capture_output=True, check=True).stdout.decode("utf-8", "replace")
+
+
+def read_log(spark: SparkSession, repo_path: str, mode: str, since: str = "", limit: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """(line_no, line) of ``git log --numstat`` or ``--name-status``.
+
+    The driver only counts the commits; every task runs git over a chunk of them, in a working copy that all
+    executors see. Line numbers grow from chunk to chunk, and every chunk begins with a commit.
+    """
     span = [f"{since}..HEAD"] if since else ["--all"]
-    text = subprocess.run(["git", "-C", repo_path, "log", f"--{mode}", f"--format={HEADER}", *([f"-n{limit}"] if limit else []), *span], capture_output=True, check=True).stdout.decode("utf-8", "replace")
-    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line_no bigint, line string")
+    n = int(_git(repo_path, "rev-list", "--count", *span))
+    n = min(n, limit) if limit else n
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in b["id"]:
+                lines = _git(repo_path, "log", f"--{mode}", f"--format={HEADER}", f"--skip={k * chunk}", f"--max-count={min(chunk, n - k * chunk)}", *span).split("\n")
+                yield pd.DataFrame({"line_no": range((k << 32), (k << 32) + len(lines)), "line": lines})
 
-def log_rows(log: DataFrame) -> DataFrame:
-    """Log lines with the fields of the commit header above them carried forward.
+    parts = -(-n // chunk)
+    return spark.range(0, parts, 1, max(1, parts)).mapInPandas(run, "line_no bigint, line string")
 
-    Lines are ordered within blocks that begin at a header, found by a running count per range of line
-    numbers, so that the log is not ordered in one task.
+
+def log_rows(log: DataFrame, *by: str) -> DataFrame:
+    """Log lines with the fields of the commit header above them carried forward; ``by`` tells logs apart.
+
+    Lines are ordered within blocks of line numbers, and the last header of a block goes on into the next, so
+    that a log is not ordered in one task.
     """
-    w = Window.partitionBy("block").orderBy("line_no")
+    w = Window.partitionBy(*by, "block").orderBy("line_no")
     blocked = log.withColumn("block", F.floor(F.col("line_no") / 100_000))
     mine = F.last(F.when(F.col("line").startswith("\x1e"), F.col("line")), ignorenulls=True)
     inside = blocked.withColumn("header", mine.over(w))
-    lasts = inside.groupBy("block").agg(F.max_by("header", F.when(F.col("header").isNotNull(), F.col("line_no"))).alias("end"))
-    over = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
-    before = lasts.select("block", F.last("end", ignorenulls=True).over(over).alias("before"))
-    full = inside.join(before, "block").withColumn("header", F.coalesce("header", "before"))
-    parts = F.split(F.substring(F.col("header"), 2, 1_000_000), "\x1f")
-    return full.where("header is not null").select("line_no", "line", *[F.get(parts, F.lit(i)).alias(f) for i, f in enumerate(_FIELDS)])
+    lasts = inside.groupBy(*by, "block").agg(F.max_by("header", F.when(F.col("header").isNotNull(), F.col("line_no"))).alias("end"))
+    over = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    before = lasts.select(*by, "block", F.last("end", ignorenulls=True).over(over).alias("before"))
+    full = inside.join(before, [*by, "block"]).withColumn("header", F.coalesce("header", "before"))
+    parts = F.split(F.expr("substring(header, 2)"), "\x1f")
+    return full.where("header is not null").select(*by, "line_no", "line", *[F.get(parts, F.lit(i)).alias(f) for i, f in enumerate(_FIELDS)])
+
+
+def _by(df: DataFrame) -> list[str]:
+    """The repository, where a frame holds the logs of several."""
+    return [c for c in ("repo",) if c in df.columns]
 
 
 def normal_path(p: str | Column, keep_prefix: bool = True) -> Column:
@@ -53,25 +81,27 @@ def numstat(rows: DataFrame) -> DataFrame:
     """(hash, path, insertions, deletions); binary files count 0."""
     part = F.split("line", "\t")
     n = lambda i: F.coalesce(F.get(part, F.lit(i)).try_cast("int"), F.lit(0))
-    return rows.where(r"line rlike '^(\\d+|-)\t(\\d+|-)\t'").select("hash", normal_path(F.get(part, F.lit(2))).alias("path"), n(0).alias("insertions"), n(1).alias("deletions"))
+    return rows.where(r"line rlike '^(\\d+|-)\t(\\d+|-)\t'").select(*_by(rows), "hash", normal_path(F.get(part, F.lit(2))).alias("path"), n(0).alias("insertions"), n(1).alias("deletions"))
 
 
 def name_status(rows: DataFrame) -> DataFrame:
     """(hash, path, change_type): the first letter of the status and the new path."""
     part = F.split("line", "\t")
-    return rows.where(r"line rlike '^[A-Z]\\d*\t'").select("hash", F.element_at(part, -1).alias("path"), F.substring("line", 1, 1).alias("change_type"))
+    return rows.where(r"line rlike '^[A-Z]\\d*\t'").select(*_by(rows), "hash", F.element_at(part, -1).alias("path"), F.substring("line", 1, 1).alias("change_type"))
 
 
 def changed_files(stat: DataFrame, status: DataFrame) -> DataFrame:
     """Both logs merged by (hash, path); what only one names has changeType M or no counts."""
-    return stat.join(status, ["hash", "path"], "full_outer").select("hash", "path", F.coalesce("change_type", F.lit("M")).alias("change_type"), F.coalesce("insertions", F.lit(0)).alias("insertions"), F.coalesce("deletions", F.lit(0)).alias("deletions"))
+    keys = [*_by(stat), "hash", "path"]
+    return stat.join(status, keys, "full_outer").select(*keys, F.coalesce("change_type", F.lit("M")).alias("change_type"), F.coalesce("insertions", F.lit(0)).alias("insertions"), F.coalesce("deletions", F.lit(0)).alias("deletions"))
 
 
 def commits(rows: DataFrame, files: DataFrame) -> DataFrame:
     """One row a commit with its sums over files; parents as an array."""
-    head = rows.where(F.col("line").startswith("\x1e")).select(*_FIELDS).dropDuplicates(["hash"]).withColumn("parents", F.filter(F.split("parents", " "), lambda x: x != ""))
-    per = files.groupBy("hash").agg(F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.count("*").alias("files_changed"))
-    return head.join(per, "hash", "left").fillna(0, ["insertions", "deletions", "files_changed"])
+    keys = [*_by(rows), "hash"]
+    head = rows.where(F.col("line").startswith("\x1e")).select(*_by(rows), *_FIELDS).dropDuplicates(keys).withColumn("parents", F.filter(F.split("parents", " "), lambda x: x != ""))
+    per = files.groupBy(*keys).agg(F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.count("*").alias("files_changed"))
+    return head.join(per, keys, "left").fillna(0, ["insertions", "deletions", "files_changed"])
 
 
 def authors(c: DataFrame) -> DataFrame:
@@ -85,8 +115,39 @@ def refs(lines: DataFrame) -> DataFrame:
     """(kind, name, commit) of ``for-each-ref`` lines 'refname objectname peeled': branches without remote HEADs, peeled tags."""
     part = F.split("line", " ")
     ref, obj, peeled = (F.get(part, F.lit(i)) for i in range(3))
-    r = lines.select(F.when(ref.startswith("refs/tags/"), "tag").otherwise("branch").alias("kind"), F.regexp_replace(ref, r"^refs/(?:heads|remotes/[^/]+|tags)/", "").alias("name"), F.coalesce(F.nullif(peeled, F.lit("")), obj).alias("commit"), ref.startswith("refs/heads/").alias("own"))
-    return r.where("name <> 'HEAD' and commit is not null").groupBy("kind", "name").agg(F.max_by("commit", "own").alias("commit"))
+    r = lines.select(*_by(lines), F.when(ref.startswith("refs/tags/"), "tag").otherwise("branch").alias("kind"), F.regexp_replace(ref, r"^refs/(?:heads|remotes/[^/]+|tags)/", "").alias("name"), F.coalesce(F.nullif(peeled, F.lit("")), obj).alias("commit"), ref.startswith("refs/heads/").alias("own"))
+    return r.where("name <> 'HEAD' and commit is not null").groupBy(*_by(lines), "kind", "name").agg(F.max_by("commit", "own").alias("commit"))
+
+
+def marks(stored: DataFrame, known: DataFrame) -> DataFrame:
+    """(repo, since): the stored mark (repo, mark) of every repository, '' (everything) where no commit (repo, hash) is it."""
+    held = known.select("repo", F.col("hash").alias("mark")).distinct().withColumn("held", F.lit(True))
+    return stored.join(held, ["repo", "mark"], "left").select("repo", F.when(F.col("held"), F.col("mark")).otherwise("").alias("since"))
+
+
+def head_commit(repo_path: str) -> str:
+    """The commit that HEAD names; '' where there is none."""
+    try:
+        return _git(repo_path, "rev-parse", "--verify", "HEAD").strip()
+    except subprocess.CalledProcessError:
+        return ""
+
+
+def commit_exists(repo_path: str, commit: str) -> bool:
+    return bool(commit) and subprocess.run(["git", "-C", repo_path, "cat-file", "-e", f"{commit}^{{commit}}"], capture_output=True).returncode == 0
+
+
+def changed_paths(spark: SparkSession, repo_path: str, since: str) -> DataFrame:
+    """(relpath) of what changed since a commit, deleted files left out; everything tracked if it is not known."""
+    known = commit_exists(repo_path, since)
+    out = _git(repo_path, "diff", "--name-only", "--diff-filter=d", "-z", f"{since}..HEAD") if known else _git(repo_path, "ls-files", "-z")
+    return spark.createDataFrame([(x,) for x in out.split("\0") if x], "relpath string")
+
+
+def ref_lines(spark: SparkSession, repo_path: str) -> DataFrame:
+    """(line) of branches and tags, as ``refs`` reads them."""
+    out = _git(repo_path, "for-each-ref", "--format=%(refname) %(objectname) %(*objectname)", "refs/heads", "refs/remotes", "refs/tags")
+    return spark.createDataFrame([(x,) for x in out.split("\n") if x], "line string")
 
 
 def resolve_since(wanted: str, stored: str | None, known: DataFrame) -> str:

@@ -21,6 +21,8 @@ def extract(lines: list[str]) -> dict:
         s = line.strip()
         if not s:
             continue
+        if line.startswith(("func ", "type ")):  # a declaration at the margin: what came before is over, whatever its braces say
+            current, depth, group = None, 0, ""
         if current is not None:
             if depth == 1 and (m := re.match(r"^\*?([\w.]+)\s*(?:`.*)?$", s)) and s != "}":
                 if current["kind"] == "struct" and not current["extends"]:
