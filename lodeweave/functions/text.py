@@ -30,6 +30,13 @@ def definition_tokens(c: str | Column) -> Column:
     return F.concat(F.lit(" "), F.translate(F.lower(c), SEPARATORS, " " * len(SEPARATORS)), F.lit(" "))
 
 
+def matches_table(definition: str | Column, name: str | Column, least: int = 4) -> Column:
+    """Whether a definition holds a table's name as a whole token; names that are short or hold a separator other than a blank never match."""
+    n = F.lower(F.col(name) if isinstance(name, str) else name)
+    bare = F.translate(n, SEPARATORS.replace(" ", ""), "\u0001" * (len(SEPARATORS) - 1)).contains("\u0001")
+    return F.coalesce((F.char_length(n) >= least) & ~bare & definition_tokens(definition).contains(F.concat(F.lit(" "), n, F.lit(" "))), F.lit(False))
+
+
 def file_type(name: str | Column) -> Column:
     """Type of a file: whole names first, then the lower-cased extension; null if neither is known."""
     name = F.col(name) if isinstance(name, str) else name
@@ -61,9 +68,21 @@ def line_kind(line: str | Column, extension: str | Column) -> Column:
 
 
 def strip_credentials(url: str | Column) -> Column:
-    """An address without its user information; addresses without a scheme keep theirs (``git@host:path``)."""
+    """An address without the password it holds.
+
+    Addresses with a scheme lose all that stands before the host: a password may hold ``@``, ``/``, ``?`` and ``#``, so
+    the last ``@`` that a host follows counts. Over ssh the user alone belongs to the address and stays. Without
+    a scheme (``git@host:path``) only ``user:password@`` loses its password.
+    """
     url = F.col(url) if isinstance(url, str) else url
-    return F.regexp_replace(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#]*@", "$1")
+    scheme = F.lower(F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    rest = F.regexp_replace(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://", "")
+    head = F.regexp_extract(url, r"^(\s*[A-Za-z][A-Za-z0-9+.-]*://)", 1)
+    # user information up to the first slash, or, where that is no host, further on: user:pa/ss@host
+    plain = F.regexp_extract(rest, r"^([^/?#]*)@", 1)
+    user = F.when(plain != "", plain).otherwise(F.regexp_extract(rest, r"^([^/?#@:\s]*:[^@\s]*)@[A-Za-z0-9\[][^@]*$", 1))
+    bare = F.when(user == "", url).when(scheme.isin("ssh", "git+ssh", "ssh+git"), F.concat(head, F.regexp_extract(user, r"^([^:]*)", 1), F.lit("@"), F.substr(rest, F.length(user) + 2))).otherwise(F.concat(head, F.substr(rest, F.length(user) + 2)))
+    return F.when(scheme == "", F.regexp_replace(url, r"^([^:@/\s]+):[^@/\s]*@", "$1@")).otherwise(bare)
 
 
 def caption(name: Column, node_id: Column) -> Column:

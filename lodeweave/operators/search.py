@@ -71,6 +71,13 @@ def search_codebase(g: Graph, text: str, kind: str = "all", repo: str | None = N
     return out.select("label", "id", "name", F.coalesce("fqn", "path", F.nullif("owner", F.lit("")), "id").alias("ref"))
 
 
+def search_any(g: Graph, text: str) -> DataFrame:
+    """(label, id, name): nodes of any label whose name, id or path holds the text, case-sensitive."""
+    t = F.lit(text)
+    holds = F.coalesce(F.col("name").contains(t), F.lit(False)) | F.col("id").cast("string").contains(t) | F.coalesce(F.col("path").contains(t), F.lit(False))
+    return g.all_nodes().where(holds).select("label", "id", "name")
+
+
 def find_table(g: Graph, text: str) -> DataFrame:
     """(label, id, name): tables and columns whose name holds the text, case-sensitive."""
     return g.all_nodes("Table", "Column").where(F.col("name").contains(F.lit(text))).select("label", "id", "name")

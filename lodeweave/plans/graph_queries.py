@@ -123,9 +123,10 @@ _REF = "SELECT label, id, name, coalesce(fqn, path, nullif(owner, ''), id) AS re
 _NODES = f"WITH {_FILES}, {_CATALOG}, {_UNION_NODES}"
 
 
-def _impact_sql(col: str, fk: str, body: str) -> str:
-    return f"""{_CAT} SELECT 'column' AS bucket, database_name AS database, table_name AS "table", column_name AS name, data_type AS detail FROM live WHERE {col}
+def _impact_sql(col: str, fk: str, body: str, index: str) -> str:
+    return f"""{_LINKED} SELECT 'column' AS bucket, database_name AS database, table_name AS "table", column_name AS name, data_type AS detail FROM live WHERE {col}
 UNION ALL SELECT 'foreign_key', a.database_name, a.table_name, a.column_name, b.table_name || '.' || b.column_name FROM fk JOIN live a ON a.id = fk.src JOIN live b ON b.id = fk.dst WHERE {fk}
+UNION ALL SELECT 'index', database_name, table_name, name, array_to_string(columns, ',') FROM ix WHERE tid IN (SELECT tid FROM base) AND ({index})
 UNION ALL SELECT 'procedure', database, NULL, name, 'definition' FROM proc WHERE {body} UNION ALL SELECT 'view', database, NULL, name, 'definition' FROM view WHERE {body}"""
 
 
@@ -142,8 +143,10 @@ def _neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _any_table(spark: SparkSession, d: str) -> str:
-    """A table to report on: the least name in the catalog, so that the query means the same on any data."""
-    return catalog(spark, d).nodes["Table"].agg(F.min(F.lower("name"))).first()[0] or ""
+    """A table to report on: the least name that a view or procedure uses, so that the query means the same on any data."""
+    g = linked(spark, d)
+    used = g.rels["USES_TABLE"].union(g.rels["BASED_ON"]).select(F.col("dst").alias("id")).distinct()
+    return g.nodes["Table"].join(used, "id", "left_semi").agg(F.min(F.lower("name"))).first()[0] or ""
 
 
 def _by_name(op):
@@ -165,7 +168,14 @@ def _blast(spark: SparkSession, d: str) -> DataFrame:
     return impact.blast_radius(g, path)
 
 
-_ONE = "(SELECT min(lower(name)) FROM tables)"
+# told by where things stand, not by the pattern of the operator
+_AFTER = "substr(url, strpos(url, '://') + 3)"
+_AUTH = f"string_split({_AFTER}, '/')[1]"
+_CLEAN = f"""CASE WHEN NOT contains(url, '://') THEN CASE WHEN contains(string_split(url, '@')[1], ':') AND contains(url, '@') THEN string_split(url, ':')[1] || substr(url, strpos(url, '@')) ELSE url END WHEN NOT contains({_AUTH}, '@') THEN url
+ WHEN starts_with(url, 'ssh') THEN split_part(url, '://', 1) || '://' || string_split(string_split({_AUTH}, '@')[1], ':')[1] || '@' || string_split({_AUTH}, '@')[-1] || substr({_AFTER}, length({_AUTH}) + 1)
+ ELSE split_part(url, '://', 1) || '://' || string_split({_AUTH}, '@')[-1] || substr({_AFTER}, length({_AUTH}) + 1) END"""
+_ONE = "(SELECT min(lower(name)) FROM tables WHERE id IN (SELECT dst FROM uses_table UNION SELECT dst FROM based_on))"
+_LINKED = f"{_CAT}, based_on AS ({_contain('view', '=')}), uses_table AS ({_contain('proc', '=')})"
 _BLAST_FILE = "(SELECT min(id) FROM f WHERE file_type = 'java')"
 QUERIES = {
     "label_counts": _g(lambda s, d: merged(code(s, d), catalog(s, d)), search.label_counts),
@@ -174,7 +184,7 @@ QUERIES = {
     "search_code": _g(code, search.search_codebase, TEXT, "code"), "search_schema": _g(catalog, search.search_codebase, TEXT, "schema"),
     "search_all": _g(lambda s, d: merged(code(s, d), catalog(s, d)), search.search_codebase, TEXT), "search_repo": _g(lambda s, d: merged(code(s, d), catalog(s, d)), search.search_codebase, TEXT, "all", "atlas-core"),
     "find_table": _g(catalog, search.find_table, FIND), "find_table_page": _page_totals, "find_procedure": _g(catalog, search.find_procedure, FIND), "node_neighbors": _neighbors, "degree": _degree,
-    "label_sample": lambda s, d: search.label_sample(catalog(s, d), "Schema", 25), "database_table_counts": _g(catalog, search.database_table_counts),
+    "search_any": lambda s, d: search.search_any(merged(code(s, d), catalog(s, d)), FIND), "label_sample": lambda s, d: search.label_sample(catalog(s, d), "Schema", 25), "database_table_counts": _g(catalog, search.database_table_counts),
     "graph_sample": lambda s, d: search.sample(code(s, d), 120, "CONTAINS_CLASS", "IMPORTS")[0],
     "repository_status": lambda s, d: code(s, d).nodes["Repository"].select("name", "url", "default_branch", "status", "commits", "last_commit", "last_ingested_at"),
     "fk_hotspots": _g(catalog, recipes.fk_hotspots), "fk_hotspot_columns": _g(catalog, recipes.fk_hotspot_columns), "orphan_tables": _g(linked, recipes.orphan_tables), "entity_table_map": _g(linked, recipes.entity_table_map),
@@ -195,11 +205,23 @@ SQL = {
     "find_procedure": f"{_CAT} SELECT id, name, database FROM proc WHERE contains(name, '{FIND}') OR contains(definition, '{FIND}')",
     "node_neighbors": f"{_CODE} SELECT 'IMPORTS' AS rel, src AS from_id, 'Class' AS neighbor_label, src AS neighbor_id FROM imports WHERE dst = 'ext/java.util.List'",
     "degree": f"WITH {_FILES}, {_CATALOG} SELECT label, id, count(*) AS degree FROM (SELECT 'File' AS label, src AS id FROM contains UNION ALL SELECT 'Class', dst FROM contains UNION ALL SELECT 'Class', src FROM imports UNION ALL SELECT 'Class', dst FROM imports UNION ALL SELECT 'Table', src FROM refs UNION ALL SELECT 'Table', dst FROM refs) GROUP BY ALL",
+    "search_any": f"""WITH {_FILES}, {_CATALOG} SELECT label, id, name FROM (SELECT 'Repository' AS label, repo AS id, repo AS name, min_by(root_path, -repo_id) AS path FROM repositories WHERE repo IS NOT NULL GROUP BY repo UNION ALL SELECT 'File', id, file_name, relpath FROM f UNION ALL SELECT 'Class', id, name, NULL FROM cls UNION ALL SELECT 'Method', id, name, NULL FROM method
+UNION ALL SELECT DISTINCT 'Database', did, database_name, NULL FROM base UNION ALL SELECT DISTINCT 'Schema', schema_id, schema_name, NULL FROM base UNION ALL SELECT 'Table', id, name, NULL FROM tables UNION ALL SELECT 'Column', id, column_name, NULL FROM live UNION ALL SELECT 'Index', id, name, NULL FROM ix WHERE tid IN (SELECT tid FROM base) UNION ALL SELECT 'StoredProcedure', id, name, NULL FROM proc UNION ALL SELECT 'View', id, name, NULL FROM view)
+WHERE contains(name, '{FIND}') OR contains(id, '{FIND}') OR contains(path, '{FIND}')""",
+    "label_sample": f"""{_CAT} SELECT DISTINCT schema_id AS id, '{{"name":"' || schema_name || '","database":"' || database_name || '"}}' AS properties FROM base ORDER BY id LIMIT 25""",
+    "explain_impact": f"""{_ALL}, t1 AS (SELECT * FROM tables WHERE lower(name) = {_ONE}), own AS (SELECT 'column' AS bucket, database_name AS database, table_name AS "table", column_name AS name, data_type AS detail FROM live WHERE lower(table_name) = {_ONE}
+ UNION ALL SELECT 'foreign_key', a.database_name, a.table_name, a.column_name, b.table_name || '.' || b.column_name FROM fk JOIN live a ON a.id = fk.src JOIN live b ON b.id = fk.dst WHERE lower(a.table_name) = {_ONE} OR lower(b.table_name) = {_ONE}
+ UNION ALL SELECT 'index', database_name, table_name, name, array_to_string(columns, ',') FROM ix WHERE tid IN (SELECT tid FROM base) AND lower(table_name) = {_ONE}),
+hit AS (SELECT id, name FROM tables WHERE lower(name) IN (SELECT lower("table") FROM own UNION SELECT lower(name) FROM t1)),
+ev AS (SELECT 'procedure' AS bucket, database, name, 'definition' AS via FROM proc WHERE contains(lower(definition), {_ONE}) UNION SELECT 'view', database, name, 'definition' FROM view WHERE contains(lower(definition), {_ONE})
+ UNION SELECT 'procedure', p.database, p.name, 'link' FROM uses_table u JOIN hit ON hit.id = u.dst JOIN proc p ON p.id = u.src UNION SELECT 'view', v.database, v.name, 'link' FROM based_on b JOIN hit ON hit.id = b.dst JOIN view v ON v.id = b.src)
+SELECT bucket, database, "table", name, detail, 'definition' AS via, 'direct' AS severity FROM own UNION ALL SELECT bucket, database, NULL, name, NULL, string_agg(via, ',' ORDER BY via), 'transitive' FROM ev GROUP BY bucket, database, name
+UNION ALL SELECT DISTINCT 'entity', c.repo, hit.name, c.fqn, NULL, 'MAPS_TO', 'direct' FROM maps_to m JOIN hit ON hit.id = m.dst JOIN cls c ON c.id = m.src""",
     "database_table_counts": f"{_CAT} SELECT database_name AS database, count(DISTINCT tid) AS tables FROM base GROUP BY did, database_name",
     "graph_sample": f"""{_CODE}, links AS (SELECT * FROM (SELECT 'CONTAINS_CLASS' AS type, 'File' AS sl, src, dst FROM contains UNION ALL SELECT 'IMPORTS', 'Class', src, dst FROM imports) ORDER BY type, src, dst LIMIT 120),
 deg AS (SELECT label, id, count(*) AS degree FROM (SELECT sl AS label, src AS id FROM links UNION ALL SELECT 'Class', dst FROM links) GROUP BY ALL), n AS (SELECT 'File' AS label, id, file_name AS name FROM f UNION ALL SELECT 'Class', id, name FROM cls)
 SELECT d.label, d.id, coalesce(nullif(n.name, ''), nullif(regexp_extract(d.id, '[^#/\\\\:]+$'), ''), d.id) AS caption, d.degree FROM deg d JOIN n ON n.label = d.label AND n.id = d.id""",
-    "repository_status": "SELECT repo AS name, regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#]*@', '\\1') AS url, default_branch, ingest_status AS status, n_commits AS commits, nullif(last_commit, '') AS last_commit, last_ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY repo_id DESC) AS rn FROM repositories WHERE repo IS NOT NULL) WHERE rn = 1",
+    "repository_status": f"SELECT repo AS name, {_CLEAN} AS url, default_branch, ingest_status AS status, n_commits AS commits, nullif(last_commit, '') AS last_commit, last_ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY repo_id DESC) AS rn FROM repositories WHERE repo IS NOT NULL) WHERE rn = 1",
     "fk_hotspots": f"""{_CAT} SELECT t.database, t.schema, t.name AS "table", count(DISTINCT r.src) AS incoming_tables, list_sort(list(DISTINCT o.name))[1:10] AS referenced_by FROM refs r JOIN tables t ON t.id = r.dst JOIN tables o ON o.id = r.src GROUP BY ALL ORDER BY incoming_tables DESC, t.database, t.schema, t.name LIMIT 20""",
     "fk_hotspot_columns": f"""{_CAT} SELECT l.database_name AS database, l.table_name AS "table", l.column_name AS "column", count(*) AS incoming FROM fk JOIN live l ON l.id = fk.dst GROUP BY l.id, ALL""".replace("GROUP BY l.id, ALL", "GROUP BY l.id, l.database_name, l.table_name, l.column_name"),
     "orphan_tables": f"""{_ALL} SELECT database, name AS "table" FROM tables t WHERE NOT EXISTS (SELECT 1 FROM refs WHERE src = t.id OR dst = t.id) AND NOT EXISTS (SELECT 1 FROM maps_to WHERE dst = t.id)""",
@@ -207,17 +229,18 @@ SELECT d.label, d.id, coalesce(nullif(n.name, ''), nullif(regexp_extract(d.id, '
     "tables_without_entity": f"""{_ALL} SELECT database, name AS "table" FROM tables t WHERE NOT EXISTS (SELECT 1 FROM maps_to WHERE dst = t.id)""",
     "entities_without_table": f"{_ALL} SELECT repo, fqn AS entity FROM cls c WHERE stereotype = 'Entity' AND NOT EXISTS (SELECT 1 FROM maps_to WHERE src = c.id)",
     "who_touches_table": f"{_ALL}, one AS (SELECT * FROM tables WHERE lower(name) = {_ONE}) SELECT DISTINCT 'class' AS kind, c.fqn AS name, o.database FROM maps_to m JOIN one o ON o.id = m.dst JOIN cls c ON c.id = m.src UNION SELECT 'view', v.name, o.database FROM based_on b JOIN one o ON o.id = b.dst JOIN view v ON v.id = b.src UNION SELECT 'procedure', p.name, o.database FROM uses_table u JOIN one o ON o.id = u.dst JOIN proc p ON p.id = u.src",
-    "columns_of_table": f"""{_CAT} SELECT database_name AS database, table_name AS "table", column_name AS "column", ordinal_no AS ordinal, data_type, upper(is_nullable) IN ('YES', 'Y', 'TRUE', 'T', '1') AS is_nullable FROM live WHERE lower(table_name) = {_ONE}""",
+    "columns_of_table": f"""{_LINKED} SELECT database_name AS database, table_name AS "table", column_name AS "column", ordinal_no AS ordinal, data_type, upper(is_nullable) IN ('YES', 'Y', 'TRUE', 'T', '1') AS is_nullable FROM live WHERE lower(table_name) = {_ONE}""",
     "column_blast_radius": f"""{_ALL}, c AS (SELECT * FROM live WHERE lower(column_name) = '{COLUMN}'), pairs AS (SELECT src AS id, dst AS other FROM fk UNION ALL SELECT dst, src FROM fk)
 SELECT c.database_name AS database, c.schema_name AS schema, c.table_name AS "table", c.data_type, upper(c.is_nullable) IN ('YES', 'Y', 'TRUE', 'T', '1') AS is_nullable,
  coalesce((SELECT list_sort(list(DISTINCT o.table_name || '.' || o.column_name)) FROM pairs b JOIN live o ON o.id = b.other WHERE b.id = c.id), []) AS partners,
+ coalesce((SELECT list_sort(list(DISTINCT name)) FROM ix WHERE ix.tid = c.tid AND list_contains(ix.columns, c.column_name) AND c.tid IN (SELECT tid FROM base)), []) AS indexes,
  coalesce((SELECT list_sort(list(DISTINCT n)) FROM (SELECT p.name AS n, u.dst FROM uses_table u JOIN proc p ON p.id = u.src UNION ALL SELECT v.name, b.dst FROM based_on b JOIN view v ON v.id = b.src) x WHERE x.dst = c.tid), []) AS users FROM c""",
-    "impact_of_column": _impact_sql(f"contains(lower(column_name), '{COLUMN}')", f"contains(lower(a.column_name), '{COLUMN}') OR contains(lower(b.column_name), '{COLUMN}')", f"contains(lower(definition), '{COLUMN}')"),
-    "impact_of_table": _impact_sql(f"lower(table_name) = {_ONE}", f"lower(a.table_name) = {_ONE} OR lower(b.table_name) = {_ONE}", f"contains(lower(definition), {_ONE})"),
+    "impact_of_column": _impact_sql(f"contains(lower(column_name), '{COLUMN}')", f"contains(lower(a.column_name), '{COLUMN}') OR contains(lower(b.column_name), '{COLUMN}')", f"contains(lower(definition), '{COLUMN}')", f"len(list_filter(columns, lambda c: contains(lower(c), '{COLUMN}'))) > 0"),
+    "impact_of_table": _impact_sql(f"lower(table_name) = {_ONE}", f"lower(a.table_name) = {_ONE} OR lower(b.table_name) = {_ONE}", f"contains(lower(definition), {_ONE})", f"lower(table_name) = {_ONE}"),
     "link_maps_to": f"{_ALL} SELECT src, dst FROM maps_to", "link_based_on": f"{_ALL} SELECT src, dst FROM based_on", "link_uses_table": f"{_ALL} SELECT src, dst FROM uses_table", "link_cross_db": f"{_CAT} {_contain('view', '<>')}",
     "dead_code_files": f"{_CHANGES} SELECT f.repo, f.relpath AS path, nullif(l.day, '') AS last_changed FROM lastc l JOIN f ON f.id = l.file WHERE l.day < '{CUTOFF}' AND NOT EXISTS (SELECT 1 FROM decl d JOIN usage u ON d.fqn = u.fqn JOIN f g ON g.id = u.importer WHERE d.file = f.id AND u.importer <> f.id AND g.repo = f.repo)",
     "dead_code_classes": f"{_CHANGES} SELECT f.repo, d.fqn, f.relpath AS path, nullif(l.day, '') AS last_changed FROM (SELECT DISTINCT file, fqn FROM decl) d JOIN lastc l ON l.file = d.file JOIN f ON f.id = d.file WHERE l.day < '{CUTOFF}' AND NOT EXISTS (SELECT 1 FROM usage u JOIN f g ON g.id = u.importer WHERE u.fqn = d.fqn AND u.importer <> f.id AND g.repo = f.repo)",
-    "blast_radius_file": f"""{_CODE} SELECT f.repo, f.relpath AS path, c.fqn AS "class", (SELECT count(*) FROM has_method h WHERE h.src = c.id) AS n_methods,
+    "blast_radius_file": f"""{_CODE} SELECT f.repo, f.relpath AS path, c.fqn AS "class", coalesce((SELECT list_sort(list(DISTINCT m.name)) FROM has_method h JOIN method m ON m.id = h.dst WHERE h.src = c.id), []) AS methods, (SELECT count(*) FROM has_method h WHERE h.src = c.id) AS n_methods,
  coalesce((SELECT list_sort(list(DISTINCT k.src)) FROM imports i JOIN cls x ON x.id = i.dst JOIN contains k ON k.dst = i.src WHERE x.fqn = c.fqn AND k.src <> f.id), []) AS callers FROM f JOIN contains o ON o.src = f.id JOIN cls c ON c.id = o.dst WHERE f.id = {_BLAST_FILE}""",
     "authors_of_commits": f"WITH {_COMMITS} SELECT lower(coalesce(nullif(author_email, ''), author_name)) AS author, count(*) AS commits FROM k WHERE lower(coalesce(nullif(author_email, ''), author_name)) IS NOT NULL GROUP BY 1",
     "commit_parents": f"WITH {_COMMITS} SELECT DISTINCT id AS src, repo || '@' || p AS dst FROM (SELECT id, repo, unnest(parents) AS p FROM k)",

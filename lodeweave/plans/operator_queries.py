@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeweave.functions import text
 from lodeweave.operators import merge, recipes
 from lodeweave.operators.graph import Graph, latest
-from lodeweave.plans.graph_queries import _CATALOG, _CODE, catalog, code
+from lodeweave.plans.graph_queries import _CATALOG, _CLEAN, _CODE, catalog, code
 from lodeweave.plans.graph_queries import SQL as GRAPH_SQL
 from lodeweave.query.pattern import compile_query
 from lodeweave.runtime import read_table
@@ -183,7 +183,7 @@ SQL = {
     "line_explode": "SELECT doc_id, CAST(i AS INTEGER) AS number, md5(parts[i]) AS line_md5 FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))",
     "content_hash": "SELECT file_id, content_hash AS hash FROM scanned_files", "file_type": "SELECT file_id, file_type AS type FROM scanned_files",
     "module_longest_prefix": "SELECT s.file_id, m.root FROM scanned_files s LEFT JOIN (SELECT s2.file_id, arg_max(m.root, length(m.root)) AS root FROM scanned_files s2 JOIN (SELECT DISTINCT repo, module_key AS root FROM scanned_files WHERE module_key <> '') m ON m.repo = s2.repo AND starts_with(s2.relpath, m.root || '/') GROUP BY s2.file_id) m ON m.file_id = s.file_id",
-    "strip_url_credentials": "SELECT repo_id, regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#]*@', '\\1') AS url FROM repositories",
+    "strip_url_credentials": f"SELECT repo_id, {_CLEAN} AS url FROM repositories",
     "table_profile": _profile_sql(),
 }
 SQL |= {
