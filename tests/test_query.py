@@ -80,7 +80,7 @@ def catalog(spark):
 @pytest.mark.parametrize("query, want", [
     ("MATCH (t:Table) WHERE NOT (t)<-[:REFERENCES]-() RETURN t.name AS n", [("a",), ("c",)]), ("MATCH (t:Table) WHERE NOT (t)-[:REFERENCES]->(:Table) AND NOT (t)<-[:REFERENCES]-() AND NOT (:Class)-[:MAPS_TO]->(t) RETURN t.name AS n", [("c",)]),
     ("MATCH (t:Table) WHERE NOT EXISTS { MATCH (t)<-[:REFERENCES]-(o:Table) WHERE o.id <> t.id } RETURN t.name AS n", [("a",), ("c",)]), ("MATCH (t:Table) RETURN t.name AS n, COUNT { (t)<-[:REFERENCES]-() } AS k", [("a", 0), ("b", 2), ("c", 0)]),
-    ("MATCH (i:Index) WHERE any(x IN i.columns WHERE toLower(x) CONTAINS 'y') RETURN i.name AS n", [("ix",)]), ("MATCH (i:Index) WHERE all(x IN i.columns WHERE size(x) = 1) RETURN i.name AS n", [("iy",)]), ("MATCH (i:Index {name: 'ix'}) RETURN reduce(a = '', x IN i.columns | a + x) AS r, [x IN i.columns WHERE x <> 'x' | toLower(x)] AS l", [("xYY", ["yy"])]),
+    ("MATCH (i:Index) WHERE any(x IN i.columns WHERE toLower(x) CONTAINS 'y') RETURN i.name AS n", [("ix",)]), ("MATCH (i:Index) WHERE all(x IN i.columns WHERE x = 'q') RETURN i.name AS n", [("iy",)]), ("MATCH (i:Index {name: 'ix'}) RETURN reduce(a = '', x IN i.columns | a + x) AS r, [x IN i.columns WHERE x <> 'x' | toLower(x)] AS l", [("xYY", ["yy"])]),
     ("CALL db.labels() YIELD label AS l RETURN l", [("Class",), ("Index",), ("Table",)]), ("CALL db.relationshipTypes()", [("MAPS_TO",), ("REFERENCES",)]), ("UNWIND $names AS n MATCH (t:Table {name: n}) RETURN t.id AS id", [("t1",)]), ("UNWIND [1, 2] AS x RETURN x * 2 AS y", [(2,), (4,)]),
     ("MATCH (c:Class), (t:Table) WHERE toLower(c.mapped_table) = toLower(t.name) RETURN c.name AS c, t.name AS t", [("A", "a")]), ("MATCH (e:Entity) RETURN e.name AS n, labels(e) AS l", [("A", ["Class", "Entity"])]), ("MATCH (n) WHERE n:Table OR n:Class RETURN n.id AS i", [("c1",), ("c2",), ("t1",), ("t2",), ("t3",)]),
     ("MATCH (a:Table)-[:REFERENCES]->(b:Table) WHERE a <> b RETURN a.name AS a", [("a",)]), ("MATCH (t:Table)<-[:REFERENCES]-(o:Table) RETURN collect(DISTINCT {name: o.name})[0].name AS n", [("a",)]), ("MATCH (t:Table)<-[r:MAPS_TO]-(c) RETURN type(r) AS ty, startNode(r).id AS s, head(labels(c)) AS l", [("MAPS_TO", "c1", "Class")]),
