@@ -17,6 +17,7 @@ import binascii
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from lodeweave.runtime import cut, ship
 
-#: A bare name-bound value found in more owners than this is a placeholder, whatever it looks like.
-MOST_OWNERS = 12
+#: A value found in more owners than this, and in more than this share of all owners, is a placeholder, whatever it looks like.
+MOST_OWNERS, MOST_SHARE = 12, 0.004
 #: Values in one automaton; more are scanned for in several passes, so no broadcast grows with the corpus.
 SHARD = 100_000
 #: Where no context speaks for them, values shorter than this count only if rare, and held by the same owner or of letters and digits.
@@ -37,7 +38,7 @@ _ABOUT = re.compile(r"(?:^|_)(?:url|uri|endpoint|ttl|seconds|minutes|hours|days|
 _NEUTRAL_NO = re.compile(r"(?:^|_)(?:sha\d*|md5|hash|checksum|digest|etag|commit|commits|revision|rev|ref|uuid|guid|trace|span|request|integrity|fingerprint|signature|tenant|build|id|ids|public_key|public|pub|head|since|parent|sum|crc|nonce|salt|row|version|hex|color|image|sri|thumbprint|serial|correlation|session_id|object|blob|tree|oid)(?:$|_)")
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:|[x*.•_?#-]{2,}|x{3,}.*|\.{3}|<.*>|\[.*\]|\$\{.*\}|\$\(.*\)|\$\w+|\{\{.*\}\}|\{[\w.:-]*\}|%[\w.-]+%|%\(?\w*\)?[sd]|@[\w.]+@|#\{.*\}|__\w+__|vault[:/].*|ref\+.*|env[:/].*|secret(?:s?manager)?[:/].*|ssm[:/].*|aws[:/].*|gcp[:/].*|keyvault[:/].*|arn:.*|op://.*|sops[:/].*|(?:process\.env|os\.environ|os\.getenv|system\.getenv|env|getenv|config|settings|secrets|vars|var|local|data|self|this|props|args|params)[.\[(].*"
-    r"|change[-_ ]?(?:me|it|this)?|replace[-_ ]?me|replace.*|example.*|sample|dummy|todo|tbd|fixme|not[-_ ]?set|unset|none|null|nil|undefined|n/?a|empty|default|placeholder|redacted|masked|hidden|removed|your[-_ ].*|my[-_ ](?:password|token|secret|key)|insert[-_ ].*|enter[-_ ].*|set[-_ ]by.*|ask[-_ ].*|see[-_ ].*|test|testing|foo|bar|baz|string|str|text|value|true|false|yes|no|password|passwd|secret|token|key|apikey|api[-_]key|pwd|pass|username|user|admin|root|p_?pw|required|optional|ignored)$"
+    r"|change[-_ ]?(?:me|it|this)?|replace[-_ ]?(?:me|it|this|with[-_ ].*)|example(?:[-_ ]?(?:password|passwd|pass|pwd|secret|token|key|value|only))?\d*|sample|dummy|todo|tbd|fixme|not[-_ ]?set|unset|none|null|nil|undefined|n/?a|empty|default|placeholder|redacted|masked|hidden|removed|your[-_ ].*|my[-_ ](?:password|token|secret|key)|insert[-_ ].*|enter[-_ ].*|set[-_ ]by.*|ask[-_ ].*|see[-_ ].*|test|testing|foo|bar|baz|string|str|text|value|true|false|yes|no|password|passwd|secret|token|key|apikey|api[-_]key|pwd|pass|username|user|admin|root|p_?pw|required|optional|ignored)$"
 )
 # How credentials of known issuers look.
 _STRUCTURED = re.compile(
@@ -98,10 +99,14 @@ def placeholder(value: str) -> bool:
     return bool(_PLACEHOLDER.match(v)) or len(set(v)) <= 1 or "<" in v[:1] or bool(re.search(r"\$\{[^}]*\}|\{\{.*\}\}|%[A-Z_]{3,}%|\$\([A-Z_]+\)", v))
 
 
+# What the documentation of issuers puts into values of their form.
+_DOCUMENTED = re.compile(r"(?i)example|sample|placeholder|x{6,}|0{8,}|1234567890|abcdefghij|your[-_]?(?:key|token|secret)")
+
+
 def random_looking(value: str) -> bool:
     """A token without structure: long, no blanks, and of mixed kinds of characters."""
     v = value
-    if re.search(r"[\s(){}<>,;:\"']|://", v) or not 20 <= len(v) <= 128:
+    if re.search(r"[\s(){}<>,;:\"']|://", v) or len(v) < 20:
         return False
     if re.fullmatch(r"[0-9a-fA-F]{8}-[0-9a-fA-F-]+", v):
         return False
@@ -136,9 +141,9 @@ def judge(name: str | None, value: str, strong_context: bool = False) -> tuple[s
     if "://" in v and not strong_context:
         return None
     m = _STRUCTURED.search(v)
-    if m:
+    if m and not _DOCUMENTED.search(m.group()):
         return "structured", m.group()
-    if placeholder(v):
+    if m or placeholder(v):
         return None
     m = _HEADER.fullmatch(v) or (_HEADER.search(v) if re.match(r"(?i)authorization|proxy-auth", v) else None)
     if m:
@@ -177,7 +182,8 @@ def header(m: re.Match) -> tuple[str, str] | None:
 
 def key_id(text: str) -> str:
     """What stands for a key block among the values."""
-    return f"key block {re.sub(r'[^A-Za-z0-9+/=]', '', re.sub(r'-----[A-Z ]+-----', '', text))[:64]}"
+    plain = re.sub(r"[^A-Za-z0-9+/=]", "", re.sub(r"-----[A-Z ]+-----", "", text))
+    return f"key block {blake2b(plain.encode(), digest_size=16).hexdigest()}"
 
 
 def key_text(line: str) -> str | None:
@@ -249,7 +255,7 @@ def extents(lines: list[tuple[int, str]]) -> list[tuple[int, str, str, tuple[tup
             continue
         if _KEY_BLOCK.search(line):
             last = key_end(lines, at, marks)
-            value = key_id(line[line.index("-----BEGIN") :] + "".join(s for _, s in lines[at + 1 : at + 4]))
+            value = key_id(line[line.index("-----BEGIN") :] + "".join(s for _, s in lines[at + 1 : last + 1]))
             out.append((no, "structured", value, ((no, "value", value), *((n, "key", "") for n, _ in lines[at + 1 : last + 1]))))
             in_key = last + 1
             continue
@@ -369,8 +375,8 @@ def find_credentials(files: DataFrame, repositories: DataFrame, procedures: Data
     """(source_table, record_id, line_no, value): one row per place and confirmed value.
 
     Null texts hold nothing; a line without a number is not reported. Repeated rows come out once per
-    id. A value is confirmed if it is structured, or bound to a secret's name and held by at most
-    ``MOST_OWNERS`` owners; structured values shared by more owners than that are real and stay.
+    id. A value is confirmed if it is structured or bound to a secret's name, and held by at most
+    ``MOST_OWNERS`` owners or ``MOST_SHARE`` of all owners; a value that more of them share is a placeholder.
     """
     return covered(files, repositories, procedures).select("source_table", "record_id", "line_no", "value").distinct()
 
@@ -382,8 +388,8 @@ def covered(files: DataFrame, repositories: DataFrame, procedures: DataFrame) ->
     everything = places(files, repositories, procedures)
     index = cut(everything.mapInPandas(_extract, _PLACE))
     owners = index.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
-    shared = owners.where(F.col("owners") > MOST_OWNERS).select("value")
-    kept = index.where("kind = 'structured'").unionByName(index.where("kind = 'named'").join(shared, "value", "left_anti"))
+    most = max(MOST_OWNERS, int(MOST_SHARE * everything.select("owner").distinct().count()))
+    kept = index.join(owners.where(F.col("owners") > most).select("value"), "value", "left_anti")
     confirmed = cut(kept.select("source_table", "record_id", "owner", "line_no", "value", "covers").distinct())
     strong = confirmed.where(~F.col("value").startswith("key block ")).select("value").distinct()
     strong = cut(strong.withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(max(1, -(-strong.count() // SHARD))))))
@@ -391,19 +397,19 @@ def covered(files: DataFrame, repositories: DataFrame, procedures: DataFrame) ->
     for s in range((strong.agg(F.max("shard")).first()[0] or 0) + 1):
         hits = _rescan(everything, strong.where(F.col("shard") == s))
         again = hits if again is None else again.unionByName(hits)
-    again = _likely(cut(again), confirmed.select("value", "owner").distinct())
+    again = _likely(cut(again), confirmed.select("value", "owner").distinct(), most)
     again = again.withColumn("covers", F.array(F.struct(F.col("line_no").alias("n"), F.lit("value").alias("how"), F.col("value").alias("part"))).cast(_COVERS))
     return confirmed.drop("owner").unionByName(again.drop("owner"))
 
 
-def _likely(hits: DataFrame, held: DataFrame) -> DataFrame:
+def _likely(hits: DataFrame, held: DataFrame, most: int) -> DataFrame:
     """Hits of long values, and of short ones where they are no word or number that stands there by chance.
 
-    A short value must be a token in at most ``MOST_OWNERS`` owners, and its owner must hold it as a
+    A short value must be a token in at most ``most`` owners, and its owner must hold it as a
     credential too (``held``) or it must mix letters and digits.
     """
     short = hits.where(F.length("value") < LEAST_RESCANNED)
-    rare = short.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners")).where(F.col("owners") <= MOST_OWNERS).select("value")
+    rare = short.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners")).where(F.col("owners") <= most).select("value")
     mixed = F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]")
     short = short.join(rare, "value", "left_semi").join(held.withColumn("is_held", F.lit(True)), ["value", "owner"], "left").where(F.col("is_held") | mixed)
     return hits.where(F.length("value") >= LEAST_RESCANNED).unionByName(short.drop("is_held"))

@@ -1,11 +1,11 @@
 """Reading level of documents by gradient-boosted regression trees.
 
 Features are distributions over a document's sentences: length, vocabulary (corpus-wide rarity of
-words and the mean level of the rated documents they occur in), syntax (punctuation, clauses) and
+words and the mean level of the rated documents they occur in), syntax (the marks that part clauses) and
 cohesion (words shared by neighbouring sentences, connectives), so one model serves all languages.
 Statistics of words are gathered over all documents; the model itself is fitted on the rated sample,
-at most ``SAMPLE`` rated documents, cross-fitted in folds by source and calibrated on what it
-predicts for folds it has not seen.
+at most ``SAMPLE`` rated documents. Folds are made of whole sources: documents are graded by a model, from
+word levels and with a calibration that know nothing of their source.
 """
 
 from __future__ import annotations
@@ -28,10 +28,11 @@ SAMPLE = 20_000
 LEAST_DOCUMENTS = 4
 FOLDS = 5
 
-_CODE = regex.compile(r"```.*?(?:```|\Z)|<[^<>\n]{1,200}>|`[^`\n]*`|https?://\S+|^[ \t]*#[^\n]*$|\{\{.*?\}\}", regex.S | regex.M)
+_CODE = regex.compile(r"```.*?(?:```|\Z)|<[^<>\n]++>|`[^`\n]*`|https?://\S+|^[ \t]*#[^\n]*$|\{\{.*?\}\}", regex.S | regex.M)
 _END = regex.compile(r"(?<=[.!?;:…])\s+|\n\s*\n")
 _WORD = regex.compile(r"\p{L}+(?:['’-]\p{L}+)*")
 _VOWELS = regex.compile(r"[aeiouyàâäáéèêëíîïóôöúùûüœæ]+")
+_MARKS = ",;:()–—"
 _CAPITALS = regex.compile(r"\p{Lu}")
 SCORES = ["score", "length", "word_length", "long_share", "syllables", "rarity", "marks", "overlap"]
 SHAPE = ["mean", "sd", "q10", "q50", "q90"]
@@ -67,7 +68,8 @@ def _shapes(a: np.ndarray, w: np.ndarray) -> list[float]:
 class Features:
     """Feature rows of texts for given word statistics; what a sentence contributes is remembered by its text."""
 
-    def __init__(self, level: dict[str, float], rarity: dict[str, float], default: float, rarest: float):
+    def __init__(self, level: dict[str, float], rarity: dict[str, float], default: float, rarest: float, remembered: int = REMEMBERED):
+        self.most = remembered
         self.level, self.rarity, self.default, self.rarest = level, rarity, default, rarest
         self.known: dict[str, tuple] = {}
 
@@ -80,10 +82,10 @@ class Features:
             scored = [self.level[w] for w in words if w in self.level]
             numbers = (
                 sum(scored) / len(scored) if scored else self.default, n, sum(map(len, words)) / n, sum(len(w) > 8 for w in words) / n,
-                len(_VOWELS.findall(" ".join(words))) / n, sum(self.rarity.get(w, self.rarest) for w in words) / n,
+                len(_VOWELS.findall(" ".join(words))) / n, sum(self.rarity.get(w, self.rarest) for w in words) / n, sum(map(s.count, _MARKS)),
             )
             got = (numbers, frozenset(w for w in words if len(w) > 3), len(scored))
-        if len(self.known) >= REMEMBERED:
+        if len(self.known) >= self.most:
             self.known.clear()
         if len(s) < 1000:
             self.known[s] = got
@@ -102,14 +104,13 @@ class Features:
                 numbers, here, scored = got
                 known += scored
                 seen |= here
-                rows.append((*numbers, 0.0, len(here & before) / max(1, len(here))))
+                rows.append((*numbers, len(here & before) / max(1, len(here))))
                 before = here
         if not rows:
             return [0.0] * len(FEATURES)
         a = np.array(rows)
         w = a[:, 1].astype(float)
         size = w.sum()
-        a[:, 6] = sum(map(plain.count, ",;:()–—")) / len(rows)
         letters = max(1.0, float(a[:, 2] @ w))
         out = _shapes(a, w)
         s = a[:, 0]
@@ -129,17 +130,28 @@ class Words:
     mean: float
     rarest: float
 
-    def levels(self, without: int | None) -> dict[str, float]:
-        """Mean level of every word, drawn towards the mean of all; ``without`` leaves a fold out."""
-        gone = self.fold[without] if without is not None else {}
+    def levels(self, *without: int) -> dict[str, float]:
+        """Mean level of every word, drawn towards the mean of all; folds in ``without`` are left out."""
         out = {}
         for w, (s, n) in self.total.items():
-            gs, gn = gone.get(w, (0.0, 0.0))
-            if n - gn > 0:
-                out[w] = (s - gs + 2 * self.mean) / (n - gn + 2)
+            for f in without:
+                gs, gn = self.fold[f].get(w, (0.0, 0.0))
+                s, n = s - gs, n - gn
+            if n > 0:
+                out[w] = (s + 2 * self.mean) / (n + 2)
         return out
 
 
+def folds_of(counts: dict[str, int]) -> dict[str, int]:
+    """Sources by fold: whole sources, the largest first, each into the fold that holds least."""
+    held, out = [0] * FOLDS, {}
+    for s in sorted(counts, key=lambda s: (-counts[s], s)):
+        k = held.index(min(held))
+        out[s] = k
+        held[k] += counts[s]
+    return out
+
+
 @dataclass
 class ReadingModel:
     words: Words
@@ -197,11 +209,13 @@ def _counted(documents: DataFrame) -> DataFrame:
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ReadingModel:
     """Fit on the rated documents (reading_labels: doc_id, reading_level; several ratings are averaged)."""
-    ship(documents.sparkSession)
+    spark = documents.sparkSession
+    ship(spark)
     rated = labels.where("doc_id is not null and reading_level between 1 and 4").groupBy("doc_id").agg(F.avg("reading_level").alias("level"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rated = _texts(documents).where("trim(text) <> ''").join(rated, "doc_id").withColumn("fold", F.pmod(F.xxhash64("source", F.pmod(F.xxhash64("doc_id"), F.lit(3))), F.lit(FOLDS)).cast("int"))
-    rated = cut(rated)
+    rated = cut(_texts(documents).where("trim(text) <> ''").join(rated, "doc_id"))
+    fold_of = folds_of({r["source"]: r["count"] for r in rated.groupBy("source").count().collect()})  # sources of the rated sample
+    rated = rated.join(F.broadcast(spark.createDataFrame(list(fold_of.items()) or [("", 0)], "source string, fold int")), "source")
     pairs = _words_of(rated, ["level", "fold"], "word string, level double, fold int")
     per = pairs.groupBy("word", "fold").agg(F.sum("level").alias("s"), F.count("*").alias("n"))
     known = cut(per.groupBy("word").agg(F.collect_list(F.struct("fold", "s", "n")).alias("f"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS))
@@ -218,27 +232,39 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Readin
     words = Words(total, fold, rarity, float(mean), float(np.log(n_docs)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = [Features(words.levels(f), words.rarity, words.mean, words.rarest) for f in range(FOLDS)]
+        of: dict[tuple, Features] = {}
         for b in batches:
-            x = [of[f].row(t) for t, f in zip(b["text"], b["fold"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "fold": b["fold"], "level": b["level"], "x": x})
+            rows = []
+            for t, f in zip(b["text"], b["fold"]):
+                row = []
+                for k in range(FOLDS):  # without the own fold and, to train what grades fold k, without fold k as well
+                    w = tuple(sorted({f, k}))
+                    if w not in of:
+                        of[w] = Features(words.levels(*w), words.rarity, words.mean, words.rarest, remembered=5_000)
+                    row += of[w].row(t)
+                rows.append(row)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "fold": b["fold"], "level": b["level"], "x": rows})
 
     got = rated.mapInPandas(run, "doc_id bigint, source string, fold int, level double, x array<double>").orderBy("doc_id").toPandas()  # at most `sample` rows
-    x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
+    x = np.array(got["x"].tolist(), float).reshape(len(got), FOLDS, len(FEATURES))
     y, f = got["level"].to_numpy(float), got["fold"].to_numpy()
+    own = x[np.arange(len(y)), f] if len(y) else x.reshape(0, len(FEATURES))
     unseen = np.full(len(y), float(mean))
     for k in range(FOLDS):
         if (f == k).any() and (f != k).any():
-            unseen[f == k] = boosted(x[f != k], y[f != k]).predict(x[f == k])
+            unseen[f == k] = boosted(x[f != k, k], y[f != k]).predict(own[f == k])
+    graded = unseen.copy()  # calibrated by the other folds
+    for k in range(FOLDS):
+        if (f == k).any() and (f != k).any():
+            graded[f == k] = np.interp(unseen[f == k], *isotonic(unseen[f != k], y[f != k]))
     knots = isotonic(unseen, y) if len(y) else (np.array([1.0, 4.0]), np.array([1.0, 4.0]))
-    graded = np.interp(unseen, *knots)
     expert = y > 3.5
     cuts = np.arange(3.0, 3.9, 0.05)
     f1 = [2 * (expert & (graded >= c)).sum() / max(1, expert.sum() + (graded >= c).sum()) for c in cuts]
     best = float(cuts[np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)].mean()) if len(y) else 3.5
     rep = pd.DataFrame({"source": got["source"], "error": np.abs(graded - y), "right": (np.rint(graded) == np.rint(y)).astype(float)})
     rep = rep.groupby("source").agg(n=("error", "size"), mean_error=("error", "mean"), accuracy=("right", "mean")).reset_index()
-    return ReadingModel(words, boosted(x, y) if len(y) else Ensemble(np.zeros((len(FEATURES), 1)), float(mean), 0.0, []), knots, best, rep)
+    return ReadingModel(words, boosted(own, y) if len(y) else Ensemble(np.zeros((len(FEATURES), 1)), float(mean), 0.0, []), knots, best, rep)
 
 
 def grade(documents: DataFrame, model: ReadingModel) -> DataFrame:
@@ -252,7 +278,7 @@ def grade(documents: DataFrame, model: ReadingModel) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        of = Features(m.words.levels(None), m.words.rarity, m.words.mean, m.words.rarest)
+        of = Features(m.words.levels(), m.words.rarity, m.words.mean, m.words.rarest)
         for b in batches:
             full = [bool(t and t.strip()) for t in b["text"]]
             x = np.array([of.row(t if ok else None) for t, ok in zip(b["text"], full)], float).reshape(len(b), len(FEATURES))
