@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.runtime import cut
+from lodeweave.runtime import cut, spread_join
 
 
 def components(members: DataFrame, node: str = "node", hub: str = "hub", most_rounds: int = 60) -> DataFrame:
     """(node, component): nodes that share a hub, directly or through others, get the same least node.
 
     Hubs replace pairs: a hub of n nodes costs n rows, never n*n, and its minimum is pre-aggregated
-    before the shuffle, so one hub may hold any share of the rows. Labels are also followed one step
+    before the shuffle, and what comes back to the members of a hot hub or component is joined in parts, so
+    one hub may hold any share of the rows. Labels are also followed one step
     (label of the label) every round, so the number of rounds grows with the logarithm of the
     longest path. Null nodes and null hubs link nothing; an empty input gives an empty result.
     """
     m = members.select(F.col(node).alias("node"), F.col(hub).alias("hub")).where("node is not null and hub is not null").distinct()
     shared = m.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
-    links = cut(m.join(shared.select("hub"), "hub", "left_semi"))
+    links = cut(spread_join(m, shared.select("hub"), "hub"))
     labels = cut(links.groupBy("node").agg(F.min("node").alias("label")))
     for _ in range(most_rounds):
         least = links.join(labels, "node").groupBy("hub").agg(F.min("label").alias("low"))
-        near = links.join(least, "hub").groupBy("node").agg(F.min("low").alias("near"))
+        near = spread_join(links, least, "hub").groupBy("node").agg(F.min("low").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
         over = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        step = cut(step.join(over, "next", "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("next")))
+        step = cut(spread_join(step, over, "next", "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("next")))
         done = step.where("next <> label").limit(1).count() == 0
         labels = step.select("node", F.col("next").alias("label"))
         if done:

@@ -82,6 +82,21 @@ def small(df: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() * width <= most_bytes else df
 
 
+def spread_join(big: DataFrame, one: DataFrame, key: str, how: str = "inner", most: int = 100_000) -> DataFrame:
+    """``big`` joined with ``one`` (at most one row a key), the rows of hot keys spread over several tasks.
+
+    A key of ``big`` with more than ``most`` rows is parted by a hash of the row; the few keys there can be (rows /
+    ``most``) are broadcast. The result is that of a plain join; ``how`` is inner or left.
+    """
+    if big.limit(most + 1).count() <= most:
+        return big.join(one, key, how)
+    hot = cut(big.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).where("_parts > 1"))
+    parts = lambda df: df.join(F.broadcast(hot), key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    left = parts(big).withColumn("_part", F.pmod(F.xxhash64(*big.columns), "_parts").cast("int")).drop("_parts")
+    right = parts(one).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
 def parallelism(spark: SparkSession, per_core: int = 2) -> int:
     """A partition count that follows the cluster, not the machine of the driver."""
     return max(8, int(spark.sparkContext.defaultParallelism) * per_core, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -181,3 +181,17 @@ def test_history_graph(spark):
     rows = [("r", "1", "1", "A", "A@x", "t", "B", None, "t", [], "m", 1, 1, 1, datetime(2022, 1, 1)), ("r", "2", "2", None, None, "t", "B", "", "t", ["1", "0"], "m", 1, 1, 1, datetime(2022, 1, 2))]
     g = graph.history_graph(spark.createDataFrame(rows, "repo string, commit_hash string, short_hash string, author_name string, author_email string, authored_at string, committer_name string, committer_email string, committed_at string, parents array<string>, message string, insertions int, deletions int, files_changed int, recorded_at timestamp"))
     assert {r["id"] for r in g.nodes["Author"].collect()} == {"a@x", "b"} and g.rels["PARENT"].count() == 2 and g.rels["AUTHORED"].count() == 1
+
+
+def test_spread_join_and_hot_components(spark, monkeypatch):
+    from lodeweave import runtime
+    from lodeweave.operators import components as comp
+
+    big = spark.createDataFrame([("hot", i) for i in range(50)] + [("b", 1), ("none", 2), ("b", 1)], "k string, v int")
+    one = spark.createDataFrame([("hot", "x"), ("b", "y"), ("unused", "z")], "k string, w string")
+    for how in ("inner", "left"):
+        assert sorted(map(tuple, runtime.spread_join(big, one, "k", how, most=5).collect()), key=str) == sorted(map(tuple, big.join(one, "k", how).collect()), key=str)
+    monkeypatch.setattr(comp, "spread_join", lambda a, b, k, how="inner": runtime.spread_join(a, b, k, how, most=4))
+    rows = [(i, "hub") for i in range(30)] + [(29, "h2"), (31, "h2"), (32, "h3"), (33, "h3"), (None, "hub"), (40, None)]
+    got = dict(map(tuple, comp.components(spark.createDataFrame(rows, "node bigint, hub string")).collect()))
+    assert {n for n, c in got.items() if c == 0} == {*range(30), 31} and got[33] == 32
