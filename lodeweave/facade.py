@@ -18,6 +18,12 @@ def _rows(df: DataFrame, limit: int = 500) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.limit(limit).collect()]
 
 
+def _report(df: DataFrame, *order, limit: int = 500) -> dict:
+    """The first rows in an order, how many there are in all, and whether more follow."""
+    rows, total = _rows(df.orderBy(*order), limit), df.count()
+    return {"rows": rows, "total": total, "truncated": total > len(rows)}
+
+
 class GraphAnalytics:
     """Answers over one graph. Lists are bounded by their limits; nothing else is brought to the driver."""
 
@@ -55,23 +61,25 @@ class GraphAnalytics:
     def find_procedure(self, text: str, limit=25) -> list[dict]:
         return _rows(search.find_procedure(self.graph, text).orderBy("id"), search.clamp(limit))
 
-    def impact_of_column(self, column: str) -> list[dict]:
-        return _rows(impact.impact_of_column(self.graph, column).orderBy("bucket", "database", "table", "name"))
+    def impact_of_column(self, column: str) -> dict:
+        return _report(impact.impact_of_column(self.graph, column), "bucket", "database", "table", "name")
 
     def explain_impact(self, target: str, kind: str = "auto") -> dict:
         """Rows, counts per bucket and a one-line summary."""
         df = impact.explain_impact(self.graph, target, kind)
         counts = {r["bucket"]: r["count"] for r in df.groupBy("bucket").count().collect()}
         words = [f"{n} {b.replace('_', ' ')}{'s' if n != 1 and not b.endswith('y') else ''}" if not b.endswith("y") or n == 1 else f"{n} {b[:-1].replace('_', ' ')}ies" if b != "foreign_key" else f"{n} foreign keys" for b, n in sorted(counts.items())]
-        return {"target": target, "counts": counts, "total": sum(counts.values()), "summary": f"{target}: " + (", ".join(words) or "nothing found"), "rows": _rows(df.orderBy("severity", "bucket", "database", "name"))}
+        return {"target": target, "counts": counts, "total": sum(counts.values()), "summary": f"{target}: " + (", ".join(words) or "nothing found"), **{k: v for k, v in _report(df, "severity", "bucket", "database", "name").items() if k != "total"}}
 
     def find_dead_code(self, repo: str, cutoff: str, kind: str = "files", limit=200) -> list[dict]:
         df = impact.dead_files(self.graph, cutoff) if kind == "files" else impact.dead_classes(self.graph, cutoff)
         return _rows(df.where(F.col("repo") == repo).orderBy(F.col("last_changed").asc_nulls_first(), "path"), search.clamp(limit, 200, 1, 500))
 
     def blast_radius_of_file(self, path: str) -> dict:
-        rows = _rows(impact.blast_radius(self.graph, path).orderBy("repo", "class"))
-        return {"path": path, "found": bool(rows), "classes": rows, "caller_files": sorted({c for r in rows for c in r["callers"]})}
+        df = impact.blast_radius(self.graph, path)
+        r = _report(df, "repo", "class")
+        callers = _report(df.select(F.explode("callers").alias("caller")).distinct(), "caller")
+        return {"path": path, "found": r["total"] > 0, "classes": r["rows"], "truncated": r["truncated"], "caller_files": [x["caller"] for x in callers["rows"]], "callers_total": callers["total"]}
 
     def fk_hotspots(self, limit=20) -> list[dict]:
         return _rows(recipes.fk_hotspots(self.graph, search.clamp(limit, 20)))

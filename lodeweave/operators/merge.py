@@ -37,6 +37,23 @@ def upsert(snapshot: DataFrame, folded: DataFrame, keys: list[str]) -> DataFrame
     return s.join(b, on, "full_outer").select(*out)
 
 
+def stamped(ops: DataFrame, keys: list[str], seq: list[str], assigns: dict[str, list[str] | None], kind: str = "kind") -> DataFrame:
+    """(keys, one column ``(at, value)`` per property): the last operation that assigned it; null if none did."""
+    cols = []
+    for p, kinds in assigns.items():
+        here = F.lit(True) if kinds is None else F.col(kind).isin(*kinds)
+        cols.append(F.max_by(F.struct(F.struct(*seq).alias("at"), F.col(p).alias("value")), F.when(here, F.struct(*seq))).alias(p))
+    return ops.groupBy(*keys).agg(*cols)
+
+
+def merged_stamps(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Both of ``stamped``: of every property the later assignment, whichever came first."""
+    o, n = old.alias("o"), new.alias("n")
+    later = lambda p: F.when(F.col(f"o.{p}").isNull() | (F.col(f"n.{p}.at") >= F.col(f"o.{p}.at")), F.coalesce(f"n.{p}", f"o.{p}")).otherwise(F.col(f"o.{p}")).alias(p)
+    on = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    return o.join(n, on, "full_outer").select(*[F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys], *[later(p) for p in new.columns if p not in keys])
+
+
 def edges_with_ends(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Edges (src, dst, ...) whose both ends exist as nodes (id); the others are silently not written."""
     return edges.join(sources.select(F.col("id").alias("src")), "src", "left_semi").join(targets.select(F.col("id").alias("dst")), "dst", "left_semi")

@@ -7,47 +7,47 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.operators.graph import Graph
+from lodeweave.operators.graph import RELATIONSHIPS, Graph
+from lodeweave.operators.published import Pointer
 
 
 class SnapshotStore:
-    """Versions of a graph under one folder; readers see the version that was published last, whole."""
+    """Versions of a graph under one folder; readers see the version that was published last, whole.
+
+    A version lists a folder for every label and type. ``update`` writes only what changed and lists the
+    other folders again, so a batch of one label costs that label.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._hadoop = jvm.org.apache.hadoop.fs
-        self._context = self._hadoop.FileContext.getFileContext(self._hadoop.Path(self.path).toUri(), spark._jsc.hadoopConfiguration())
+        self.spark, self.path, self.pointer = spark, path.rstrip("/"), Pointer(spark, path)
 
-    def _exists(self, name: str) -> bool:
-        p = self._hadoop.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _manifest(self) -> dict:
+        return self.pointer.get() or {"version": None, "nodes": {}, "rels": {}}
 
     def version(self) -> str | None:
-        return self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0].strip() if self._exists("CURRENT") else None
+        return self._manifest()["version"]
 
     def write(self, g: Graph) -> str:
-        """Write a new version and switch to it by one atomic rename."""
+        """Write a whole graph as a new version and switch to it by one atomic rename."""
+        return self._publish({"nodes": {}, "rels": {}}, g)
+
+    def update(self, g: Graph) -> str:
+        """Write the labels and types of ``g``; the others stay as they are."""
+        return self._publish(self._manifest(), g)
+
+    def _publish(self, base: dict, g: Graph) -> str:
         v = f"v-{uuid.uuid4().hex}"
+        made = {"version": v, "nodes": dict(base["nodes"]), "rels": dict(base["rels"])}
         for kind, frames in (("nodes", g.nodes), ("rels", g.rels)):
             for name, df in frames.items():
                 df.write.parquet(f"{self.path}/{v}/{kind}/{name}")
-        new = self._hadoop.Path(f"{self.path}/{v}/CURRENT")
-        fs = new.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        out = fs.create(new, True)
-        out.write(bytearray(v.encode()))
-        out.close()
-        replace = self.spark.sparkContext._gateway.new_array(self._hadoop.Options.Rename, 1)
-        replace[0] = self._hadoop.Options.Rename.OVERWRITE
-        self._context.rename(new, self._hadoop.Path(f"{self.path}/CURRENT"), replace)
+                made[kind][name] = f"{v}/{kind}/{name}"
+        self.pointer.set(made)
         return v
 
     def read(self) -> Graph:
-        v = self.version()
-        if v is None:
-            return Graph()
-        names = lambda kind: [s.getPath().getName() for s in self._hadoop.Path(f"{self.path}/{v}/{kind}").getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(self._hadoop.Path(f"{self.path}/{v}/{kind}"))] if self._exists(f"{v}/{kind}") else []
-        load = lambda kind: {n: self.spark.read.parquet(f"{self.path}/{v}/{kind}/{n}") for n in names(kind)}
+        m = self._manifest()
+        load = lambda kind: {n: self.spark.read.parquet(f"{self.path}/{folder}") for n, folder in m[kind].items()}
         return Graph(load("nodes"), load("rels"))
 
 
@@ -72,6 +72,17 @@ def script(nodes: DataFrame, label: str) -> DataFrame:
     return nodes.orderBy("id").select(F.concat(F.lit(f"MERGE (n:{label} {{id: "), literal(F.col("id"), "string"), F.lit("})"), F.when(F.lit(bool(props)), F.concat(F.lit(" SET "), sets)).otherwise(F.lit("")), F.lit(";")).alias("statement"))
 
 
+def rel_script(rels: DataFrame, kind: str) -> DataFrame:
+    """(statement): one replayable upsert per relationship, in the order of its ends; both must exist."""
+    props = [c for c in rels.columns if c not in ("src", "dst", "src_label")]
+    kinds = dict(rels.dtypes)
+    sets = F.concat_ws(", ", *[F.concat(F.lit(f"r.{p} = "), literal(F.col(p), kinds[p])) for p in props])
+    a = F.col("src_label") if "src_label" in rels.columns else F.lit(RELATIONSHIPS[kind][0])
+    end = lambda name, label, c: F.concat(F.lit(f"({name}:"), label, F.lit(" {id: "), literal(F.col(c), "string"), F.lit("})"))
+    body = F.concat(F.lit("MATCH "), end("a", a, "src"), F.lit(", "), end("b", F.lit(RELATIONSHIPS[kind][1]), "dst"), F.lit(f" MERGE (a)-[r:{kind}]->(b)"))
+    return rels.orderBy("src", "dst").select(F.concat(body, F.concat(F.lit(" SET "), sets) if props else F.lit(""), F.lit(";")).alias("statement"))
+
+
 def split_statements(text: str) -> list[str]:
     """Statements of a script: semicolons end them, but not within quotes or comments."""
     out, now, i, quote = [], "", 0, ""

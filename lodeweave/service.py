@@ -41,7 +41,12 @@ def route(api: GraphAnalytics, method: str, target: str, body: bytes = b"") -> t
         return 405, {"error": "use GET"}
     if parts == ["schema"]:
         return 200, api.get_schema()
+    if parts == ["status"]:
+        repos = [r.asDict() for r in api.graph.nodes["Repository"].orderBy("id").limit(search.READ_CAP).collect()] if "Repository" in api.graph.nodes else []
+        return 200, {"connected": bool(api.graph.nodes), "repositories": repos, "databases": [r.asDict() for r in search.database_table_counts(api.graph).orderBy("database").limit(search.READ_CAP).collect()] if "Database" in api.graph.nodes else []}
     if parts == ["search"]:
+        return 200, search.page_report(search.search_any(api.graph, q.get("q", "")), q.get("limit"), q.get("offset"))
+    if parts == ["code"]:
         return 200, api.search_codebase(q.get("q", ""), q.get("kind", "all"), q.get("repo"), q.get("limit"), q.get("offset"))
     if len(parts) == 3 and parts[0] == "labels" and parts[2] == "sample":
         if parts[1] not in api.graph.nodes:

@@ -29,6 +29,14 @@ def parse_db_url(url: str) -> dict:
     return {"engine": engine, "host": u.hostname or "localhost", "port": u.port or ENGINES[engine][1], "user": unquote(u.username or ""), "password": unquote(u.password or ""), "databases": names}
 
 
+def user_schemas(schemas: DataFrame, engine: str, only: list[str] | None = None) -> DataFrame:
+    """Schemas (name) to read: the given ones, else all but the system's; the least of several spellings of a given name."""
+    if only:
+        return schemas.where(F.col("name").isin(*only))
+    system = [x.lower() for x in SYSTEM_SCHEMAS[engine_of(engine)]]
+    return schemas.where(~F.lower("name").isin(*system) & ~F.lower("name").startswith("pg_temp"))
+
+
 def read_information_schema(spark: SparkSession, url: str, table: str, schemas: list[str] | None = None) -> DataFrame:
     """One INFORMATION_SCHEMA table over JDBC, without the system's schemas; filters reach the database."""
     c = parse_db_url(url)
@@ -80,6 +88,29 @@ def index_columns(definition: str | Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
+def mysql_indexes(statistics: DataFrame) -> DataFrame:
+    """(schema, table, name, is_unique, index_type, columns) of MySQL's STATISTICS, a row a column."""
+    s = statistics.select(F.col("table_schema").alias("schema"), F.col("table_name").alias("table"), F.col("index_name").alias("name"), F.struct(F.col("seq_in_index").cast("int").alias("at"), F.col("column_name").alias("c")).alias("part"), (F.col("non_unique") == 0).alias("is_unique"), "index_type")
+    return s.groupBy("schema", "table", "name").agg(F.max("is_unique").alias("is_unique"), F.max("index_type").alias("index_type"), F.transform(F.array_sort(F.collect_list("part")), lambda x: x["c"]).alias("columns"))
+
+
+def postgres_indexes(pg_indexes: DataFrame) -> DataFrame:
+    """The same from PostgreSQL's definitions."""
+    d = F.col("indexdef")
+    return pg_indexes.select(F.col("schemaname").alias("schema"), F.col("tablename").alias("table"), F.col("indexname").alias("name"), F.upper(d).startswith("CREATE UNIQUE").alias("is_unique"), F.regexp_extract(d, r"(?i)\bUSING (\w+)", 1).alias("index_type"), index_columns(d).alias("columns"))
+
+
+def mssql_indexes(rows: DataFrame) -> DataFrame:
+    """The same from the index catalog of SQL Server, a row a column; columns in key order."""
+    s = rows.select("schema", "table", "name", (F.col("is_unique") == 1).alias("is_unique"), F.col("type_desc").alias("index_type"), F.struct(F.col("key_ordinal").cast("int").alias("at"), F.col("column").alias("c")).alias("part"))
+    return s.groupBy("schema", "table", "name").agg(F.max("is_unique").alias("is_unique"), F.max("index_type").alias("index_type"), F.transform(F.array_sort(F.collect_list("part")), lambda x: x["c"]).alias("columns"))
+
+
+def mysql_foreign_keys(key_usage: DataFrame) -> DataFrame:
+    """Foreign keys of MySQL, whose key usage names the referenced columns itself."""
+    return key_usage.where("referenced_table_name is not null").select("constraint_name", F.col("table_name").alias("from_table"), F.col("column_name").alias("from_column"), F.col("referenced_table_name").alias("to_table"), F.col("referenced_column_name").alias("to_column"))
+
+
 def indexes_of(rows: DataFrame) -> DataFrame:
     """(table, name, is_unique, columns) of index rows (table, name, is_unique, column, position), columns in key order."""
     return rows.groupBy("table", "name").agg(F.max("is_unique").alias("is_unique"), F.transform(F.sort_array(F.collect_list(F.struct("position", "column"))), lambda x: x["column"]).alias("columns"))

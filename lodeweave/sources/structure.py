@@ -56,3 +56,17 @@ def parse_pom(text: str | None) -> dict:
         "group_id": get(root, "groupId") or get(root, "parent", "groupId"), "artifact_id": get(root, "artifactId"), "version": get(root, "version") or get(root, "parent", "version"),
         "packaging": get(root, "packaging") or "jar", "description": get(root, "description"), "dependencies": deps,
     }
+
+
+POM = "struct<group_id:string,artifact_id:string,version:string,packaging:string,description:string,dependencies:array<struct<group_id:string,artifact_id:string,version:string,scope:string>>>"
+
+
+def poms(files: DataFrame) -> DataFrame:
+    """Files (text, ...) with ``pom`` in place of the text: coordinates and dependencies, blank for a malformed one."""
+    ship(files.sparkSession)
+
+    @F.pandas_udf(POM)
+    def parse(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_pom(t) for t in text], columns=["group_id", "artifact_id", "version", "packaging", "description", "dependencies"])
+
+    return files.select(*[c for c in files.columns if c != "text"], parse("text").alias("pom"))

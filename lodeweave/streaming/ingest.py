@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodeweave.operators.graph import Graph
-from lodeweave.operators.merge import fold, upsert
+from lodeweave.operators.merge import merged_stamps, stamped
 from lodeweave.operators.orphans import OrphanStore
 from lodeweave.operators.store import SnapshotStore
 
@@ -16,16 +17,18 @@ from lodeweave.operators.store import SnapshotStore
 def upsert_stream(source: DataFrame, store: SnapshotStore, label: str, assigns: dict, seq: list[str], checkpoint: str) -> StreamingQuery:
     """Fold every micro-batch of operations and write it over the label's nodes as a new version.
 
-    A batch that is delivered again after a failure folds to the same rows, so nothing is applied twice.
-    Rows that arrive late for a key overwrite only if their ``seq`` is the last of their batch.
+    A store below the store keeps of every property when it was assigned, so that an operation that arrives late,
+    in whichever batch, never overwrites a later one, and a batch delivered again changes nothing. Only this
+    label is written.
     """
+    stamps = SnapshotStore(store.spark, f"{store.path}/stamps")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        folded = fold(batch, ["id"], seq, assigns)
-        g = store.read()
-        plain = folded.select("id", *assigns)
-        g.nodes[label] = upsert(g.nodes[label], folded, ["id"]) if label in g.nodes else plain
-        store.write(Graph(g.nodes, g.rels))
+        held = stamps.read().nodes
+        new = stamped(batch, ["id"], seq, assigns)
+        stamps.update(Graph({label: merged_stamps(held[label], new, ["id"]) if label in held else new}, {}))
+        kept = stamps.read().nodes[label]
+        store.update(Graph({label: kept.select("id", *[F.col(f"{p}.value").alias(p) for p in assigns])}, {}))
 
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
 

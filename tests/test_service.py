@@ -44,7 +44,7 @@ def test_schema_is_remembered(api):
 
 @pytest.mark.parametrize("method, target, body, status", [
     ("GET", "/api/schema", b"", 200), ("GET", "/api/search?q=order&limit=2", b"", 200), ("GET", "/api/labels/Nope/sample", b"", 404), ("GET", "/api/labels/Table/sample", b"", 200), ("GET", "/api/node/t1/neighbors", b"", 200), ("GET", "/api/graph/sample", b"", 200),
-    ("POST", "/api/query", json.dumps({"query": "MATCH (t:Table) RETURN t.name AS n"}).encode(), 200), ("POST", "/api/query", json.dumps({"query": "CREATE (n)"}).encode(), 403), ("POST", "/api/query", json.dumps({"query": "UNWIND [1] AS x RETURN x"}).encode(), 400), ("POST", "/api/query", b"{", 400), ("POST", "/api/query", b" " * 70_000, 413), ("GET", "/api/query", b"", 405), ("POST", "/api/schema", b"", 405), ("GET", "/x", b"", 404),
+    ("POST", "/api/query", json.dumps({"query": "MATCH (t:Table) RETURN t.name AS n"}).encode(), 200), ("POST", "/api/query", json.dumps({"query": "CREATE (n)"}).encode(), 403), ("POST", "/api/query", json.dumps({"query": "MATCH (n:Nope) RETURN n"}).encode(), 400), ("POST", "/api/query", b"{", 400), ("POST", "/api/query", b" " * 70_000, 413), ("GET", "/api/query", b"", 405), ("POST", "/api/schema", b"", 405), ("GET", "/x", b"", 404),
 ])
 def test_routes(api, method, target, body, status):
     assert route(api, method, target, body)[0] == status
