@@ -103,10 +103,15 @@ def placeholder(value: str) -> bool:
 _DOCUMENTED = re.compile(r"(?i)example|sample|placeholder|x{6,}|0{8,}|1234567890|abcdefghij|your[-_]?(?:key|token|secret)")
 
 
+#: A token that nothing names as a secret is one of at most so many characters: what is longer is encoded data, not a
+#: credential. Values of a secret's name, of an issuer's form or of a key block may be of any length.
+LONGEST_UNNAMED = 128
+
+
 def random_looking(value: str) -> bool:
     """A token without structure: long, no blanks, and of mixed kinds of characters."""
     v = value
-    if re.search(r"[\s(){}<>,;:\"']|://", v) or len(v) < 20:
+    if re.search(r"[\s(){}<>,;:\"']|://", v) or not 20 <= len(v) <= LONGEST_UNNAMED:
         return False
     if re.fullmatch(r"[0-9a-fA-F]{8}-[0-9a-fA-F-]+", v):
         return False
