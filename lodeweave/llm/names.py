@@ -200,8 +200,11 @@ def _slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["form", "rule", "confirmed", "hub"])
 
 
-def link_names(rows: DataFrame, id_col: str = "author_id", name_col: str = "author_name", email_col: str = "author_email") -> DataFrame:
-    """(id, identity) for every row that says who it is: rows of one person or organisation share the identity.
+def link_names(rows: DataFrame, id_col: str = "author_id", name_col: str = "author_name", email_col: str = "author_email", scored: bool = True) -> DataFrame:
+    """(id, identity, score) for every row that says who it is: rows of one person or organisation share the identity.
+
+    ``score`` is the rarity of the rarest form that the row shares with other rows: 1 for a full name, a mailbox or a
+    company's name, 1 / number of people known by the form for an initial or login; null for a row on its own.
 
     Exactly repeated rows share one node, so copies cost nothing. Rows with neither a usable name nor
     a usable mailbox, and rows whose id is null, have no result row. Ties cannot arise: an identity is
@@ -211,7 +214,7 @@ def link_names(rows: DataFrame, id_col: str = "author_id", name_col: str = "auth
     ship(spark)
     clean = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
     r = rows.select(F.col(id_col).cast("bigint").alias("id"), clean(name_col).alias("name"), clean(email_col).alias("email")).where("id is not null and (name is not null or email is not null)")
-    nodes = r.groupBy("name", "email").agg(F.min("id").alias("node"))
+    nodes = r.groupBy("name", "email").agg(F.min("id").alias("node"), (F.max("id") > F.min("id")).alias("repeated"))
     parts = parallelism(spark, 1)
     forms = cut(nodes.repartition(parts, "node").mapInPandas(_forms, "node bigint, form string, rule string, confirmed int"))
 
@@ -237,8 +240,14 @@ def link_names(rows: DataFrame, id_col: str = "author_id", name_col: str = "auth
     # identities = components of components: a component is a hub of its nodes, a rare form a hub of components
     second = components(met.join(rare.select("hub"), "hub", "left_semi").select(F.col("component").alias("node"), "hub"))
     final = known.join(second.select(F.col("node").alias("component"), F.col("component").alias("identity")), "component", "left").select("node", F.coalesce("identity", "component").alias("identity"))
-    named_rows = r.join(nodes, (r["name"].eqNullSafe(nodes["name"])) & (r["email"].eqNullSafe(nodes["email"]))).select("id", "node")
-    return named_rows.join(final, "node").select("id", "identity").distinct()
+    named_rows = r.join(nodes, (r["name"].eqNullSafe(nodes["name"])) & (r["email"].eqNullSafe(nodes["email"]))).select("id", "node", "repeated")
+    met_strong = hubs.groupBy("hub").agg(F.count_distinct("node").alias("n")).where("n > 1").select("hub")
+    shared = hubs.join(met_strong, "hub", "left_semi").select("node", F.lit(1.0).alias("score")).unionByName(weak.join(rare.select("hub", "score"), "hub").select("node", F.col("score").cast("double")))
+    best = shared.groupBy("node").agg(F.max("score").alias("best"))
+    out = named_rows.join(final, "node")
+    if not scored:
+        return out.select("id", "identity").distinct()
+    return out.join(best, "node", "left").select("id", "identity", F.when(F.col("repeated"), 1.0).otherwise(F.col("best")).alias("score")).distinct()
 
 
 def pairs(linked: DataFrame) -> DataFrame:

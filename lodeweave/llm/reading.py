@@ -286,4 +286,4 @@ def grade(documents: DataFrame, model: ReadingModel) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "grade": g, "is_expert": (g >= m.cut).astype(object).where(g.notna(), None)})
 
     out = documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id bigint, grade double, is_expert boolean")
-    return out.select("doc_id", "grade", F.greatest(F.lit(1), F.least(F.lit(4), F.round("grade"))).cast("int").alias("reading_level"), "is_expert")
+    return out.select("doc_id", "grade", F.when(F.col("grade").isNotNull(), F.greatest(F.lit(1), F.least(F.lit(4), F.round("grade")))).cast("int").alias("reading_level"), "is_expert")

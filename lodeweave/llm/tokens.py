@@ -176,6 +176,20 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, content binary) of (doc_id, ids): the bytes that the ids stand for, empty for an empty or null list."""
+    shared = _vocabulary(encoded, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = {i: b for b, i in _encoder(shared).ranks.items()}
+        for b in batches:
+            content = [b"".join([of[i] for i in ids]) if ids else b"" for ids in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.binary())], ["doc_id", "content"])
+
+    kind = encoded.select("doc_id").schema[0].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, content binary")
+
+
 def count_tokens(path: str | None, df: DataFrame, text: str | Column) -> Column:
     """Number of tokens of a text column as a column; 0 for null and empty texts."""
     shared = _vocabulary(df, path)

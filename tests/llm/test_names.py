@@ -55,3 +55,9 @@ def test_empty_and_long(spark):
 def test_pairs(spark):
     df = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4)], "id bigint, identity bigint")
     assert sorted((r[0], r[1]) for r in names.pairs(df).collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_scores_tell_how_rare_the_shared_form_is(spark):
+    rows = [(1, "Robert Miller", None), (2, "Bob Miller", None), (3, "R. Miller", None), (6, "Ruth Zander", None), (9, "Ina Kopp", "x@y.example"), (10, "Ina Kopp", "x@y.example")]
+    got = {r["id"]: (r["identity"], r["score"]) for r in names.link_names(spark.createDataFrame(rows, "author_id bigint, author_name string, author_email string")).collect()}
+    assert got == {1: (1, 1.0), 2: (1, 1.0), 3: (1, 1.0), 6: (6, None), 9: (9, 1.0), 10: (9, 1.0)}

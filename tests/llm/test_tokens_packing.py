@@ -45,6 +45,7 @@ def test_encode_frame(spark):
     got = sorted((r["doc_id"], r["ids"]) for r in tokens.encode(df).collect())
     assert got == [(1, encode("Hello world"))] * 2 + [(2, []), (3, [])]
     assert tokens.encode(df.limit(0)).count() == 0
+    assert sorted((r["doc_id"], bytes(r["content"]).decode()) for r in tokens.decode(tokens.encode(df)).collect()) == [(1, "Hello world")] * 2 + [(2, ""), (3, "")]
 
 
 @settings(max_examples=60, deadline=None)
