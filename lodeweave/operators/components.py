@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.runtime import cut, spread_join
+from lodeweave.runtime import cut, hot_keys, spread_join
+
+#: Rows of one hub or component that are joined in one task.
+HOT = 100_000
 
 
 def components(members: DataFrame, node: str = "node", hub: str = "hub", most_rounds: int = 60) -> DataFrame:
@@ -19,14 +22,17 @@ def components(members: DataFrame, node: str = "node", hub: str = "hub", most_ro
     """
     m = members.select(F.col(node).alias("node"), F.col(hub).alias("hub")).where("node is not null and hub is not null").distinct()
     shared = m.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
-    links = cut(spread_join(m, shared.select("hub"), "hub"))
+    links = cut(m.join(shared.select("hub"), "hub", "left_semi"))
+    hot = hot_keys(links.groupBy("hub").agg(F.count("*").alias("n")), "hub", HOT)
     labels = cut(links.groupBy("node").agg(F.min("node").alias("label")))
+    many = labels.count() > HOT  # else no label can be hot
     for _ in range(most_rounds):
         least = links.join(labels, "node").groupBy("hub").agg(F.min("label").alias("low"))
-        near = spread_join(links, least, "hub").groupBy("node").agg(F.min("low").alias("near"))
+        near = spread_join(links, least, "hub", hot).groupBy("node").agg(F.min("low").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
         over = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        step = cut(spread_join(step, over, "next", "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("next")))
+        hot_labels = hot_keys(step.groupBy("next").agg(F.count("*").alias("n")), "next", HOT) if many else None
+        step = cut(spread_join(step, over, "next", hot_labels, "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("next")))
         done = step.where("next <> label").limit(1).count() == 0
         labels = step.select("node", F.col("next").alias("label"))
         if done:

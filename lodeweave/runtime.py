@@ -82,15 +82,20 @@ def small(df: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() * width <= most_bytes else df
 
 
-def spread_join(big: DataFrame, one: DataFrame, key: str, how: str = "inner", most: int = 100_000) -> DataFrame:
-    """``big`` joined with ``one`` (at most one row a key), the rows of hot keys spread over several tasks.
+def hot_keys(counts: DataFrame, key: str, most: int = 100_000) -> DataFrame | None:
+    """(key, _parts) of the keys with more than ``most`` rows, from (key, n); None if there are none. There can be (rows / ``most``)."""
+    hot = cut(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("_parts")))
+    return hot if hot.limit(1).count() else None
 
-    A key of ``big`` with more than ``most`` rows is parted by a hash of the row; the few keys there can be (rows /
-    ``most``) are broadcast. The result is that of a plain join; ``how`` is inner or left.
+
+def spread_join(big: DataFrame, one: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``one`` (at most one row a key), the rows of ``hot_keys`` spread over several tasks.
+
+    Rows of a hot key are parted by their hash, and the key's row in ``one`` is repeated for every part. The result
+    is that of a plain join; ``how`` is inner or left.
     """
-    if big.limit(most + 1).count() <= most:
+    if hot is None:
         return big.join(one, key, how)
-    hot = cut(big.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).where("_parts > 1"))
     parts = lambda df: df.join(F.broadcast(hot), key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     left = parts(big).withColumn("_part", F.pmod(F.xxhash64(*big.columns), "_parts").cast("int")).drop("_parts")
     right = parts(one).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")

@@ -189,9 +189,11 @@ def test_spread_join_and_hot_components(spark, monkeypatch):
 
     big = spark.createDataFrame([("hot", i) for i in range(50)] + [("b", 1), ("none", 2), ("b", 1)], "k string, v int")
     one = spark.createDataFrame([("hot", "x"), ("b", "y"), ("unused", "z")], "k string, w string")
+    hot = runtime.hot_keys(big.groupBy("k").count().withColumnRenamed("count", "n"), "k", 5)
+    assert hot.first()["_parts"] == 10 and runtime.hot_keys(big.groupBy("k").count().withColumnRenamed("count", "n"), "k", 50) is None
     for how in ("inner", "left"):
-        assert sorted(map(tuple, runtime.spread_join(big, one, "k", how, most=5).collect()), key=str) == sorted(map(tuple, big.join(one, "k", how).collect()), key=str)
-    monkeypatch.setattr(comp, "spread_join", lambda a, b, k, how="inner": runtime.spread_join(a, b, k, how, most=4))
+        assert sorted(map(tuple, runtime.spread_join(big, one, "k", hot, how).collect()), key=str) == sorted(map(tuple, big.join(one, "k", how).collect()), key=str)
+    monkeypatch.setattr(comp, "HOT", 4)
     rows = [(i, "hub") for i in range(30)] + [(29, "h2"), (31, "h2"), (32, "h3"), (33, "h3"), (None, "hub"), (40, None)]
     got = dict(map(tuple, comp.components(spark.createDataFrame(rows, "node bigint, hub string")).collect()))
     assert {n for n, c in got.items() if c == 0} == {*range(30), 31} and got[33] == 32
