@@ -45,6 +45,9 @@ COMPANY_WORDS = {
 LEGAL_FORMS = set("inc incorporated gmbh ltd limited ag bv sa sarl llc llp plc corp corporation co kg se nv oy ab as spa srl pty".split())
 SHARED_MAILBOXES = set("root info dev oss builds build devops admin administrator ci cd git deploy team contact hello office support release releases noreply no-reply postmaster webmaster jenkins bot robot buildbot mail user nobody test service engineering security ops it hr sales help helpdesk".split())
 
+#: Forms shorter than this have no slips: one letter less or more and they are another name.
+LEAST_SLIP = 6
+
 _FULL_OF = {n: full for full, nicks in NICKNAMES.items() for n in nicks.split()}
 _COMPANY_OF = {a: word for word, abbr in COMPANY_WORDS.items() for a in abbr.split()}
 
@@ -194,7 +197,7 @@ def _slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for form, rule, ok in zip(b["form"], b["rule"], b["confirmed"]):
             moving, at, fixed = form.partition("@") if rule == "mailbox" else (form, "", "")
-            if len(moving) > 5:
+            if len(moving) >= LEAST_SLIP:
                 head = moving.index("|") if rule == "full" else len(moving)  # a slip here needs the first name confirmed
                 rows += [(form, rule, ok > (i < head), f"{rule}/{_short(s)}{at}{fixed}") for s, i in dict(slips(moving)).items()]
         yield pd.DataFrame(rows, columns=["form", "rule", "confirmed", "hub"])
