@@ -193,16 +193,3 @@ def services(rows: DataFrame, tables: DataFrame) -> Graph:
     for rel, df, c in (("VDS_USES_TABLE", q, "core_table"), ("REFERENCES_TABLE", w, "table")):
         g.rels[rel] = df.select(F.col("id").alias("src"), "database", F.lower(c).alias("n")).where("n <> ''").join(t, ["database", "n"]).select("src", "dst").distinct()
     return g
-
-
-def each_source(sources: list[str], run) -> list[dict]:
-    """Runs ``run(source)`` for every source and goes on where one fails: (source, status, error, result)."""
-    out = []
-    for s in sources:
-        try:
-            out.append({"source": s, "status": "completed", "error": None, "result": run(s)})
-        except ImportError:
-            raise
-        except Exception as e:  # one source that fails must not stop the others
-            out.append({"source": s, "status": "failed", "error": str(e).splitlines()[0] if str(e) else type(e).__name__, "result": None})
-    return out

@@ -37,7 +37,10 @@ def databases_from(config: str | Path, env: dict | None = None) -> list[dict]:
 
 
 def group_listing(fetch: Callable[[int], list[dict]], active_since: str = "") -> list[dict]:
-    """Repositories of a paged group listing: distinct by address, until a page is empty or brings nothing new."""
+    """Repositories of a paged group listing: distinct by address, until a page is empty or brings nothing new.
+
+    A listing that goes on after ``MOST_PAGES`` pages is an error, not a shorter list.
+    """
     seen: dict[str, dict] = {}
     for page in range(1, MOST_PAGES + 1):
         rows = fetch(page)
@@ -46,6 +49,8 @@ def group_listing(fetch: Callable[[int], list[dict]], active_since: str = "") ->
             seen[r["http_url_to_repo"]] = {"name": r.get("path") or "", "url": r["http_url_to_repo"], "branch": r.get("default_branch") or "", "active": r.get("last_activity_at") or ""}
         if not rows or not new:
             break
+    else:
+        raise RuntimeError(f"the listing goes on after {MOST_PAGES} pages")
     return [r for r in seen.values() if not active_since or r["active"] >= active_since]
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.functions.text import file_type, kept_path
+from lodeweave.functions.text import TYPE_BY_EXTENSION, TYPE_BY_NAME, file_type, kept_path
 from lodeweave.runtime import ship
 
 
@@ -28,7 +28,10 @@ def scan_tree(spark: SparkSession, root: str, repo: str, only_paths: DataFrame |
     Skipped folders and files are left out; with ``only_paths`` (relpath) nothing else is read.
     """
     ship(spark)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    # names that no type is known for are not even opened; the listing tells extensions in any case
+    either = lambda x: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x)
+    known = ",".join([*(f"*{either(e)}" for e in TYPE_BY_EXTENSION), *TYPE_BY_NAME])
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{known}}}").load(root)
     top = root.rstrip("/")
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), f"^\\Q{top}\\E/", "")
     f = raw.select(rel.alias("relpath"), "content").withColumn("name", F.element_at(F.split("relpath", "/"), -1)).withColumn("type", file_type("name")).where(F.col("type").isNotNull() & kept_path("relpath"))
