@@ -14,6 +14,8 @@ together, so a key that attracts a third of all references is split by time.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,8 +181,9 @@ class OrphanStore:
             )
             index = index.select("*", F.when(F.col("live") <= 0, F.col("n_refs")).otherwise(0).cast("bigint").alias("is_open"), F.lit(batch).cast("bigint").alias("batch"))
             refs = replay(stream, old).select("key", "source_table", "record_id", "at", (F.col("live") <= 0).alias("is_orphan"), F.lit(batch).cast("bigint").alias("batch"))
-            index.write.mode("overwrite").parquet(f"{self.path}/index-{batch}")
-            refs.write.mode("overwrite").parquet(f"{self.path}/refs-{batch}")
+            with ThreadPoolExecutor(2) as pool:  # neither needs the other
+                for done in [pool.submit(df.write.mode("overwrite").parquet, f"{self.path}/{name}-{batch}") for name, df in (("index", index), ("refs", refs))]:
+                    done.result()
             segments, gone = [*state["index"], f"index-{batch}"], []
             if len(segments) > self.MERGED:
                 last = self._read(segments, self._INDEX).groupBy("key").agg(F.max_by(F.struct("live", "n_refs", "was_open", "is_open"), "batch").alias("s"), F.max("batch").alias("batch"))

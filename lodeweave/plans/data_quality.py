@@ -9,7 +9,7 @@ from lodeweave.operators import incremental, orphans
 from lodeweave.runtime import read_table
 
 
-def _tracked(spark: SparkSession, d: str, months: int = 3) -> orphans.OrphanStore:
+def _tracked(spark: SparkSession, d: str, months: int = 6) -> orphans.OrphanStore:
     refs = orphans.references(read_table(spark, d, "foreign_keys"), read_table(spark, d, "vds_rows"))
     return orphans.by_period(refs, orphans.parents(read_table(spark, d, "catalog_columns")), months)
 

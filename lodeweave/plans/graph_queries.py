@@ -142,15 +142,15 @@ def _neighbors(spark: SparkSession, d: str) -> DataFrame:
     return search.neighbors(code(spark, d), "ext/java.util.List")
 
 
-def _any_table(spark: SparkSession, d: str) -> str:
-    """A table to report on: the least name that a view or procedure uses, so that the query means the same on any data."""
-    g = linked(spark, d)
-    used = g.rels["USES_TABLE"].union(g.rels["BASED_ON"]).select(F.col("dst").alias("id")).distinct()
-    return g.nodes["Table"].join(used, "id", "left_semi").agg(F.min(F.lower("name"))).first()[0] or ""
+def _by_name(op):
+    """An operator on the links of one table: the least name that a view or procedure uses, so that the query means the same on any data."""
 
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        g = linked(spark, d)
+        used = g.rels["USES_TABLE"].union(g.rels["BASED_ON"]).select(F.col("dst").alias("id")).distinct()
+        return op(g, g.nodes["Table"].join(used, "id", "left_semi").agg(F.min(F.lower("name"))).first()[0] or "")
 
-def _by_name(op):
-    return lambda spark, d: op(linked(spark, d), _any_table(spark, d))
+    return run
 
 
 def _links(rel: str):
