@@ -21,6 +21,16 @@ def p1_masked(spark: SparkSession, d: str) -> DataFrame:
     return credentials.masked_lines(*_credential_tables(spark, d))
 
 
+def p1_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: masked lines that still hold a confirmed value, and masked lines with a long run of a key's text that no mark of a block is."""
+    t = _credential_tables(spark, d)
+    m = credentials.masked_lines(*t)
+    v = credentials.find_credentials(*t).where(~F.col("value").startswith("key block "))
+    held = v.join(m, ["source_table", "record_id", "line_no"]).agg(F.count_if(F.expr("contains(masked_line, value)")).alias("leaks"))
+    keys = m.agg(F.count_if(F.col("masked_line").contains("PRIVATE KEY-----") & F.rlike(F.regexp_replace("masked_line", "-----[A-Z ]+-----", " "), F.lit("[A-Za-z0-9+/=]{40,}"))).alias("key_lines"))
+    return held.crossJoin(F.broadcast(keys))  # two single rows
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return matching.match(read_table(spark, d, "classes"), read_table(spark, d, "catalog_columns")).select("class_id", "table_id")
 
@@ -110,12 +120,12 @@ def p10_cross_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_masked": p1_masked, "p2_found": p2_found, "p2_confidence": p2_confidence, "p3_found": p3_found, "p3_identities": p3_identities, "p5_found": p5_found, "p5_judged": p5_judged, "p7_found": p7_found, "p7_rates": p7_rates, "p7_files": p7_files, "p7_conflicts": p7_conflicts,
+    "p1_found": p1_found, "p1_masked": p1_masked, "p1_leaks": p1_leaks, "p2_found": p2_found, "p2_confidence": p2_confidence, "p3_found": p3_found, "p3_identities": p3_identities, "p5_found": p5_found, "p5_judged": p5_judged, "p7_found": p7_found, "p7_rates": p7_rates, "p7_files": p7_files, "p7_conflicts": p7_conflicts,
     "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_packs": p9_packs, "p9_report": p9_report, "p10_found": p10_found, "p10_graded": p10_graded, "p10_cross_validation": p10_cross_validation,
 }
 #: What SQL can say of the operators: exact round trips and invariants.
 SQL: dict[str, str] = {
-    "p5_judged": "SELECT file_id, true AS agrees FROM scanned_files WHERE code_lines IS NOT NULL",
+    "p1_leaks": "SELECT 0 AS leaks, 0 AS key_lines", "p5_judged": "SELECT file_id, true AS agrees FROM scanned_files WHERE code_lines IS NOT NULL",
     "p7_files": "SELECT repo, file_type AS language, count(*) AS n_files FROM scanned_files WHERE file_type IN ('python', 'java', 'typescript', 'javascript', 'go', 'json', 'xml', 'sql') AND code_lines IS NOT NULL GROUP BY ALL",
     "p7_conflicts": "SELECT file_id FROM scanned_files WHERE file_type IN ('python', 'java', 'typescript', 'javascript', 'go', 'json', 'xml', 'sql') AND len(list_filter(code_lines, lambda x: starts_with(x.line_text, '<<<<<<< ') OR starts_with(x.line_text, '>>>>>>> '))) > 0",
     "p8_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
