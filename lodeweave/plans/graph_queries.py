@@ -12,7 +12,7 @@ from lodeweave.plans.data_quality import _ident
 from lodeweave.runtime import read_table
 
 COLUMN, TEXT, FIND = "street_address", "item", "status"
-CUTOFF = "2022-06-01"
+CUTOFF = "2023-03-01"
 
 
 def catalog(spark: SparkSession, d: str) -> Graph:
@@ -43,15 +43,6 @@ def linked(spark: SparkSession, d: str) -> Graph:
     return g
 
 
-def with_changes(spark: SparkSession, d: str) -> Graph:
-    """Code and history; a commit counts as a change of the files its message names by class."""
-    g = merged(code(spark, d), history_graph(read_table(spark, d, "commits")))
-    words = g.nodes["Commit"].select(F.col("id").alias("src"), F.substring_index("id", "@", 1).alias("repo"), F.explode(F.array_distinct(F.regexp_extract_all("message", F.lit("([A-Za-z]+)"), 1))).alias("name"))
-    owned = g.rels["CONTAINS_CLASS"].join(g.nodes["Class"].select(F.col("id").alias("dst"), "name", "repo"), "dst").select(F.col("src").alias("file"), "name", "repo").distinct()
-    g.rels["CHANGED"] = words.join(owned, ["repo", "name"]).select("src", F.col("file").alias("dst")).distinct()
-    return g
-
-
 # -- SQL fragments -----------------------------------------------------------
 _FILES = """f AS (SELECT repo || '/' || relpath AS id, * FROM (SELECT *, row_number() OVER (PARTITION BY repo, relpath ORDER BY scanned_at DESC NULLS LAST, file_id DESC) AS rn FROM scanned_files WHERE repo IS NOT NULL AND relpath IS NOT NULL) WHERE rn = 1),
 inside AS (SELECT id, repo, sp || '.' || c.class_name AS fqn, c.class_name AS name, c.line_no AS line_no FROM (SELECT id, repo, coalesce(nullif(structure.package, ''), replace(regexp_replace(relpath, '\\.[^./]*$', ''), '/', '.')) AS sp, unnest(structure.classes) AS c FROM f)),
@@ -109,12 +100,6 @@ based_on AS ({_contain("view", "=")}), uses_table AS ({_contain("proc", "=")})""
 _CODE, _CAT = f"WITH {_FILES}", f"WITH {_CATALOG}"
 _ALL = f"WITH {_FILES}, {_CATALOG}, {_LINKS}"
 _COMMITS = """k AS (SELECT repo || '@' || commit_hash AS id, * FROM (SELECT *, row_number() OVER (PARTITION BY repo, commit_hash ORDER BY recorded_at DESC NULLS LAST, message DESC NULLS LAST, authored_at DESC NULLS LAST) AS rn FROM commits WHERE repo IS NOT NULL AND commit_hash IS NOT NULL) WHERE rn = 1)"""
-_CHANGES = f"""WITH {_FILES}, {_COMMITS},
-words AS (SELECT DISTINCT id, repo, unnest(regexp_extract_all(message, '[A-Za-z]+')) AS name FROM k),
-changed AS (SELECT DISTINCT w.id AS src, c.src AS dst FROM words w JOIN (SELECT contains.src, cls.name, cls.repo FROM contains JOIN cls ON contains.dst = cls.id) c ON w.repo = c.repo AND w.name = c.name),
-lastc AS (SELECT f.id AS file, coalesce(max(substring(coalesce(k.authored_at, k.committed_at, ''), 1, 10)), '') AS day FROM f LEFT JOIN changed ch ON ch.dst = f.id LEFT JOIN k ON k.id = ch.src GROUP BY f.id),
-decl AS (SELECT src AS file, fqn FROM contains JOIN cls ON contains.dst = cls.id), usage AS (SELECT DISTINCT c.src AS importer, x.fqn FROM imports i JOIN cls x ON i.dst = x.id JOIN contains c ON c.dst = i.src)"""
-
 _UNION_NODES = """nodes AS (SELECT 'File' AS label, id, file_name AS name, relpath AS path, NULL AS fqn, repo, NULL AS definition, NULL AS owner FROM f UNION ALL SELECT 'Class', id, name, NULL, fqn, repo, NULL, NULL FROM cls UNION ALL SELECT 'Method', id, name, NULL, NULL, repo, NULL, owner FROM method
 UNION ALL SELECT 'Table', id, name, NULL, NULL, NULL, NULL, NULL FROM tables UNION ALL SELECT 'Column', id, column_name, NULL, NULL, NULL, NULL, NULL FROM live UNION ALL SELECT 'StoredProcedure', id, name, NULL, NULL, NULL, definition, NULL FROM proc)"""
 _CODE_HIT = f"(label IN ('File', 'Class', 'Method') AND (contains(lower(name), '{TEXT}') OR contains(lower(fqn), '{TEXT}') OR contains(lower(path), '{TEXT}')))"
@@ -191,7 +176,7 @@ QUERIES = {
     "tables_without_entity": _g(linked, recipes.tables_without_entity), "entities_without_table": _g(linked, recipes.entities_without_table), "who_touches_table": _by_name(recipes.who_touches_table), "columns_of_table": _by_name(recipes.columns_of_table),
     "column_blast_radius": _g(linked, impact.column_blast_radius, COLUMN), "impact_of_column": _g(catalog, impact.impact_of_column, COLUMN), "impact_of_table": _by_name(impact.impact_of_table), "explain_impact": _by_name(impact.explain_impact),
     "link_maps_to": _links("MAPS_TO"), "link_based_on": _links("BASED_ON"), "link_uses_table": _links("USES_TABLE"), "link_cross_db": _links("CROSS_DB_REFERENCE"),
-    "dead_code_files": _g(with_changes, impact.dead_files, CUTOFF), "dead_code_classes": _g(with_changes, impact.dead_classes, CUTOFF), "blast_radius_file": _blast,
+    "blast_radius_file": _blast,
     "authors_of_commits": lambda s, d: history_graph(read_table(s, d, "commits")).rels["AUTHORED"].groupBy("src").agg(F.count("*").alias("commits")).withColumnRenamed("src", "author"),
     "commit_parents": lambda s, d: history_graph(read_table(s, d, "commits")).rels["PARENT"],
 }
@@ -238,8 +223,6 @@ SELECT c.database_name AS database, c.schema_name AS schema, c.table_name AS "ta
     "impact_of_column": _impact_sql(f"contains(lower(column_name), '{COLUMN}')", f"contains(lower(a.column_name), '{COLUMN}') OR contains(lower(b.column_name), '{COLUMN}')", f"contains(lower(definition), '{COLUMN}')", f"len(list_filter(columns, lambda c: contains(lower(c), '{COLUMN}'))) > 0"),
     "impact_of_table": _impact_sql(f"lower(table_name) = {_ONE}", f"lower(a.table_name) = {_ONE} OR lower(b.table_name) = {_ONE}", f"contains(lower(definition), {_ONE})", f"lower(table_name) = {_ONE}"),
     "link_maps_to": f"{_ALL} SELECT src, dst FROM maps_to", "link_based_on": f"{_ALL} SELECT src, dst FROM based_on", "link_uses_table": f"{_ALL} SELECT src, dst FROM uses_table", "link_cross_db": f"{_CAT} {_contain('view', '<>')}",
-    "dead_code_files": f"{_CHANGES} SELECT f.repo, f.relpath AS path, nullif(l.day, '') AS last_changed FROM lastc l JOIN f ON f.id = l.file WHERE l.day < '{CUTOFF}' AND NOT EXISTS (SELECT 1 FROM decl d JOIN usage u ON d.fqn = u.fqn JOIN f g ON g.id = u.importer WHERE d.file = f.id AND u.importer <> f.id AND g.repo = f.repo)",
-    "dead_code_classes": f"{_CHANGES} SELECT f.repo, d.fqn, f.relpath AS path, nullif(l.day, '') AS last_changed FROM (SELECT DISTINCT file, fqn FROM decl) d JOIN lastc l ON l.file = d.file JOIN f ON f.id = d.file WHERE l.day < '{CUTOFF}' AND NOT EXISTS (SELECT 1 FROM usage u JOIN f g ON g.id = u.importer WHERE u.fqn = d.fqn AND u.importer <> f.id AND g.repo = f.repo)",
     "blast_radius_file": f"""{_CODE} SELECT f.repo, f.relpath AS path, c.fqn AS "class", coalesce((SELECT list_sort(list(DISTINCT m.name)) FROM has_method h JOIN method m ON m.id = h.dst WHERE h.src = c.id), []) AS methods, (SELECT count(*) FROM has_method h WHERE h.src = c.id) AS n_methods,
  coalesce((SELECT list_sort(list(DISTINCT k.src)) FROM imports i JOIN cls x ON x.id = i.dst JOIN contains k ON k.dst = i.src WHERE x.fqn = c.fqn AND k.src <> f.id), []) AS callers FROM f JOIN contains o ON o.src = f.id JOIN cls c ON c.id = o.dst WHERE f.id = {_BLAST_FILE}""",
     "authors_of_commits": f"WITH {_COMMITS} SELECT lower(coalesce(nullif(author_email, ''), author_name)) AS author, count(*) AS commits FROM k WHERE lower(coalesce(nullif(author_email, ''), author_name)) IS NOT NULL GROUP BY 1",

@@ -241,7 +241,7 @@ QUERIES = {
     "ingest_commits": _node("Commit", "id", "short", "insertions", "deletions", "files_changed", "parent_count", "stub", make=history), "ingest_changed": _rel("CHANGED", make=history), "ingest_parents": _rel("PARENT", make=history),
     "ingest_branches": _rel("POINTS_TO", make=history), "ingest_tags": _rel("TAGS", make=history), "ingest_has_branch": _rel("HAS_BRANCH", make=history), "ingest_authors": _node("Author", "id", make=history),
     "log_changed_files": lambda s, d: parsed_log(s, d)[1], "log_commits": lambda s, d: parsed_log(s, d)[0].select("repo", "hash", "author_name", "parents", "message", "insertions", "deletions", "files_changed"),
-    "history_churn": lambda s, d: recipes.churn(whole(s, d)), "history_top_authors": lambda s, d: recipes.top_authors(whole(s, d)), "history_dead_files": lambda s, d: impact.dead_files(whole(s, d), CUTOFF),
+    "history_churn": lambda s, d: recipes.churn(whole(s, d)), "history_top_authors": lambda s, d: recipes.top_authors(whole(s, d)), "dead_code_files": lambda s, d: impact.dead_files(whole(s, d), CUTOFF), "dead_code_classes": lambda s, d: impact.dead_classes(whole(s, d), CUTOFF),
     "catalog_indexes": lambda s, d: catalog(s, d).nodes["Index"].select("id", "name", "table", "database", "is_unique", "columns"), "catalog_has_index": _rel("HAS_INDEX", make=catalog), "catalog_procedures": lambda s, d: catalog(s, d).nodes["StoredProcedure"].select("id", "type", "parameters"),
     "catalog_foreign_keys": lambda s, d: catalog(s, d).rels["FOREIGN_KEY"].select("src", "dst"), "catalog_stub_tables": lambda s, d: (lambda g: g.nodes["Table"].join(g.rels["HAS_TABLE"].select(F.col("dst").alias("id")), "id", "left_anti").select("id", "name"))(catalog(s, d)),
     "vds_services": _node("VDSService", "id", "sid", "name", "database", make=services), "vds_queries": _node("VDSQuery", "id", "query", "core_table", make=services), "vds_where_fields": _node("VDSWhereField", "id", "table", "name", "field", make=services),
@@ -277,7 +277,8 @@ SQL = {
     "ingest_commits": f"{_LOG}, s AS (SELECT repo, hash, sum(ins) AS i, sum(del) AS d, count(*) AS n FROM ch GROUP BY ALL), known AS (SELECT k.repo || '@' || commit_hash AS id, short_hash AS short, CAST(coalesce(i, 0) AS BIGINT) AS insertions, CAST(coalesce(d, 0) AS BIGINT) AS deletions, coalesce(n, 0) AS files_changed, len(list_filter(coalesce(parents, []), lambda p: p <> '')) AS parent_count, false AS stub FROM k LEFT JOIN s ON s.repo = k.repo AND s.hash = k.commit_hash), one AS (SELECT repo, coalesce(nullif(last_commit, ''), repeat('0', 40)) AS c FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY repo_id DESC) AS rn FROM repositories WHERE repo IS NOT NULL) WHERE rn = 1), named AS (SELECT repo || '@' || p AS id FROM (SELECT repo, unnest(parents) AS p FROM k) WHERE p <> '' UNION SELECT repo || '@' || c FROM one) SELECT * FROM known UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL, true FROM named WHERE id NOT IN (SELECT id FROM known)",
     "ingest_authors": f"{_LOG} SELECT id FROM (SELECT lower(coalesce(nullif(author_email, ''), author_name, '')) AS id FROM k UNION SELECT lower(coalesce(nullif(committer_email, ''), committer_name, '')) FROM k)",
     "history_churn": f"{_LOG} SELECT repo, path, CAST(sum(ins + del) AS BIGINT) AS churn, CAST(sum(ins) AS BIGINT) AS inserted, CAST(sum(del) AS BIGINT) AS deleted, count(*) AS commits FROM ch GROUP BY repo, path ORDER BY churn DESC, repo, path LIMIT 20",
-    "history_dead_files": f"{_LOG}, {_DEAD}, decl AS (SELECT src AS file, fqn FROM contains JOIN cls ON contains.dst = cls.id) SELECT f.repo, f.relpath AS path, nullif(l.day, '') AS last_changed FROM lastc l JOIN f ON f.id = l.file WHERE l.day < '{CUTOFF}' AND f.id NOT IN (SELECT d.file FROM decl d JOIN imp m ON m.fqn = d.fqn AND m.repo = f.repo AND m.id <> d.file JOIN contains o ON o.src = m.id WHERE d.file = f.id)",
+    "dead_code_classes": f"{_TYPES}, {_IMPORTED}, {_LOG.removeprefix(f'WITH {_FILES}, ')}, {_DEAD} SELECT DISTINCT t.repo, t.fqn, t.relpath AS path, nullif(l.day, '') AS last_changed FROM typ t JOIN lastc l ON l.file = t.repo || '/' || t.relpath WHERE l.day < '{CUTOFF}' AND NOT EXISTS (SELECT 1 FROM imported m JOIN typ o ON o.repo = m.repo AND o.relpath = m.relpath WHERE m.name = t.fqn AND m.repo = t.repo AND m.relpath <> t.relpath)",
+    "dead_code_files": f"{_LOG}, {_DEAD}, decl AS (SELECT src AS file, fqn FROM contains JOIN cls ON contains.dst = cls.id) SELECT f.repo, f.relpath AS path, nullif(l.day, '') AS last_changed FROM lastc l JOIN f ON f.id = l.file WHERE l.day < '{CUTOFF}' AND f.id NOT IN (SELECT d.file FROM decl d JOIN imp m ON m.fqn = d.fqn AND m.repo = f.repo AND m.id <> d.file JOIN contains o ON o.src = m.id WHERE d.file = f.id)",
     "catalog_indexes": f"""WITH {_CATALOG} SELECT id, name, table_name AS "table", database_name AS database, is_unique, columns FROM ix WHERE tid IN (SELECT tid FROM base)""",
     "catalog_has_index": f"WITH {_CATALOG} SELECT tid AS src, id AS dst FROM ix WHERE tid IN (SELECT tid FROM base)",
     "catalog_procedures": f"WITH {_CATALOG} SELECT p.id, coalesce(s.routine_type, 'PROCEDURE') AS type, coalesce(p.parameters, []) AS parameters FROM proc p JOIN stored_procedures s ON s.procedure_id = p.seq",

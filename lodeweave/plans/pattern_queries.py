@@ -82,7 +82,7 @@ QUERIES = {
 }
 _C = f"WITH {gq._CATALOG}, ixx AS (SELECT * FROM ix WHERE tid IN (SELECT tid FROM base)), cols AS (SELECT id, column_name AS name, table_name, database_name, data_type, ordinal_no, upper(is_nullable) IN ('YES', 'Y', 'TRUE', 'T', '1') AS nullable FROM live)"
 SQL = {
-    "pattern_entity_table_map": gq.SQL["entity_table_map"], "pattern_orphan_tables": gq.SQL["orphan_tables"], "pattern_tables_without_entity": gq.SQL["tables_without_entity"], "pattern_entities": gq.SQL["entities_without_table"], "pattern_column_blast_radius": gq.SQL["column_blast_radius"], "pattern_dead_files": iq.SQL["history_dead_files"],
+    "pattern_entity_table_map": gq.SQL["entity_table_map"], "pattern_orphan_tables": gq.SQL["orphan_tables"], "pattern_tables_without_entity": gq.SQL["tables_without_entity"], "pattern_entities": gq.SQL["entities_without_table"], "pattern_column_blast_radius": gq.SQL["column_blast_radius"], "pattern_dead_files": iq.SQL["dead_code_files"],
     "pattern_lone_files": f"{iq._LOG}, src AS (SELECT repo, relpath, file_type, i, code_lines[i].line_text AS raw FROM (SELECT *, unnest(range(1, len(code_lines) + 1)) AS i FROM f)) SELECT id FROM f WHERE id IN (SELECT repo || '/' || path FROM ch WHERE ins > 30) AND id NOT IN (SELECT repo || '/' || relpath FROM {iq._JAVA_PACKAGE})",
     "pattern_index_columns": f"{_C} SELECT id, array_to_string(columns, ',') || ',' AS names, len(columns) AS n, list_transform(list_filter(columns, lambda c: c <> 'id'), lambda c: upper(c)) AS others, columns[1] AS first FROM ixx WHERE len(list_filter(columns, lambda c: contains(lower(c), 'name'))) > 0",
     "pattern_labels": "SELECT unnest(['Database', 'Schema', 'Table', 'Column', 'Index', 'StoredProcedure', 'View']) AS label", "pattern_types": "SELECT unnest(['HAS_SCHEMA', 'HAS_TABLE', 'HAS_COLUMN', 'FOREIGN_KEY', 'REFERENCES', 'HAS_INDEX', 'HAS_PROCEDURE', 'HAS_VIEW']) AS t", "pattern_unwind": f"{_C} SELECT c, count(*) AS n FROM (SELECT unnest(columns) AS c FROM ixx) GROUP BY c",
