@@ -76,9 +76,9 @@ def written(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:
     """``df``, hinted for broadcast if its rows take at most so many bytes; beyond it the planner shuffles both sides.
 
-    For materialised tables of bounded row width: names and keys count with 40 bytes, all else with 8.
+    For materialised tables of bounded row width: names and keys count with 40 bytes, arrays with 120, all else with 8.
     """
-    width = 16 + sum(40 if f.dataType.simpleString() in ("string", "binary") else 8 for f in df.schema)
+    width = 16 + sum(120 if f.dataType.typeName() == "array" else 40 if f.dataType.typeName() in ("string", "binary") else 8 for f in df.schema)
     return F.broadcast(df) if df.count() * width <= most_bytes else df
 
 
