@@ -5,7 +5,7 @@ files). Data held as code never carry one; files whose lines are nearly all lite
 Notices and the share of literal lines are hidden from the features: compression ratio, token entropy,
 identifier lengths, comment density, line shapes and, counted over the whole corpus, how many repositories
 hold the same body. Many files without a label are of the same kinds, so the forest is fitted in rounds on
-one example of every distinct body: what its trees, each judging only bodies it was not fitted on, find as
+one example of every distinct body, part by part: what its trees, each judging only bodies it was not fitted on, find as
 likely as a fraction of the labelled ones counts as labelled in the next round. The last forest alone
 decides, also for files with a label.
 """
@@ -13,6 +13,7 @@ decides, also for files with a label.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm.syntax import file_text
-from lodeweave.llm.trees import Ensemble, out_of_bag, random_forest
+from lodeweave.llm.trees import Ensemble, Forests, out_of_bag, random_forest
 from lodeweave.runtime import cut, ship
 
-#: Distinct bodies used for fitting, the ones of least hash if there are more.
-SAMPLE = 20_000
+#: Distinct bodies of a part, which grows its share of the forest's trees; larger parts if there were more than so many of them.
+SAMPLE, MOST_PARTS, TREES = 20_000, 300, 60
 #: Rounds of fitting; the part of the labelled bodies' mean probability, and the probability, from which a body counts as labelled next.
 ROUNDS, LIKELY, LEAST_LIKELY = 12, 0.3, 0.25
 #: Share of literal lines, of at least so many lines, from which a file is data held as code.
@@ -163,22 +164,45 @@ def describe(files: DataFrame) -> DataFrame:
     return described.join(owners, "body", "left").select("file_id", "labelled", "body", F.transform("x", lambda v, i: F.when(i == at, F.log1p(F.coalesce("owners", F.lit(1)) - 1)).otherwise(v)).alias("x"))
 
 
-def fit(described: DataFrame, sample: int = SAMPLE) -> Ensemble:
-    """Fit the forest on at most ``sample`` distinct bodies; one is labelled if any of its files is."""
-    one = described.where("body is not null").groupBy("body").agg(F.max("labelled").alias("labelled"), F.min_by("x", "file_id").alias("x"))
-    got = one.orderBy("body").limit(sample).toPandas()  # bodies are digests: their order is one of hashes
-    x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
-    labelled = got["labelled"].to_numpy(bool)
+def _fit(x: np.ndarray, labelled: np.ndarray, n_trees: int, seed: int = 0) -> Ensemble | None:
+    """The forest of one part of the bodies; None if fewer than three are labelled."""
     if labelled.sum() < 3:
-        return Ensemble(np.zeros((len(FEATURES), 1)), float(labelled.mean()) if len(got) else 0.0, 0.0, [])
+        return None
     y = labelled
     for r in range(ROUNDS):
-        p = out_of_bag(x, y, seed=11 + r)
+        p = out_of_bag(x, y, seed=11 + seed + r)
         more = labelled | (p >= max(LEAST_LIKELY, LIKELY * p[labelled].mean()))
         if (more == y).all():
             break
         y = more
-    return random_forest(x, y, seed=13)
+    return random_forest(x, y, n_trees, seed=13 + seed)
+
+
+def fit(described: DataFrame, sample: int = SAMPLE) -> Forests | Ensemble:
+    """Fit the forest on all distinct bodies; one is labelled if any of its files is.
+
+    Files are dealt into parts of about ``sample`` bodies, at most MOST_PARTS, and every part grows its share of the
+    trees, at least one, from the distinct bodies of its files: a body of one file is in one part, a library that
+    thousands of files hold is in all of them, however many bodies there are. Parts in which fewer than three bodies
+    are labelled grow none.
+    """
+    spark = described.sparkSession
+    ship(spark)
+    own = described.where("body is not null")
+    parts = min(MOST_PARTS, max(1, math.ceil(own.select("body").distinct().count() / sample)))
+    one = own.groupBy("body").agg(F.max("labelled").alias("labelled"), F.min_by("x", "file_id").alias("x"), F.collect_set(F.pmod(F.xxhash64("file_id"), F.lit(parts)).cast("int")).alias("parts"))
+    n_trees = math.ceil(TREES / parts)
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("body")
+        x, labelled = np.array(b["x"].tolist(), float).reshape(len(b), len(FEATURES)), b["labelled"].to_numpy(bool)
+        part = int(b["part"].iloc[0])
+        return pd.DataFrame({"part": [part], "n": [len(b)], "labelled": [int(labelled.sum())], "forest": [pickle.dumps(_fit(x, labelled, n_trees, 100 * part))]})
+
+    dealt = one.select("body", "labelled", "x", F.explode("parts").alias("part")).repartition(parts, "part")
+    got = dealt.groupBy("part").applyInPandas(run, "part int, n bigint, labelled bigint, forest binary").toPandas().sort_values("part")
+    forests = [f for f in map(pickle.loads, got["forest"]) if f]
+    return Forests(forests) if forests else Ensemble(np.zeros((len(FEATURES), 1)), float(got["labelled"].sum() / max(1, got["n"].sum())), 0.0, [])
 
 
 def find_generated(files: DataFrame) -> DataFrame:

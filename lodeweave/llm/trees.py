@@ -42,22 +42,23 @@ def to_bins(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 def grow(binned: np.ndarray, target: np.ndarray, weight: np.ndarray, depth: int, least: float, tried: int, rng: np.random.Generator, shrink: float = 0.0) -> Tree:
     """One regression tree by variance reduction, level by level; ``tried`` features are drawn at every node."""
-    n, d = binned.shape
+    d = binned.shape[1]
     feature, cut, child, value = [0], [0], [0], [0.0]
-    at = np.zeros(n, np.int64)
+    drawn = np.flatnonzero(weight)  # rows without weight add nothing
+    columns, weight, wt = np.ascontiguousarray(binned[drawn].T), weight[drawn], weight[drawn] * target[drawn]
+    at = np.zeros(len(drawn), np.int64)
     level = [0]
-    wt = weight * target
     for step in range(depth + 1):
         k = len(level)
         place = np.full(len(feature), -1)
         place[level] = np.arange(k)
-        inside = place[at] >= 0
-        local = place[at[inside]]
-        w, s = np.bincount(local, weight[inside], k), np.bincount(local, wt[inside], k)
+        local = place[at]
+        w, s = np.bincount(local, weight, k), np.bincount(local, wt, k)
         for i, node in enumerate(level):
             value[node] = s[i] / (w[i] + shrink) if w[i] + shrink > 0 else 0.0
         if step == depth:
             break
+        first = local * BINS
         best = np.full(k, 1e-9)
         bf, bc = np.zeros(k, int), np.zeros(k, int)
         use = np.zeros((k, d), bool)
@@ -66,9 +67,9 @@ def grow(binned: np.ndarray, target: np.ndarray, weight: np.ndarray, depth: int,
         for j in range(d):
             if not use[:, j].any():
                 continue
-            key = local * BINS + binned[inside, j]
-            hw = np.bincount(key, weight[inside], k * BINS).reshape(k, BINS).cumsum(1)[:, :-1]
-            hs = np.bincount(key, wt[inside], k * BINS).reshape(k, BINS).cumsum(1)[:, :-1]
+            key = first + columns[j]
+            hw = np.bincount(key, weight, k * BINS).reshape(k, BINS).cumsum(1)[:, :-1]
+            hs = np.bincount(key, wt, k * BINS).reshape(k, BINS).cumsum(1)[:, :-1]
             rw, rs = w[:, None] - hw, s[:, None] - hs
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = hs**2 / (hw + shrink) + rs**2 / (rw + shrink) - (s**2 / (w + shrink))[:, None]
@@ -88,10 +89,9 @@ def grow(binned: np.ndarray, target: np.ndarray, weight: np.ndarray, depth: int,
         if not after:
             break
         f, c, h = np.array(feature), np.array(cut), np.array(child)
-        split = h[at] > 0
-        split &= inside
-        right = binned[np.arange(n), f[at]] > c[at]
-        at = np.where(split, h[at] + right, at)
+        going = np.flatnonzero(h[at] > 0)  # the others have come to a leaf
+        at, columns, weight, wt = at[going], columns[:, going], weight[going], wt[going]
+        at = h[at] + (columns[f[at], np.arange(len(at))] > c[at])
         level = after
     return Tree(np.array(feature), np.array(cut), np.array(child), np.array(value))
 
@@ -108,6 +108,18 @@ class Ensemble:
         return self.base + self.rate * sum((t.predict(b) for t in self.trees), np.zeros(len(b)))
 
 
+@dataclass
+class Forests:
+    """The mean of all trees of several forests, each with its own bins; cuts are taken back to values, so that nothing is binned again for each."""
+
+    forests: list[Ensemble]
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        x = np.asarray(x, float)
+        trees = [Tree(t.feature, f.edges[t.feature, t.cut], t.child, t.value) for f in self.forests for t in f.trees]
+        return sum((t.predict(x) for t in trees), np.zeros(len(x))) / max(1, len(trees))
+
+
 def random_forest(x: np.ndarray, y: np.ndarray, n_trees: int = 60, depth: int = 10, least: float = 3, seed: int = 7, weight: np.ndarray | None = None) -> Ensemble:
     """Bootstrap forest on 0/1 targets; ``predict`` gives the mean share of 1."""
     rng = np.random.default_rng(seed)

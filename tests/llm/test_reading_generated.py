@@ -85,6 +85,26 @@ def test_generated_files(spark):
     assert generated.find_generated(df.limit(0)).count() == 0
 
 
+def test_the_forest_is_fitted_on_all_bodies(spark):
+    """Four libraries of sixty files each among 3,000 bodies of one file: no bounded sample of the bodies has them all."""
+    rng, at = np.random.default_rng(4), generated.FEATURES.index("log_owners")
+    rows = [(i, i % 50 == 0, f"{i * 7919 % 3000:05d}", [float(v) + 3 * (i % 50 == 0) for v in rng.normal(size=len(generated.FEATURES))]) for i in range(3000)]
+    for r in rows:
+        r[3][at] = 0.0
+    shared = [(10_000 + 100 * n + k, True, f"z{n}", [float(np.log(60)) if j == at else 0.0 for j in range(len(generated.FEATURES))]) for n in range(4) for k in range(60)]
+    described = spark.createDataFrame(rows + shared, "file_id bigint, labelled boolean, body string, x array<double>")
+    model = generated.fit(described, 500)
+    assert (model.predict(np.array([s[3] for s in shared[::60]])) >= 0.5).all()
+    hand = np.array([r[3] for r in rows if not r[1]])
+    assert (model.predict(hand) >= 0.5).mean() < 0.02
+
+
+def test_joined_forests_are_the_mean_of_their_trees():
+    x = np.random.default_rng(2).normal(size=(400, 5))
+    a, b = (trees.random_forest(x[k::2], x[k::2, 0] > 0.2, n_trees=7, seed=k) for k in (0, 1))
+    assert np.allclose(trees.Forests([a, b]).predict(x), (a.predict(x) + b.predict(x)) / 2)
+
+
 def test_notices_anywhere():
     code = [f"def f{i}(a):" for i in range(60)]
     for notice in ("// end of output, Code generated by schemac 3.11. DO NOT EDIT.", "//# sourceMappingURL=a.js.map"):
