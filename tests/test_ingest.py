@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.__main__ import main, over, print_table
-from lodeweave.operators import ingest, merge
+from lodeweave.operators import impact, ingest, merge, recipes
 from lodeweave.operators.graph import Graph
 from lodeweave.operators.store import SnapshotStore, rel_script
+from lodeweave.plans import ingest_queries
 from lodeweave.sources import catalog, history, working_copy
 from lodeweave.sources.structure import poms
 
@@ -140,3 +141,40 @@ def test_empty_sources(spark, tmp_path):
     g = ingest.code(spark.createDataFrame([], "repo string, url string, default_branch string, ingest_status string"), spark.createDataFrame([], "repo string, relpath string, name string, type string, extension string, hash string, total_lines int, lines array<string>"),
                     spark.createDataFrame([], "repo string, relpath string, package string, imports array<struct<fqn:string,line:int>>, types array<struct<name:string,kind:string,line:int,visibility:string,is_abstract:boolean,is_final:boolean,extends:string,implements:array<string>,stereotype:string,mapped_table:string>>, methods array<struct<name:string,owner:string,line:int,return_type:string,visibility:string>>"), spark.createDataFrame([], "repo string, root string, pom struct<group_id:string,artifact_id:string,version:string,packaging:string,description:string,dependencies:array<struct<group_id:string,artifact_id:string,version:string,scope:string>>>"), with_lines=True)
     assert all(df.count() == 0 for df in [*g.nodes.values(), *g.rels.values()])
+
+
+def test_log_entries_agree_with_the_log_by_lines(spark):
+    """Both logs merged within a commit's row: same order, another order, one-sided paths, renames, binaries, no files."""
+    head = lambda h, p="": "\x1e" + "\x1f".join([h, h[:2], "A", "a@x", "2024-01-02", "C", "c@x", "2024-01-03", p, "m"])
+    logs = [
+        ("h1", "", ["1\t2\ta.py", "-\t-\td/{old => b.bin}"], ["M\ta.py", "R087\twas/b.bin\td/b.bin"]), ("h2", "h1", ["3\t4\tx", "5\t6\ty"], ["A\ty", "M\tx"]),
+        ("h3", "h1 h2", ["7\t8\tonly-counted"], ["D\tonly-named", "not a line of a log"]), ("h4", "", [], []),
+    ]
+    e = spark.createDataFrame([("r", head(h, p), a, b) for h, p, a, b in logs], "repo string, header string, stat array<string>, status array<string>")
+    parsed = history.parsed_entries(e)
+    lines = lambda k: spark.createDataFrame([("r", i, x) for i, x in enumerate(x for log in logs for x in [head(*log[:2]), *log[k]])], "repo string, line_no bigint, line string")
+    stat, status = (history.log_rows(lines(k), "repo") for k in (2, 3))
+    files = history.changed_files(history.numstat(stat), history.name_status(status))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(history.entry_changes(parsed)) == rows(files) and len(rows(files)) == 6
+    by_line = history.commits(stat, files)
+    assert rows(history.entry_commits(parsed)) == rows(by_line.select(*history.entry_commits(parsed).columns)) and by_line.count() == 4
+
+
+@pytest.mark.parametrize("name", ["log_changed_files", "ingest_changed", "ingest_commits"])
+def test_changes_of_a_large_repository_are_not_ordered_in_one_task(spark, name):
+    """A log is written and read commit by commit: no window over a repository, and no exchange of single changes."""
+    plan = ingest_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_last_change_and_churn_from_the_sums_by_file(spark):
+    """The sums that are kept give what the changes give, and files are read without going through the changes again."""
+    kept, plain = ingest_queries.history(spark, "/root/testdata/sf0.001", keep=lambda df: df.cache()), ingest_queries.history(spark, "/root/testdata/sf0.001")
+    files = spark.read.parquet("/root/testdata/sf0.001/scanned_files.parquet").select(F.concat_ws("/", "repo", "relpath").alias("id"), "repo", F.col("relpath").alias("path")).distinct()
+    for g in (kept, plain):
+        g.nodes["File"] = files
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(impact.last_change(kept)) == rows(impact.last_change(plain)) and kept.per_file is not None
+    cols = ["repo", "path", "churn", "inserted", "deleted", "commits"]
+    assert rows(recipes.churn(kept, None).select(*cols)) == rows(recipes.churn(plain, None).select(*cols))
