@@ -6,6 +6,7 @@ Ids are unique per label. Every relationship frame has ``src`` and ``dst`` (ids)
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -62,19 +63,19 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def code_graph(repositories: DataFrame, files: DataFrame, classes: DataFrame) -> Graph:
+def code_graph(repositories: DataFrame, files: DataFrame, classes: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Graph:
     """Repository, File, Class and Method nodes with containment and imports.
 
     A file scanned again is one node, with the properties of its last scan. Classes come from the
     structure of files (owned by a file) and from the class list; imports also name classes that no
-    repository holds (``external``).
+    repository holds (``external``). ``keep`` (``written``) materialises the last scans, which nearly all frames read.
     """
     g = Graph()
     g.nodes["Repository"] = latest(
         repositories.where("repo is not null").select(F.col("repo").alias("id"), F.col("repo").alias("name"), strip_credentials("url").alias("url"), F.col("root_path").alias("path"), "default_branch", F.col("ingest_status").alias("status"), F.col("n_commits").alias("commits"), F.nullif("last_commit", F.lit("")).alias("last_commit"), "last_ingested_at", "repo_id"), ["id"], ["repo_id"]
     )
     last = latest(files.where("repo is not null and relpath is not null").select("repo", "relpath", "file_name", "file_type", "file_extension", "total_lines", "content_hash", "module_key", "structure", "scanned_at", "file_id"), ["repo", "relpath"], ["scanned_at", "file_id"])
-    f = last.withColumn("id", F.concat_ws("/", "repo", "relpath"))
+    f = keep(last).withColumn("id", F.concat_ws("/", "repo", "relpath"))
     g.nodes["File"] = f.select("id", F.col("relpath").alias("path"), F.col("file_name").alias("name"), "repo", F.col("module_key").alias("module"), F.col("file_type").alias("type"), F.col("file_extension").alias("extension"), "total_lines", F.col("content_hash").alias("hash"))
     g.rels["CONTAINS_FILE"] = f.select(F.col("repo").alias("src"), F.col("id").alias("dst"))
     space = F.coalesce(F.nullif("structure.package", F.lit("")), F.regexp_replace(F.regexp_replace("relpath", r"\.[^./]*$", ""), "/", "."))
@@ -115,7 +116,7 @@ def database_id(engine: str = "db_engine", host: str = "db_host", name: str = "d
     return F.concat(F.coalesce(engine, F.lit("")), F.lit("://"), F.coalesce(host, F.lit("")), F.lit("/"), F.col(name))
 
 
-def catalog_graph(columns: DataFrame, foreign_keys: DataFrame, procedures: DataFrame, views: DataFrame, indexes: DataFrame | None = None, definition_cut: int | None = None) -> Graph:
+def catalog_graph(columns: DataFrame, foreign_keys: DataFrame, procedures: DataFrame, views: DataFrame, indexes: DataFrame | None = None, definition_cut: int | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Graph:
     """Database, Schema, Table, Column, Index, StoredProcedure and View nodes with containment and foreign keys.
 
     Every frame may carry db_engine and db_host; where one does not, its database is the one of that name in
@@ -123,7 +124,9 @@ def catalog_graph(columns: DataFrame, foreign_keys: DataFrame, procedures: DataF
     once (least column_id). A foreign key names its ends in any case, with quotes or a schema; its source must be
     in the catalog, a target that is not becomes a table and column with nothing but their names, in the source's
     schema. ``indexes`` (database_name, schema_name, table_name, index_name, columns, is_unique, index_type).
-    Definitions are whole unless ``definition_cut`` says how many characters to keep.
+    Definitions are whole unless ``definition_cut`` says how many characters to keep. ``keep`` (``written``) materialises
+    the live columns and the ends of foreign keys: frames are read from those, and plans that join several of them
+    do not hold the whole catalog once for every frame.
     """
     g = Graph()
     with_server = lambda df: df.select("*", *[F.lit(None).cast("string").alias(c) for c in ("db_engine", "db_host", "schema_name") if c not in df.columns])
@@ -140,7 +143,7 @@ def catalog_graph(columns: DataFrame, foreign_keys: DataFrame, procedures: DataF
         return here.withColumn("schema_id", F.concat("db_id", F.lit("/"), F.coalesce("schema_name", F.lit(""))))
 
     live = placed(raw.where("dropped_at is null")).select("db_id", "schema_id", "database_name", "schema_name", "table_name", "column_name", "db_engine", "db_host", "column_id", "ordinal_no", "data_type", "is_nullable", "column_default", "column_key", (-F.col("column_id")).alias("o"))
-    live = latest(live, ["db_id", "schema_id", "table_name", "column_name"], ["o"])
+    live = keep(latest(live, ["db_id", "schema_id", "table_name", "column_name"], ["o"]))
     live = live.withColumn("table_id", F.concat("schema_id", F.lit("/"), "table_name")).withColumn("id", F.concat("table_id", F.lit("#"), "column_name"))
 
     key = foreign_keys.withColumns({"ft": identifier("from_table"), "fc": identifier("from_column"), "tt": identifier("to_table"), "tc": identifier("to_column")})
@@ -149,9 +152,9 @@ def catalog_graph(columns: DataFrame, foreign_keys: DataFrame, procedures: DataF
     a = ends.select("db_id", F.col("t").alias("ft"), F.col("c").alias("fc"), F.col("id").alias("src"), F.col("table_id").alias("src_table"), "schema_id", "database_name", "schema_name", "db_engine", "db_host")
     b = ends.select("db_id", F.col("t").alias("tt"), F.col("c").alias("tc"), F.col("id").alias("dst"), F.col("table_id").alias("dst_table"))
     there = key.join(a, ["db_id", "ft", "fc"])
-    both = there.join(b, ["db_id", "tt", "tc"], "left")
+    both = keep(there.join(b, ["db_id", "tt", "tc"], "left"))
     named = ends.groupBy("db_id", "schema_id", F.col("t").alias("tt")).agg(F.min("table_name").alias("known"))  # a table that lacks only the column
-    lost = both.where("dst is null").join(named, ["db_id", "schema_id", "tt"], "left").withColumn("tn", F.coalesce("known", "tt"))
+    lost = keep(both.where("dst is null").join(named, ["db_id", "schema_id", "tt"], "left").withColumn("tn", F.coalesce("known", "tt")).drop("dst", "dst_table"))
     lost = lost.withColumn("dst_table", F.concat("schema_id", F.lit("/"), "tn")).withColumn("dst", F.concat("dst_table", F.lit("#"), "tc"))
     stub = lost.select("db_id", "schema_id", F.col("tn").alias("table_name"), F.col("tc").alias("column_name"), "database_name", "schema_name", "db_engine", "db_host", F.col("dst_table").alias("table_id"), F.col("dst").alias("id")).distinct()
     every = live.unionByName(stub, allowMissingColumns=True)

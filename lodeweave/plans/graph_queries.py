@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,17 +11,21 @@ from lodeweave.functions.text import SEPARATORS
 from lodeweave.operators import impact, link, recipes, search
 from lodeweave.operators.graph import Graph, catalog_graph, code_graph, history_graph, merged
 from lodeweave.plans.data_quality import _ident
-from lodeweave.runtime import read_table
+from lodeweave.runtime import read_table, written
 
 COLUMN, TEXT, FIND = "street_address", "item", "status"
 CUTOFF = "2023-03-01"
 
 
-def catalog(spark: SparkSession, d: str) -> Graph:
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def catalog(spark: SparkSession, d: str, keep: Callable[[DataFrame], DataFrame] = _as_is) -> Graph:
     procs = read_table(spark, d, "stored_procedures").withColumn("seq", F.col("procedure_id"))
     views = read_table(spark, d, "vds_rows").select("database_name", F.concat_ws("_", "servicename", "vds_id").alias("view_name"), F.col("query_text").alias("definition"), F.col("vds_id").alias("seq"))
     columns = read_table(spark, d, "catalog_columns")
-    return catalog_graph(columns, read_table(spark, d, "foreign_keys"), procs, views, indexes_of(columns))
+    return catalog_graph(columns, read_table(spark, d, "foreign_keys"), procs, views, indexes_of(columns), keep=keep)
 
 
 def indexes_of(columns: DataFrame) -> DataFrame:
@@ -30,12 +36,16 @@ def indexes_of(columns: DataFrame) -> DataFrame:
     return of.select("*", F.array_distinct(F.transform("c", lambda x: x["column_name"])).alias("columns"), F.lit("BTREE").alias("index_type")).drop("c")
 
 
-def code(spark: SparkSession, d: str) -> Graph:
-    return code_graph(read_table(spark, d, "repositories"), read_table(spark, d, "scanned_files"), read_table(spark, d, "classes"))
+def code(spark: SparkSession, d: str, keep: Callable[[DataFrame], DataFrame] = _as_is) -> Graph:
+    return code_graph(read_table(spark, d, "repositories"), read_table(spark, d, "scanned_files"), read_table(spark, d, "classes"), keep)
+
 
+def both(spark: SparkSession, d: str, keep: Callable[[DataFrame], DataFrame] = _as_is) -> Graph:
+    return merged(code(spark, d, keep), catalog(spark, d, keep))
 
-def linked(spark: SparkSession, d: str) -> Graph:
-    g = merged(code(spark, d), catalog(spark, d))
+
+def linked(spark: SparkSession, d: str, keep: Callable[[DataFrame], DataFrame] = _as_is) -> Graph:
+    g = both(spark, d, keep)
     # The test classes name no table but themselves, so the declared name of a record class stands in.
     named = g.nodes["Class"].withColumn("mapped_table", F.coalesce("mapped_table", "name"))
     for name, rel in zip(link.PASSES, ("MAPS_TO", "BASED_ON", "USES_TABLE", "CROSS_DB_REFERENCE")):
@@ -119,6 +129,11 @@ def _g(make, op, *a, **kw):
     return lambda spark, d: op(make(spark, d), *a, **kw)
 
 
+def kept(make):
+    """The graph with what its frames share written once, for queries that join many of them."""
+    return lambda spark, d: make(spark, d, written)
+
+
 def _degree(spark: SparkSession, d: str) -> DataFrame:
     return search.degrees(merged(code(spark, d), catalog(spark, d)), "CONTAINS_CLASS", "IMPORTS", "REFERENCES")
 
@@ -127,11 +142,13 @@ def _neighbors(spark: SparkSession, d: str) -> DataFrame:
     return search.neighbors(code(spark, d), "ext/java.util.List")
 
 
-def _by_name(op):
+def _by_name(op, keep=_as_is):
     """An operator on the links of one table: the least name that a view or procedure uses, so that the query means the same on any data."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        g = linked(spark, d)
+        g = linked(spark, d, keep)
+        for rel in ("USES_TABLE", "BASED_ON"):  # read for the name and again for the result
+            g.rels[rel] = keep(g.rels[rel])
         used = g.rels["USES_TABLE"].union(g.rels["BASED_ON"]).select(F.col("dst").alias("id")).distinct()
         return op(g, g.nodes["Table"].join(used, "id", "left_semi").agg(F.min(F.lower("name"))).first()[0] or "")
 
@@ -164,7 +181,7 @@ _LINKED = f"{_CAT}, based_on AS ({_contain('view', '=')}), uses_table AS ({_cont
 _BLAST_FILE = "(SELECT min(id) FROM f WHERE file_type = 'java')"
 QUERIES = {
     "label_counts": _g(lambda s, d: merged(code(s, d), catalog(s, d)), search.label_counts),
-    "rel_counts": _g(lambda s, d: merged(code(s, d), catalog(s, d)), search.rel_counts, "CONTAINS_FILE", "CONTAINS_CLASS", "IMPORTS", "HAS_METHOD", "HAS_TABLE", "HAS_COLUMN", "FOREIGN_KEY", "REFERENCES"),
+    "rel_counts": _g(kept(both), search.rel_counts, "CONTAINS_FILE", "CONTAINS_CLASS", "IMPORTS", "HAS_METHOD", "HAS_TABLE", "HAS_COLUMN", "FOREIGN_KEY", "REFERENCES"),
     "search_nodes": lambda s, d: search.search_nodes(code(s, d), "File", "path", "web/").select("id", "path", "repo"),
     "search_code": _g(code, search.search_codebase, TEXT, "code"), "search_schema": _g(catalog, search.search_codebase, TEXT, "schema"),
     "search_all": _g(lambda s, d: merged(code(s, d), catalog(s, d)), search.search_codebase, TEXT), "search_repo": _g(lambda s, d: merged(code(s, d), catalog(s, d)), search.search_codebase, TEXT, "all", "atlas-core"),
@@ -172,9 +189,9 @@ QUERIES = {
     "search_any": lambda s, d: search.search_any(merged(code(s, d), catalog(s, d)), FIND), "label_sample": lambda s, d: search.label_sample(catalog(s, d), "Schema", 25), "database_table_counts": _g(catalog, search.database_table_counts),
     "graph_sample": lambda s, d: search.sample(code(s, d), 120, "CONTAINS_CLASS", "IMPORTS")[0],
     "repository_status": lambda s, d: code(s, d).nodes["Repository"].select("name", "url", "default_branch", "status", "commits", "last_commit", "last_ingested_at"),
-    "fk_hotspots": _g(catalog, recipes.fk_hotspots), "fk_hotspot_columns": _g(catalog, recipes.fk_hotspot_columns), "orphan_tables": _g(linked, recipes.orphan_tables), "entity_table_map": _g(linked, recipes.entity_table_map),
-    "tables_without_entity": _g(linked, recipes.tables_without_entity), "entities_without_table": _g(linked, recipes.entities_without_table), "who_touches_table": _by_name(recipes.who_touches_table), "columns_of_table": _by_name(recipes.columns_of_table),
-    "column_blast_radius": _g(linked, impact.column_blast_radius, COLUMN), "impact_of_column": _g(catalog, impact.impact_of_column, COLUMN), "impact_of_table": _by_name(impact.impact_of_table), "explain_impact": _by_name(impact.explain_impact),
+    "fk_hotspots": _g(catalog, recipes.fk_hotspots), "fk_hotspot_columns": _g(catalog, recipes.fk_hotspot_columns), "orphan_tables": _g(kept(linked), recipes.orphan_tables), "entity_table_map": _g(linked, recipes.entity_table_map),
+    "tables_without_entity": _g(linked, recipes.tables_without_entity), "entities_without_table": _g(linked, recipes.entities_without_table), "who_touches_table": _by_name(recipes.who_touches_table, written), "columns_of_table": _by_name(recipes.columns_of_table),
+    "column_blast_radius": _g(kept(linked), impact.column_blast_radius, COLUMN), "impact_of_column": _g(catalog, impact.impact_of_column, COLUMN), "impact_of_table": _by_name(impact.impact_of_table), "explain_impact": _by_name(impact.explain_impact, written),
     "link_maps_to": _links("MAPS_TO"), "link_based_on": _links("BASED_ON"), "link_uses_table": _links("USES_TABLE"), "link_cross_db": _links("CROSS_DB_REFERENCE"),
     "blast_radius_file": _blast,
     "authors_of_commits": lambda s, d: history_graph(read_table(s, d, "commits")).rels["AUTHORED"].groupBy("src").agg(F.count("*").alias("commits")).withColumnRenamed("src", "author"),

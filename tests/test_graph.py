@@ -197,3 +197,15 @@ def test_spread_join_and_hot_components(spark, monkeypatch):
     rows = [(i, "hub") for i in range(30)] + [(29, "h2"), (31, "h2"), (32, "h3"), (33, "h3"), (None, "hub"), (40, None)]
     got = dict(map(tuple, comp.components(spark.createDataFrame(rows, "node bigint, hub string")).collect()))
     assert {n for n, c in got.items() if c == 0} == {*range(30), 31} and got[33] == 32
+
+
+def test_frames_of_a_kept_catalog_do_not_join_it_again(spark):
+    """What frames share is materialised once: the same rows, and no frame's plan holds the joins of foreign keys."""
+    from lodeweave.plans import graph_queries as gq
+
+    plain, kept = gq.both(spark, "/root/testdata/sf0.001"), gq.kept(gq.both)(spark, "/root/testdata/sf0.001")
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    for kind, name in (("rels", "REFERENCES"), ("rels", "FOREIGN_KEY"), ("rels", "CONTAINS_CLASS"), ("nodes", "Table")):
+        a, b = (getattr(g, kind)[name] for g in (plain, kept))
+        assert joins(b) == 0 and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) and a.count(), name
+    assert joins(plain.rels["REFERENCES"]) > 1
